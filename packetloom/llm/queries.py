@@ -17,9 +17,23 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on this cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules, train
 
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
