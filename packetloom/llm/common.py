@@ -71,6 +71,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return known.union(heads).union(alone).groupBy("id").agg(F.min("component").alias("component"))
 
 
+def arrow_schema(ddl):
+    """Arrow's form of a schema given as DDL or as a StructType."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl)
+
+
 def text_map(df: DataFrame, fn, fields: list[tuple[str, str]], carry: list[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """carry columns of df plus fields, which fn makes of lists of texts as bytes (null: empty), in Arrow batches.
 
@@ -84,14 +92,11 @@ def text_map(df: DataFrame, fn, fields: list[tuple[str, str]], carry: list[str]
     out = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carry)])
     for name, kind in fields:
         out.add(f"f_{name}", T._parse_datatype_string(kind))
-    n = len(carry)
+    n, schema = len(carry), arrow_schema(out)
 
     def run(batches):
         import pyarrow as pa
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(out)
         for batch in batches:
             for at, size in slices(batch.column(n)):
                 part = batch.slice(at, size)

@@ -19,9 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import partitions_for, text_map
+from .common import arrow_schema, partitions_for, text_map
 
 END = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -52,14 +51,11 @@ def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: in
     cuts = boundaries(docs, shards)
     dealt = tokens(docs.select("doc_id", "text", shard_of(cuts)("doc_id").alias("shard")), path, ["doc_id", "shard"])
     ordered = dealt.repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    ends = sentence_ends(path)
+    ends, schema = sentence_ends(path), arrow_schema(PIECES)
 
     def run(batches):
         import pyarrow as pa
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(T._parse_datatype_string(PIECES))
         for shard, ids, parts in by_shard(batches):
             made = pack_shard(parts, ends, window, soft, hard)
             cols = pieces(ids, parts, made, window, shard)
