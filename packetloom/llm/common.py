@@ -106,7 +106,7 @@ def text_map(df: DataFrame, fn, fields: list[tuple[str, str]], carry: list[str]
     return given.mapInArrow(run, out).toDF(*carry, *[name for name, _ in fields])
 
 
-def slices(column, most: int = 4 << 20):
+def slices(column, most: int = 1 << 20):
     """(offset, rows) of runs of an Arrow binary column that hold about most bytes, one row at least."""
     import numpy as np
     import pyarrow.compute as pc

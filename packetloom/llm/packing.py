@@ -45,7 +45,7 @@ def boundaries(docs: DataFrame, shards: int) -> list[int]:
     return sorted(set(at or []))
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: int = 48, shard_bytes: int = 24 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: int = 48, shard_bytes: int = 12 << 20) -> DataFrame:
     """The pieces of all documents' token sequences: PIECES."""
     shards = partitions_for(docs, F.octet_length(F.coalesce("text", F.lit(""))) + 16, shard_bytes, 1)
     cuts = boundaries(docs, shards)
