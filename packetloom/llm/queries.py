@@ -44,3 +44,19 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def _op2_sql() -> str:
+    from .secrets import oracle
+
+    return oracle()
+
+
+ORACLES["op2_secrets"] = _op2_sql()
