@@ -60,3 +60,10 @@ def _op2_sql() -> str:
 
 
 ORACLES["op2_secrets"] = _op2_sql()
+
+
+@query
+def op4_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
