@@ -66,19 +66,43 @@ def long_enough(pattern: str, least: int) -> str:
     return head + "{%d,}" % (least - fixed) + tail
 
 
-def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_weak (linked weak spans)."""
+def with_spans(docs: DataFrame, scope: int = 200) -> DataFrame:
+    """docs with __pl_base, the base spans, and __pl_spans, those and the linked weak ones; each in order of (s, o, e)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = BASE + [w[:4] for w in WEAK]
-    found = docs.select("doc_id", text.alias("t"), *[matches(text, *k).alias(k[0]) for k in kinds])
-    base = F.array_sort(F.concat(*[F.col(k[0]) for k in BASE]))
-    weak = F.concat(*[F.col(w[0]) for w in WEAK])
-    rows = found.select("doc_id", F.when(F.size(weak) > 0, F.md5("t")).alias("mark"), *[F.size(k[0]).cast("long").alias(f"n_{k[0]}") for k in BASE], base.alias("base"), F.when(F.size(weak) > 0, F.concat(base, weak)).alias("parts"))
-    linked = link(rows.where("parts is not null").select("doc_id", "mark", "parts").dropDuplicates(["doc_id", "mark"]), scope)
-    joined = rows.join(linked.select(F.col("doc_id").alias("d"), F.col("mark").alias("k"), "weak"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("k")), "left")
     none = F.array().cast("array<struct<s:int,o:int,e:int>>")
-    spans = F.array_sort(F.concat("base", F.coalesce("weak", none)))
-    return joined.select("doc_id", *[f"n_{k[0]}" for k in BASE], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(spans).alias("spans"), F.size(F.coalesce("weak", none)).cast("long").alias("n_weak"))
+    found = docs.withColumns({f"__pl_{k[0]}": matches(text, *k) for k in kinds})
+    base = F.array_sort(F.concat(*[F.col(f"__pl_{k[0]}") for k in BASE]))
+    weak = F.concat(*[F.col(f"__pl_{w[0]}") for w in WEAK])
+    rows = found.select(*docs.columns, base.alias("__pl_base"), weak.alias("__pl_weak"), F.when(F.size(weak) > 0, F.md5(text)).alias("__pl_mark"))
+    some = rows.where("__pl_mark is not null").select("doc_id", F.col("__pl_mark").alias("mark"), F.concat("__pl_base", "__pl_weak").alias("parts"))
+    linked = link(some.dropDuplicates(["doc_id", "mark"]), scope).select(F.col("doc_id").alias("__pl_d"), F.col("mark").alias("__pl_k"), F.col("weak").alias("__pl_linked"))
+    joined = rows.join(linked, F.col("doc_id").eqNullSafe(F.col("__pl_d")) & (F.col("__pl_mark") == F.col("__pl_k")), "left")
+    return joined.select(*docs.columns, "__pl_base", F.array_sort(F.concat("__pl_base", F.coalesce("__pl_linked", none))).alias("__pl_spans"))
+
+
+def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
+    """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_weak (linked weak spans)."""
+    rows = with_spans(docs.select("doc_id", "text"), scope)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("__pl_base", lambda x: x["o"] == ORDER.index(kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k[0]) for k in BASE]
+    return rows.select("doc_id", *counts, F.sha2(written(F.col("__pl_base")), 256).alias("base_sha256"), written(F.col("__pl_spans")).alias("spans"), (F.size("__pl_spans") - F.size("__pl_base")).cast("long").alias("n_weak"))
+
+
+def redact(docs: DataFrame, scope: int = 200) -> DataFrame:
+    """docs with every span of the text replaced by its kind in brackets; overlapping spans go under the first one's."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kinds = F.array(*map(F.lit, ORDER))
+
+    def step(acc, x):
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.element_at(kinds, x["o"] + 1), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+
+    new = F.aggregate("__pl_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return with_spans(docs, scope).withColumn("__pl_text", F.when(F.size("__pl_spans") > 0, new).otherwise(F.col("text"))).select(*[F.col("__pl_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def written(spans: Column) -> Column:

@@ -48,13 +48,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import find_secrets
+    from .credentials import find_secrets
 
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
 def _op2_sql() -> str:
-    from .secrets import oracle
+    from .credentials import oracle
 
     return oracle()
 
