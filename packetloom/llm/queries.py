@@ -67,3 +67,10 @@ def op4_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chaining import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
