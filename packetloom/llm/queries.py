@@ -74,3 +74,10 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import suffix_dedup
 
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import sampled_digest
+
+    return sampled_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
