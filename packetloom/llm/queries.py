@@ -81,3 +81,24 @@ def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sampling import sampled_digest
 
     return sampled_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import find_licenses
+
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
