@@ -1,10 +1,6 @@
-"""The registered queries of the engine's own operators, each with its SQL twin."""
+"""All registered queries of the engine's own operators, each with its SQL twin where SQL can express it."""
 
-from __future__ import annotations
+from .plans import scoring  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
