@@ -2,8 +2,9 @@
 
 1. Every text becomes its set of hashed k-word shingles, a fingerprint of the set and a MinHash signature. Texts with one
    set form a class that its smallest id stands for, so copies are never compared.
-2. Signatures are banded; a band's bucket links its members to pivots (the smallest id and the smallest of a random
-   order), so a bucket of n texts gives 2n candidates, not n^2 pairs.
+2. Signatures are banded; a band's bucket links its members to pivots (the smallest id and the smallest of random
+   orders), so a bucket of n texts gives a few times n candidates, not n^2 pairs. Then the rows outside a bucket's largest
+   component are linked to further pivots of that component.
 3. A candidate's signature is compared batch by batch; it is dropped as soon as the posterior probability of a similarity
    at or above the threshold, given the matches so far and a uniform prior, falls below `miss`. Survivors are confirmed
    on their full sets. Confirmed links are joined into components.
@@ -11,7 +12,7 @@
    with all rows of other components there, in blocks, by the same sequential test within a task; what survives is
    confirmed on full sets too. So every pair that shares a band is tested unless it is already in one component.
 
-With 128 hashes in 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8; `miss` is 1e-6.
+With 128 hashes in 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8; `miss` is 1e-4.
 
 Nulls: null or blank texts have no set and stand alone; null ids keep a row with a null component, not kept. Repeated rows
 of one id count as one document, the union of nothing: its rows share the component of their own set and id. An empty
@@ -23,7 +24,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
@@ -43,12 +44,9 @@ def signature(s: np.ndarray) -> np.ndarray:
     """HASHES minima over the set, of two mixed halves times odd multipliers each."""
     a, b = multipliers()
     low, high = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(HASHES, np.uint32)
-    for i in range(0, len(s), 1 << 16):
-        x, y = low[i : i + (1 << 16)], high[i : i + (1 << 16)]
-        for k in range(HASHES):
-            m = (x * a[k] ^ y * b[k]).min()
-            out[k] = min(out[k], m) if i else m
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(s), 256):
+        np.minimum(out, (low[i : i + 256] * a[:, None] ^ high[i : i + 256] * b[:, None]).min(1), out=out)
     return out
 
 
@@ -108,106 +106,150 @@ def signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def tested(pairs: DataFrame, least: list[int]) -> DataFrame:
-    """(a, b) of the rows of (a, b, sa, sb) that pass the sequential test."""
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: float, most: int = 2048) -> DataFrame:
+    """(a, b), a > b, of the pairs (g, x, y) whose full sets meet the threshold, in whole numbers.
+
+    Pairs meet their sets in groups: those of one g, in blocks by y of about `most` pairs, small ones together. A group gets
+    each of its sets once, so a family of n texts costs about n sets and not a set per pair.
+    """
+    percent = round(100 * threshold)
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    sets = text_map(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), lambda texts: [[K.shingle_set(lowered_words(t), k).tobytes() for t in texts]], [("s", "binary")])
+    sizes = pairs.groupBy("g").agg(F.count("*").alias("m"))
+    few = max(1, (pairs.count() + most - 1) // most)
+    block = F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / most))
+    keyed = materialize(pairs.join(sizes, "g").select(F.pmod(F.xxhash64("g", block), F.lit(2 * few)).alias("key"), "x", "y"), "keyed")
+    needed = keyed.select(F.col("key").alias("to"), F.explode(F.array("x", "y")).alias("id")).distinct().join(sets, F.col("id") == F.col("doc_id")).select("to", "id", "s")
     schema = arrow_schema("a long, b long")
 
-    def run(batches):
+    def run(key, left, right):
         import pyarrow as pa
 
-        for batch in batches:
-            if batch.num_rows:
-                at = pa.array(survives(signatures(batch.column(2)), signatures(batch.column(3)), least))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], schema=schema)
+        held = {i: np.frombuffer(x, np.uint64) for i, x in zip(right.column("id").to_pylist(), right.column("s").to_pylist(), strict=True)}
+        out = []
+        for x, y in zip(left.column("x").to_pylist(), left.column("y").to_pylist(), strict=True):
+            p, q = held[x], held[y]
+            if percent * max(len(p), len(q)) > 100 * min(len(p), len(q)):
+                continue
+            z = np.concatenate([p, q])
+            z.sort(kind="stable")
+            common = int((z[1:] == z[:-1]).sum())
+            if 100 * common >= percent * (len(p) + len(q) - common):
+                out.append((max(x, y), min(x, y)))
+        cols = list(zip(*out, strict=True)) or [[], []]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return keyed.groupBy("key").cogroup(needed.groupBy("to")).applyInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs whose full sets meet the threshold, with 100 * intersection >= 100 * threshold * union in whole numbers."""
-    percent = round(100 * threshold)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = text_map(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), lambda texts: [[K.shingle_set(lowered_words(t), k).tobytes() for t in texts]], [("s", "binary")])
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    schema = arrow_schema("a long, b long")
+def pivots_of(c: str, orders: range) -> list[Column]:
+    """Aggregates: the smallest of c in several random orders."""
+    return [F.min_by(c, F.xxhash64(F.lit(n), F.col(c))).alias(f"p{n}") for n in orders]
+
+
+def tested(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
+    """The pairs (g, x, y) that pass the sequential test."""
+    one, two = (sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}")) for c in "xy")
+    joined = pairs.join(one, "x").join(two, "y").select("g", "x", "y", "sx", "sy")
+    schema = arrow_schema("g long, x long, y long")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
-                    continue
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                common = int((z[1:] == z[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    out.append(i)
-            at = pa.array(out, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], schema=schema)
+            if batch.num_rows:
+                at = pa.array(survives(signatures(batch.column(3)), signatures(batch.column(4)), least))
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)], schema=schema)
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "g long, x long, y long")
 
 
-def shuffled_order(c: str) -> Column:
-    return F.xxhash64(F.lit(11), F.col(c))
+def joined_up(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after more links: components of the old components' graph."""
+    if labels is None:
+        return materialize(connected_components(links), "components")
+    of = lambda c: labels.select(F.col("id").alias(f"i{c}"), F.col("component").alias(f"c{c}"))
+    edges = links.join(of("a"), F.col("a") == F.col("ia"), "left").join(of("b"), F.col("b") == F.col("ib"), "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = materialize(connected_components(edges), "merged").select(F.col("id").alias("old"), F.col("component").alias("new"))
+    kept = labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
+    fresh = merged.select(F.col("old").alias("id"), F.col("new").alias("component"))
+    return materialize(kept.union(fresh).groupBy("id").agg(F.min("component").alias("component")), "components")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-6, block: int = 2048) -> DataFrame:
+def mixed(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, p, id, c, top, rows) of the buckets that span several components; top: the one with most rows."""
+    labelled = banded.join(labels, "id", "left").select("bucket", "p", "id", F.coalesce("component", "id").alias("c"))
+    by_comp = labelled.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    several = by_comp.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("rows")).where("parts > 1").drop("parts")
+    return materialize(labelled.join(several, "bucket"), "mixed")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-4, block: int = 2048, pivots: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept (it is that id), n_links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prof = materialize(profile(docs, k), "profile")
     least = limits(threshold, miss)
     has = prof.where("fp is not null and doc_id is not null")
     heads = has.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    reps = has.join(heads, (has.doc_id == heads["head"]) & (has.fp == heads["fp"])).select("doc_id", "sig", "bands").dropDuplicates(["doc_id"])
-    banded = materialize(reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("p", "bucket")).drop("p"), "bands")
-    pivots = banded.groupBy("bucket").agg(F.min("id").alias("p0"), F.min_by("id", shuffled_order("id")).alias("p1"), F.count("*").alias("m")).where("m > 1").drop("m")
-    star = banded.join(pivots, "bucket").select("id", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).where("id <> p")
-    pairs = star.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
+    reps = materialize(has.join(heads.withColumnRenamed("fp", "hfp"), (F.col("doc_id") == F.col("head")) & (F.col("fp") == F.col("hfp"))).select("doc_id", "sig", "bands").dropDuplicates(["doc_id"]), "reps")
+    rows = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("p", "bucket"))
     sigs = reps.select("doc_id", "sig")
-    with_sigs = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    links = materialize(confirmed(materialize(tested(with_sigs, least), "survivors"), docs, k, threshold), "links")
-    comps = materialize(connected_components(links), "components")
-    more = confirmed(materialize(completed(banded, sigs, comps, least, block), "survivors"), docs, k, threshold)
-    links = materialize(links.union(more).distinct(), "links")
-    comps = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    of_set = heads.join(comps, heads["head"] == comps["id"], "left").join(degree.withColumnRenamed("id", "d"), heads["head"] == F.col("d"), "left").select(F.col("fp").alias("set_fp"), F.coalesce("component", "head").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = prof.select("doc_id", "n", "fp").join(of_set, prof.fp == of_set["set_fp"], "left")
+
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("p0"), *pivots_of("id", range(1, pivots)), F.count("*").alias("m")).where("m > 1").drop("m")
+    banded = materialize(rows.join(shared, "bucket"), "bands")
+    star = banded.select("id", F.explode(F.array_distinct(F.array(*[f"p{n}" for n in range(pivots)]))).alias("x")).where("id <> x")
+    links = materialize(confirmed(materialize(tested(star.select(F.col("x").alias("g"), "x", F.col("id").alias("y")).distinct(), sigs, least), "survivors"), docs, k, threshold), "links")
+    labels = joined_up(None, links)
+
+    banded = banded.select("bucket", "p", "id")
+    open_ = mixed(banded, labels)
+    ends = open_.where("c = top").groupBy("bucket").agg(*pivots_of("id", range(10, 14)))
+    again = open_.where("c <> top").join(ends, "bucket").select(F.col("id").alias("x"), F.col("top").alias("g"), F.explode(F.array_distinct(F.array(*[f"p{n}" for n in range(10, 14)]))).alias("y"))
+    more = materialize(confirmed(materialize(tested(again.select("g", "x", "y").distinct(), sigs, least), "survivors"), docs, k, threshold), "links")
+    labels = joined_up(labels, more)
+    links = links.union(more)
+
+    last = materialize(confirmed(materialize(completed(mixed(open_.select("bucket", "p", "id"), labels), sigs, least, block), "survivors"), docs, k, threshold), "links")
+    labels = joined_up(labels, last)
+    links = links.union(last).distinct()
+
+    degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("n_links"))
+    of_set = heads.join(labels, heads["head"] == labels["id"], "left").join(degree, F.col("head") == F.col("d"), "left").select(F.col("fp").alias("set_fp"), F.coalesce("component", "head").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = prof.select("doc_id", "n", "fp").join(of_set, F.col("fp") == F.col("set_fp"), "left")
     comp = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def completed(banded: DataFrame, sigs: DataFrame, comps: DataFrame, least: list[int], block: int) -> DataFrame:
-    """Pairs, of different components and in one bucket, that pass the sequential test.
+def completed(rows: DataFrame, sigs: DataFrame, least: list[int], block: int) -> DataFrame:
+    """(g, x, y): pairs of different components in one bucket that pass the sequential test, g being the bucket's top.
 
-    The rows outside a bucket's largest component are dealt to all of its blocks of about `block` rows, the others to one.
+    The rows outside a bucket's largest component are dealt to all of its blocks of about `block` rows, all rows to one
+    each. A pair is reported by the first of the bands that it shares.
     """
-    labelled = banded.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    by_comp = labelled.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    largest = by_comp.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("rows")).where("parts > 1")
-    rows = labelled.join(largest, "bucket").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    few = rows.where("c <> top").select("bucket", "id", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("few"))
-    all_ = rows.select("bucket", "id", "c", own.alias("block"), F.lit(False).alias("few"))
+    blocks = F.ceil(F.col("rows") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    few = rows.where("c <> top").select("bucket", "p", "top", "id", "c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("few"))
+    all_ = rows.select("bucket", "p", "top", "id", "c", own.alias("block"), F.lit(False).alias("few"))
     dealt = few.union(all_).join(sigs.withColumnRenamed("doc_id", "id"), "id")
 
-    def run(key, pdf):
+    def run(pdf):
         import pandas as pd
 
         x, y = pdf[pdf.few].sort_values("id"), pdf[~pdf.few].sort_values("id")
+        none = pd.DataFrame({"g": [], "x": [], "y": []}, dtype="int64")
+        if not len(x) or not len(y):
+            return none
         sx, sy = (np.frombuffer(b"".join(z.sig), np.uint32).reshape(-1, HASHES) for z in (x, y))
         ix, iy, cx, cy = x.id.to_numpy(), y.id.to_numpy(), x.c.to_numpy(), y.c.to_numpy()
+        band, top = int(x.p.iloc[0]), int(x.top.iloc[0])
         out = []
         for i in range(len(ix)):
-            j = np.flatnonzero(cy != cx[i])
+            j = np.flatnonzero((cy != cx[i]) & ((cy == top) | (iy < ix[i])))
             j = j[survives(np.broadcast_to(sx[i], (len(j), HASHES)), sy[j], least)]
-            out.append(np.stack([np.maximum(ix[i], iy[j]), np.minimum(ix[i], iy[j])], 1))
-        made = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame(made, columns=["a", "b"])
+            same = (sx[i] == sy[j]).reshape(len(j), BANDS, ROWS).all(2)
+            j = j[same.argmax(1) == band]
+            if len(j):
+                out.append(pd.DataFrame({"g": top, "x": ix[i], "y": iy[j]}))
+        return pd.concat(out) if out else none
 
-    return dealt.groupBy("bucket", "block").applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "block").applyInPandas(run, "g long, x long, y long").distinct()
