@@ -214,7 +214,7 @@ def settled(rows: DataFrame, parts: int) -> DataFrame:
 def sorted_windows(asked: DataFrame, docs: DataFrame, length: int, parts: int) -> DataFrame:
     """(doc, p, n): runs of places whose string is also in an earlier document, by the suffix arrays of the ranges."""
     per = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "p", "n")).alias("ws"))
-    joined = per.join(docs, per["doc"] == docs["doc_id"]).select("doc", F.col("ws.h").alias("h"), F.col("ws.p").alias("p"), F.col("ws.n").alias("n"), F.col("text").cast("binary"))
+    joined = per.join(docs, F.col("doc") == F.col("doc_id")).select("doc", F.col("ws.h").alias("h"), F.col("ws.p").alias("p"), F.col("ws.n").alias("n"), F.col("text").cast("binary"))
     cut_ddl, out_ddl = "part int, blob binary, body binary", "doc long, p int, n int"
     cut_schema, out_schema = arrow_schema(cut_ddl), arrow_schema(out_ddl)
 
@@ -269,9 +269,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part_bytes: int = 8 << 20) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = partitions_for(docs, F.octet_length(F.coalesce("text", F.lit(""))), part_bytes)
     found = materialize(settled(anchors(docs, length, parts), parts), "windows")
-    late = sorted_windows(found.where("h is not null"), docs, length, parts)
+    some, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    late = sorted_windows(found.where("h is not null"), some, length, parts)
     marks = found.where("h is null").select("doc", "p", "n").union(late).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("m"))
-    joined = docs.join(marks, docs["doc_id"] == marks["doc"], "left").select("doc_id", "text", F.col("m.p").alias("p"), F.col("m.n").alias("n"))
+    joined = some.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", F.col("m.p").alias("p"), F.col("m.n").alias("n"))
+    joined = joined.unionByName(none.select("doc_id", "text", *[F.lit(None).cast("array<int>").alias(c) for c in "pn"]))
     out = "doc_id long, " + ", ".join(f"{f} {k}" for f, k in FIELDS)
     schema = arrow_schema(out)
 
