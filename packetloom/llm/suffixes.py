@@ -2,7 +2,7 @@
 
 1. Anchors. Every string of `length` bytes is owned by the least 16-byte gram in it (leftmost on ties), so equal strings
    have equal anchors wherever they stand. Runs of neighbouring strings with one anchor form a window, described by the
-   anchor's hash, a hash of the window's bytes and its place. Copies of a window within an Arrow batch are settled at once;
+   anchor's hash, a hash of the window's bytes and its place. Copies of a window within a few MB of documents are settled at once;
    the rest goes, packed by hash range, to the task that owns the range.
 2. Windows that are equal throughout are settled by their hashes. An anchor whose windows differ needs its texts: the
    first document of each distinct window sends its bytes.
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import arrow_schema, materialize, partitions_for
+from .common import arrow_schema, materialize, partitions_for, slices
 
 Q = 16
 FIELDS = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def codes(b: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, size) for b in batches for at, size in slices(b.column(1), 4 << 20)):
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, c, p, n = windows(K.raw(t.as_py()), length)
@@ -221,7 +221,7 @@ def sorted_windows(asked: DataFrame, docs: DataFrame, length: int, parts: int) -
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, size) for b in batches for at, size in slices(b.column(4), 4 << 20)):
             rows, body = [], []
             for d, h, p, n, t in zip(*batch.columns, strict=True):
                 h, p, n = (np.array(x.as_py()) for x in (h, p, n))
