@@ -45,9 +45,17 @@ def ratio(text: Column, pattern: str) -> Column:
 def chi_square_english(text: Column) -> Column:
     """Chi-square of the letters against English; infinite under ten letters."""
     low = F.lower(text)
-    letters = F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
-    parts = [(count_of(low, chr(97 + i)) - f * letters) * (count_of(low, chr(97 + i)) - f * letters) / (f * letters) for i, f in enumerate(ENGLISH)]
-    return F.when(letters < 10, float("inf")).otherwise(reduce(lambda a, b: a + b, parts))
+    once = F.array(F.struct(low.alias("t"), F.length(F.regexp_replace(low, r"[^\p{L}]", "")).alias("n")))
+    table = F.array(*[F.struct(F.lit(chr(97 + i)).alias("c"), F.lit(f).alias("f")) for i, f in enumerate(ENGLISH)])
+
+    def of(s: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            off = F.length(s["t"]) - F.length(F.replace(s["t"], x["c"], F.lit(""))) - x["f"] * s["n"]
+            return acc + off * off / (x["f"] * s["n"])
+
+        return F.when(s["n"] < 10, float("inf")).otherwise(F.aggregate(table, F.lit(0.0), add))
+
+    return F.transform(once, of)[0]
 
 
 def url_decoded(text: Column, rounds: int) -> Column:
