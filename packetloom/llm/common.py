@@ -79,11 +79,11 @@ def arrow_schema(ddl):
     return to_arrow_schema(T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl)
 
 
-def text_map(df: DataFrame, fn, fields: list[tuple[str, str]], carry: list[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def text_map(df: DataFrame, fn, fields: list[tuple[str, str]], carry: list[str] = ("doc_id",), text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """carry columns of df plus fields, which fn makes of lists of texts as bytes (null: empty), in Arrow batches.
 
-    fn takes a list of bytes and returns one list or array for each field. Texts are handed over in slices of a few
-    MB, so memory follows the longest text and not the batch.
+    fn takes a list of bytes and returns one list or array for each field. Texts are handed over in slices of about
+    slice_bytes, so memory follows the longest text and not the batch.
     """
     from pyspark.sql import types as T
 
@@ -98,7 +98,7 @@ def text_map(df: DataFrame, fn, fields: list[tuple[str, str]], carry: list[str]
         import pyarrow as pa
 
         for batch in batches:
-            for at, size in slices(batch.column(n)):
+            for at, size in slices(batch.column(n), slice_bytes):
                 part = batch.slice(at, size)
                 made = fn(part.column(n).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i).cast(schema.field(i).type) for i in range(n)), *(pa.array(x, schema.field(n + j).type) for j, x in enumerate(made))], schema=schema)

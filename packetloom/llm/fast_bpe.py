@@ -48,7 +48,7 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    def __init__(self, path: str, bits: int = 20, most: int = 1_000_000):
+    def __init__(self, path: str, bits: int = 20, most: int = 600_000):
         self.path, self.bits, self.most = path, bits, most
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]

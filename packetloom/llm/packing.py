@@ -34,7 +34,7 @@ def tokens(docs: DataFrame, path: str, carry: list[str] = ("doc_id",)) -> DataFr
 
         return [[zlib.compress(np.append(x, END).astype("<u2").tobytes(), 1) for x in encoder(path).encode(texts)]]
 
-    return text_map(docs, run, [("ids", "binary")], carry)
+    return text_map(docs, run, [("ids", "binary")], carry, slice_bytes=1 << 19)
 
 
 def boundaries(docs: DataFrame, shards: int) -> list[int]:
@@ -45,7 +45,7 @@ def boundaries(docs: DataFrame, shards: int) -> list[int]:
     return sorted(set(at or []))
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: int = 48, shard_bytes: int = 12 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: int = 48, shard_bytes: int = 8 << 20) -> DataFrame:
     """The pieces of all documents' token sequences: PIECES."""
     shards = partitions_for(docs, F.octet_length(F.coalesce("text", F.lit(""))) + 16, shard_bytes, 1)
     cuts = boundaries(docs, shards)
