@@ -1,6 +1,6 @@
 """All registered queries of the engine's own operators, each with its SQL twin where SQL can express it."""
 
-from .plans import correlation, scoring, sessions, statistics, toolkit  # noqa: F401
+from .plans import correlation, report, scoring, sessions, statistics, toolkit  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

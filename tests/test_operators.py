@@ -106,3 +106,20 @@ def test_streaming_scores(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["id"], r["attempts"]) for r in spark.table("attempts").collect()] == [(1, 2)]
+
+
+def icmp_frame(payload: bytes) -> bytes:
+    body = b"\x08\0\0\0\0\x01\0\x01" + payload
+    return b"\0" * 12 + b"\x08\x00" + struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(body), 0, 0, 64, 1, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2])) + body
+
+
+def test_analyzers(spark, tmp_path):
+    from packetloom.operators.analyzers import ANALYZERS, analyze
+
+    syn = frame(b"", dport=22)
+    syn = syn[:47] + b"\x02" + syn[48:]
+    packets = [(1.0, icmp_frame(b"flag{")), (1.1, icmp_frame(b"ok}")), (2.0, frame(b"GET /?q=SLEEP(5) HTTP/1.1\r\n\r\n"))] + [(3 + i / 2, syn) for i in range(10)]
+    (tmp_path / "a.pcap").write_bytes(pcap.write_pcap(packets))
+    found = {(r["protocol"], r["is_flag"]): r["description"] for r in analyze(pcap.read_pcap(spark, str(tmp_path))).collect()}
+    assert found[("ICMP", True)] == "flag{ok}" and found[("HTTP", False)].startswith("sqli medium") and found[("SSH", False)].startswith("10.0.0.1 10")
+    assert set(ANALYZERS) == {"ICMP", "HTTP", "TCP", "DNS"}
