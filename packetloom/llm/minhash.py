@@ -55,26 +55,57 @@ def lowered_words(t: bytes) -> np.ndarray:
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), fp (fingerprint of the set), sig and bands of each row; no sig for empty sets."""
+    """doc_id, n (set size), fp (fingerprint of the set) and sig of each row; no sig for empty sets."""
 
     def run(texts):
-        n, fp, sig, bands = [], [], [], []
+        n, fp, sig = [], [], []
         for t in texts:
             s = K.shingle_set(lowered_words(t), k)
             n.append(len(s))
             if not len(s):
-                fp.append(None), sig.append(None), bands.append(None)
+                fp.append(None)
+                sig.append(None)
                 continue
             fp.append(np.array([K.mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(K.mix(s + np.uint64(7))), len(s)], np.uint64).tobytes())
-            x = signature(s)
-            sig.append(x.tobytes())
-            h = np.full(BANDS, 0x51ED270B, np.uint64)
-            for c in x.reshape(BANDS, ROWS).T:
-                h = K.mix(h * np.uint64(0x9FB21C651E98DF25) + c)
-            bands.append(K.mix(h + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-        return [n, fp, sig, bands]
+            sig.append(signature(s).tobytes())
+        return [n, fp, sig]
 
-    return text_map(docs, run, [("n", "long"), ("fp", "binary"), ("sig", "binary"), ("bands", "array<long>")])
+    return text_map(docs, run, [("n", "long"), ("fp", "binary"), ("sig", "binary")])
+
+
+def banded_rows(reps: DataFrame) -> DataFrame:
+    """(id, p, bucket): each signature's BANDS buckets, hashes of ROWS minima and the band's number."""
+    schema = arrow_schema("id long, p int, bucket long")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = signatures(batch.column(1))
+            h = np.full((len(x), BANDS), 0x51ED270B, np.uint64)
+            for c in range(ROWS):
+                h = K.mix(h * np.uint64(0x9FB21C651E98DF25) + x[:, c::ROWS])
+            h = K.mix(h + np.arange(BANDS, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(x))), pa.array(h.view(np.int64).ravel())], schema=schema)
+
+    return reps.select("doc_id", "sig").mapInArrow(run, "id long, p int, bucket long")
+
+
+def squeezed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, z): the compressed texts of some documents; the shuffle that finds them carries no plain text."""
+
+    def run(texts):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        return [[z.compress(lowered(t)) for t in texts]]
+
+    packed = text_map(docs.where("doc_id is not null"), run, [("z", "binary")])
+    return packed.join(ids, packed["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
+
+
+def lowered(t: bytes) -> bytes:
+    return K.LOWER[K.raw(t)].tobytes()
 
 
 def limits(threshold: float, miss: float) -> list[int]:
@@ -106,34 +137,34 @@ def signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, threshold: float, most: int = 2048) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, most: int = 2048) -> DataFrame:
     """(a, b), a > b, of the pairs (g, x, y) whose full sets meet the threshold, in whole numbers.
 
-    Pairs meet their sets in groups: those of one g, in blocks by y of about `most` pairs, small ones together. A group gets
-    each of its sets once, so a family of n texts costs about n sets and not a set per pair.
+    Pairs meet their texts (doc_id, z) in groups: those of one g, in blocks by y of about `most` pairs, small ones together.
+    A group gets each of its texts once, so a family of n texts costs about n texts and not one per pair.
     """
     percent = round(100 * threshold)
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = text_map(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), lambda texts: [[K.shingle_set(lowered_words(t), k).tobytes() for t in texts]], [("s", "binary")])
     sizes = pairs.groupBy("g").agg(F.count("*").alias("m"))
     few = max(1, (pairs.count() + most - 1) // most)
     block = F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / most))
     keyed = materialize(pairs.join(sizes, "g").select(F.pmod(F.xxhash64("g", block), F.lit(2 * few)).alias("key"), "x", "y"), "keyed")
-    needed = keyed.select(F.col("key").alias("to"), F.explode(F.array("x", "y")).alias("id")).distinct().join(sets, F.col("id") == F.col("doc_id")).select("to", "id", "s")
+    needed = keyed.select(F.col("key").alias("to"), F.explode(F.array("x", "y")).alias("id")).distinct().join(texts, F.col("id") == F.col("doc_id")).select("to", "id", "z")
     schema = arrow_schema("a long, b long")
 
     def run(key, left, right):
         import pyarrow as pa
+        import zstandard
 
-        held = {i: np.frombuffer(x, np.uint64) for i, x in zip(right.column("id").to_pylist(), right.column("s").to_pylist(), strict=True)}
+        z = zstandard.ZstdDecompressor()
+        held = {i: K.shingle_set(K.words(K.raw(z.decompress(x)))[2], k) for i, x in zip(right.column("id").to_pylist(), right.column("z").to_pylist(), strict=True)}
         out = []
         for x, y in zip(left.column("x").to_pylist(), left.column("y").to_pylist(), strict=True):
             p, q = held[x], held[y]
             if percent * max(len(p), len(q)) > 100 * min(len(p), len(q)):
                 continue
-            z = np.concatenate([p, q])
-            z.sort(kind="stable")
-            common = int((z[1:] == z[:-1]).sum())
+            both = np.concatenate([p, q])
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= percent * (len(p) + len(q) - common):
                 out.append((max(x, y), min(x, y)))
         cols = list(zip(*out, strict=True)) or [[], []]
@@ -191,25 +222,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     least = limits(threshold, miss)
     has = prof.where("fp is not null and doc_id is not null")
     heads = has.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    reps = materialize(has.join(heads.withColumnRenamed("fp", "hfp"), (F.col("doc_id") == F.col("head")) & (F.col("fp") == F.col("hfp"))).select("doc_id", "sig", "bands").dropDuplicates(["doc_id"]), "reps")
-    rows = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("p", "bucket"))
+    reps = materialize(has.join(heads.withColumnRenamed("fp", "hfp"), (F.col("doc_id") == F.col("head")) & (F.col("fp") == F.col("hfp"))).select("doc_id", "sig").dropDuplicates(["doc_id"]), "reps")
+    rows = banded_rows(reps).repartition("bucket")
     sigs = reps.select("doc_id", "sig")
 
     shared = rows.groupBy("bucket").agg(F.min("id").alias("p0"), *pivots_of("id", range(1, pivots)), F.count("*").alias("m")).where("m > 1").drop("m")
     banded = materialize(rows.join(shared, "bucket"), "bands")
+    texts = materialize(squeezed(docs, banded.select("id").distinct()), "texts")
     star = banded.select("id", F.explode(F.array_distinct(F.array(*[f"p{n}" for n in range(pivots)]))).alias("x")).where("id <> x")
-    links = materialize(confirmed(materialize(tested(star.select(F.col("x").alias("g"), "x", F.col("id").alias("y")).distinct(), sigs, least), "survivors"), docs, k, threshold), "links")
+    links = materialize(confirmed(materialize(tested(star.select(F.col("x").alias("g"), "x", F.col("id").alias("y")).distinct(), sigs, least), "survivors"), texts, k, threshold), "links")
     labels = joined_up(None, links)
 
     banded = banded.select("bucket", "p", "id")
     open_ = mixed(banded, labels)
     ends = open_.where("c = top").groupBy("bucket").agg(*pivots_of("id", range(10, 14)))
     again = open_.where("c <> top").join(ends, "bucket").select(F.col("id").alias("x"), F.col("top").alias("g"), F.explode(F.array_distinct(F.array(*[f"p{n}" for n in range(10, 14)]))).alias("y"))
-    more = materialize(confirmed(materialize(tested(again.select("g", "x", "y").distinct(), sigs, least), "survivors"), docs, k, threshold), "links")
+    more = materialize(confirmed(materialize(tested(again.select("g", "x", "y").distinct(), sigs, least), "survivors"), texts, k, threshold), "links")
     labels = joined_up(labels, more)
     links = links.union(more)
 
-    last = materialize(confirmed(materialize(completed(mixed(open_.select("bucket", "p", "id"), labels), sigs, least, block), "survivors"), docs, k, threshold), "links")
+    last = materialize(confirmed(materialize(completed(mixed(open_.select("bucket", "p", "id"), labels), sigs, least, block), "survivors"), texts, k, threshold), "links")
     labels = joined_up(labels, last)
     links = links.union(last).distinct()
 
@@ -232,24 +264,44 @@ def completed(rows: DataFrame, sigs: DataFrame, least: list[int], block: int) ->
     all_ = rows.select("bucket", "p", "top", "id", "c", own.alias("block"), F.lit(False).alias("few"))
     dealt = few.union(all_).join(sigs.withColumnRenamed("doc_id", "id"), "id")
 
-    def run(pdf):
-        import pandas as pd
+    ddl = "g long, x long, y long"
+    schema = arrow_schema(ddl)
+
+    def judge(cols, starts, ends):
+        """The pairs of whole groups, given as arrays and each group's rows."""
+        bucket, blk, few_, i, c, top, p, sig = cols
+        n = np.array([few_[a:b].sum() for a, b in zip(starts, ends, strict=True)])
+        left = np.concatenate([np.arange(a, a + m) for a, m in zip(starts, n, strict=True)])
+        size = np.repeat(ends - starts - n, n)
+        right = K.ragged(np.repeat(starts + n, n), size)
+        left = np.repeat(left, size)
+        for at in range(0, len(left), 1 << 16):
+            x, y = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
+            keep = (c[x] != c[y]) & ((c[y] == top[x]) | (i[y] < i[x]))
+            x, y = x[keep], y[keep]
+            alive = survives(sig[x], sig[y], least)
+            x, y = x[alive], y[alive]
+            first = (sig[x] == sig[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1) == p[x]
+            yield top[x[first]], i[x[first]], i[y[first]]
 
-        x, y = pdf[pdf.few].sort_values("id"), pdf[~pdf.few].sort_values("id")
-        none = pd.DataFrame({"g": [], "x": [], "y": []}, dtype="int64")
-        if not len(x) or not len(y):
-            return none
-        sx, sy = (np.frombuffer(b"".join(z.sig), np.uint32).reshape(-1, HASHES) for z in (x, y))
-        ix, iy, cx, cy = x.id.to_numpy(), y.id.to_numpy(), x.c.to_numpy(), y.c.to_numpy()
-        band, top = int(x.p.iloc[0]), int(x.top.iloc[0])
-        out = []
-        for i in range(len(ix)):
-            j = np.flatnonzero((cy != cx[i]) & ((cy == top) | (iy < ix[i])))
-            j = j[survives(np.broadcast_to(sx[i], (len(j), HASHES)), sy[j], least)]
-            same = (sx[i] == sy[j]).reshape(len(j), BANDS, ROWS).all(2)
-            j = j[same.argmax(1) == band]
-            if len(j):
-                out.append(pd.DataFrame({"g": top, "x": ix[i], "y": iy[j]}))
-        return pd.concat(out) if out else none
-
-    return dealt.groupBy("bucket", "block").applyInPandas(run, "g long, x long, y long").distinct()
+    def run(batches):
+        import pyarrow as pa
+
+        held, source, last = None, iter(batches), False
+        while not last:
+            batch = next(source, None)
+            last = batch is None
+            if not last:
+                new = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(7)] + [signatures(batch.column(7))]
+                held = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            edge = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+            bounds = np.concatenate([[0], edge, [len(held[0])] if last else []]).astype(np.int64)
+            if len(bounds) > 1:
+                for g, x, y in judge(held, bounds[:-1], bounds[1:]):
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(x), pa.array(y)], schema=schema)
+            held = [h[bounds[-1] :] for h in held]
+
+    ordered = dealt.select("bucket", "block", "few", "id", "c", "top", "p", "sig").repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.col("few").desc(), "id")
+    return ordered.mapInArrow(run, ddl).distinct()
