@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import arrow_schema, materialize, partitions_for, slices
+from .common import arrow_schema, materialize, partitions_for, slices, text_map
 
 Q = 16
 FIELDS = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
@@ -90,7 +90,7 @@ def last_of(new: np.ndarray) -> np.ndarray:
 
 
 def windows(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, hash of the bytes, first place, places) of each window of a text."""
+    """(hash of the anchor, 48-bit hash of the bytes, first place, places) of each window; the second only tells apart windows of one anchor."""
     made = []
     for at in range(0, max(1, len(b) - length + 1), PIECE):
         part = b[at : at + PIECE + length - 1]
@@ -102,7 +102,7 @@ def windows(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         a = (K.sliding_min((g & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64), length - Q + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         edge = np.flatnonzero(a[1:] != a[:-1]) + 1
         start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(a)]])
-        made.append((g[a[start]], K.span_hash(K.prefix_hash(part), start, end + length - 1), start + at, end - start))
+        made.append((g[a[start]], K.span_hash(K.prefix_hash(part), start, end + length - 1) >> np.uint64(16), start + at, end - start))
     if not made:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*made, strict=True))
@@ -130,6 +130,18 @@ def unpacked(blob: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
+def squeezed(t: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(t)
+
+
+def unsqueezed(z: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(z)
+
+
 KINDS = "<u8 <u8 <i8 <i4 <i4"
 
 
@@ -214,7 +226,7 @@ def settled(rows: DataFrame, parts: int) -> DataFrame:
 def sorted_windows(asked: DataFrame, docs: DataFrame, length: int, parts: int) -> DataFrame:
     """(doc, p, n): runs of places whose string is also in an earlier document, by the suffix arrays of the ranges."""
     per = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "p", "n")).alias("ws"))
-    joined = per.join(docs, F.col("doc") == F.col("doc_id")).select("doc", F.col("ws.h").alias("h"), F.col("ws.p").alias("p"), F.col("ws.n").alias("n"), F.col("text").cast("binary"))
+    joined = per.join(docs, F.col("doc") == F.col("doc_id")).select("doc", F.col("ws.h").alias("h"), F.col("ws.p").alias("p"), F.col("ws.n").alias("n"), "z")
     cut_ddl, out_ddl = "part int, blob binary, body binary", "doc long, p int, n int"
     cut_schema, out_schema = arrow_schema(cut_ddl), arrow_schema(out_ddl)
 
@@ -225,7 +237,7 @@ def sorted_windows(asked: DataFrame, docs: DataFrame, length: int, parts: int) -
             rows, body = [], []
             for d, h, p, n, t in zip(*batch.columns, strict=True):
                 h, p, n = (np.array(x.as_py()) for x in (h, p, n))
-                b = K.raw(t.as_py())
+                b = K.raw(unsqueezed(t.as_py()))
                 rows.append((h.astype(np.int64).view(np.uint64), np.full(len(h), d.as_py()), p, n))
                 body.append(b[K.ragged(p, n + length - 1)])
             if not rows:
@@ -269,11 +281,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part_bytes: int = 8 << 20) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = partitions_for(docs, F.octet_length(F.coalesce("text", F.lit(""))), part_bytes)
     found = materialize(settled(anchors(docs, length, parts), parts), "windows")
-    some, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    late = sorted_windows(found.where("h is not null"), some, length, parts)
+    some = materialize(text_map(docs, lambda texts: [[squeezed(t) for t in texts]], [("z", "binary")]), "texts")
+    late = sorted_windows(found.where("h is not null"), some.where("doc_id is not null"), length, 4 * parts)
     marks = found.where("h is null").select("doc", "p", "n").union(late).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("m"))
-    joined = some.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", F.col("m.p").alias("p"), F.col("m.n").alias("n"))
-    joined = joined.unionByName(none.select("doc_id", "text", *[F.lit(None).cast("array<int>").alias(c) for c in "pn"]))
+    joined = some.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", F.col("m.p").alias("p"), F.col("m.n").alias("n"))
     out = "doc_id long, " + ", ".join(f"{f} {k}" for f, k in FIELDS)
     schema = arrow_schema(out)
 
@@ -283,7 +294,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part_bytes: int = 8 << 20) -
         for batch in batches:
             rows = []
             for d, t, p, n in zip(*batch.columns, strict=True):
-                t = (t.as_py() or "").encode()
+                t = unsqueezed(t.as_py())
                 gone = np.zeros(len(t) + 1, np.int32)
                 if p.is_valid:
                     p, n = p.values.to_numpy(), n.values.to_numpy()
