@@ -276,13 +276,13 @@ def sorted_windows(asked: DataFrame, docs: DataFrame, length: int, parts: int) -
     return joined.mapInArrow(cut, cut_ddl).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(judge, out_ddl)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, part_bytes: int = 8 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, part_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of docs: doc_id and FIELDS."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = partitions_for(docs, F.octet_length(F.coalesce("text", F.lit(""))), part_bytes)
     found = materialize(settled(anchors(docs, length, parts), parts), "windows")
     some = materialize(text_map(docs, lambda texts: [[squeezed(t) for t in texts]], [("z", "binary")]), "texts")
-    late = sorted_windows(found.where("h is not null"), some.where("doc_id is not null"), length, 4 * parts)
+    late = sorted_windows(found.where("h is not null"), some.where("doc_id is not null"), length, parts)
     marks = found.where("h is null").select("doc", "p", "n").union(late).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("m"))
     joined = some.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "z", F.col("m.p").alias("p"), F.col("m.n").alias("n"))
     out = "doc_id long, " + ", ".join(f"{f} {k}" for f, k in FIELDS)
