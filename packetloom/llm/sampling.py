@@ -47,12 +47,20 @@ class Table:
 
     def get(self, h: np.ndarray) -> np.ndarray:
         """Values, -1 where absent."""
-        at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
-        out = np.full(len(h), -1, np.int64)
-        for k in range(self.most):
-            i = np.minimum(at + k, len(self.keys) - 1)
-            hit = self.keys[i] == h
-            out[hit] = self.values[i[hit]]
+        i = np.minimum(self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)], len(self.keys) - 1)
+        found = self.keys[i]
+        out = np.where(found == h, self.values[i], -1)
+        todo = np.flatnonzero(found < h)
+        i = i[todo]
+        for _ in range(self.most):
+            if not len(todo):
+                break
+            i = np.minimum(i + 1, len(self.keys) - 1)
+            found = self.keys[i]
+            hit = found == h[todo]
+            out[todo[hit]] = self.values[i[hit]]
+            less = found < h[todo]
+            todo, i = todo[less], i[less]
         return out
 
 
