@@ -152,7 +152,7 @@ def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in (b.slice(at, size) for b in batches for at, size in slices(b.column(1), 4 << 20)):
+        for batch in (b.slice(at, size) for b in batches for at, size in slices(b.column(1), 2 << 20)):
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, c, p, n = windows(K.raw(t.as_py()), length)
@@ -233,7 +233,7 @@ def sorted_windows(asked: DataFrame, docs: DataFrame, length: int, parts: int) -
     def cut(batches):
         import pyarrow as pa
 
-        for batch in (b.slice(at, size) for b in batches for at, size in slices(b.column(4), 4 << 20)):
+        for batch in (b.slice(at, size) for b in batches for at, size in slices(b.column(4), 2 << 20)):
             rows, body = [], []
             for d, h, p, n, t in zip(*batch.columns, strict=True):
                 h, p, n = (np.array(x.as_py()) for x in (h, p, n))
@@ -256,26 +256,45 @@ def sorted_windows(asked: DataFrame, docs: DataFrame, length: int, parts: int) -
         import pyarrow as pa
 
         for _, blobs in by_part(pa.RecordBatch.from_arrays([b.column(0), pa.array(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)), pa.list_(pa.binary()))], names=["a", "b"]) for b in batches):
-            _, d, p, n = (np.concatenate(x) for x in zip(*(unpacked(b[0], "<u8 <i8 <i4 <i4") for b in blobs), strict=True))
+            h, d, p, n = (np.concatenate(x) for x in zip(*(unpacked(b[0], "<u8 <i8 <i4 <i4") for b in blobs), strict=True))
             text = np.concatenate([np.frombuffer(zlib.decompress(b[1]), np.uint8) for b in blobs])
-            size = n + length - 1
-            start = np.cumsum(size) - size
-            places = K.ragged(start, n)
-            _, pointer = suffix_buckets(text, length)
-            group, doc = pointer[places], np.repeat(d, n)
-            order = np.lexsort((doc, group))
-            new = np.concatenate([[True], group[order][1:] != group[order][:-1]])
-            least = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-            late = np.zeros(len(places), bool)
-            late[order] = doc[order] > least
-            s, e = K.spans(np.concatenate([np.append(x, False) for x in np.split(late, np.cumsum(n)[:-1])])) if len(n) else (np.empty(0, int),) * 2
-            base = np.cumsum(n + 1) - (n + 1)
-            w = np.searchsorted(base, s, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(d[w]), pa.array((p[w] + s - base[w]).astype(np.int32)), pa.array((e - s).astype(np.int32))], schema=out_schema)
+            for chosen in anchor_chunks(h, n + length - 1):
+                yield sort_chunk(d[chosen], p[chosen], n[chosen], text[K.ragged((np.cumsum(n + length - 1) - (n + length - 1))[chosen], (n + length - 1)[chosen])])
+
+    def sort_chunk(d, p, n, text):
+        import pyarrow as pa
+
+        size = n + length - 1
+        start = np.cumsum(size) - size
+        places = K.ragged(start, n)
+        _, pointer = suffix_buckets(text, length)
+        group, doc = pointer[places], np.repeat(d, n)
+        order = np.lexsort((doc, group))
+        new = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+        least = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        late = np.zeros(len(places), bool)
+        late[order] = doc[order] > least
+        s, e = K.spans(np.concatenate([np.append(x, False) for x in np.split(late, np.cumsum(n)[:-1])])) if len(n) else (np.empty(0, int),) * 2
+        base = np.cumsum(n + 1) - (n + 1)
+        w = np.searchsorted(base, s, "right") - 1
+        return pa.RecordBatch.from_arrays([pa.array(d[w]), pa.array((p[w] + s - base[w]).astype(np.int32)), pa.array((e - s).astype(np.int32))], schema=out_schema)
 
     return joined.mapInArrow(cut, cut_ddl).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(judge, out_ddl)
 
 
+def anchor_chunks(h: np.ndarray, size: np.ndarray, most: int = 1 << 18):
+    """Windows of whole anchors, about `most` bytes at a time: strings of different anchors are never equal."""
+    order = np.argsort(h, kind="stable")
+    total = np.cumsum(size[order])
+    last = np.flatnonzero(np.append(h[order][1:] != h[order][:-1], True))
+    at = done = 0
+    while at < len(order):
+        k = min(int(np.searchsorted(total[last], done + most)), len(last) - 1)
+        to = int(last[k]) + 1
+        yield order[at:to]
+        at, done = to, int(total[to - 1])
+
+
 def suffix_dedup(docs: DataFrame, length: int = 50, part_bytes: int = 2 << 20) -> DataFrame:
     """One row per row of docs: doc_id and FIELDS."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
