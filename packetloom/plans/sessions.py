@@ -31,7 +31,7 @@ def q(s: str) -> str:
 _TTL = "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END"
 
 
-@register("icmp_sequence_decode", f"SELECT l_suppkey, count(*) AS packets, count(DISTINCT {_TTL}) AS ttls, string_agg({_TTL}, '' ORDER BY l_orderkey, l_linenumber, l_partkey) AS bits FROM lineitem GROUP BY 1 HAVING count(*) >= 8 AND count(DISTINCT {_TTL}) = 2")
+@register("icmp_sequence_decode", f"SELECT l_suppkey, count(*) AS packets, count(DISTINCT {_TTL}) AS ttls, string_agg({_TTL}, '' ORDER BY l_orderkey, l_linenumber, l_partkey, {_TTL}) AS bits FROM lineitem GROUP BY 1 HAVING count(*) >= 8 AND count(DISTINCT {_TTL}) = 2")
 def icmp_sequence_decode(spark, sf_dir):
     """Two-valued sequences of a source in capture order, as bits: the small value is 0."""
     ttl = F.when(F.col("l_quantity") > 25, 1).otherwise(0)
