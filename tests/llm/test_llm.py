@@ -174,6 +174,31 @@ def test_op4(spark, rows, odd):
     assert substring_dedup(odd.limit(0)).count() == 0
 
 
+def word_stream(seed):
+    r = np.random.default_rng(seed)
+    return lambda n: ["".join(chr(97 + c) for c in x) for x in r.integers(0, 26, (n, 7))]
+
+
+def kept_words(spark, texts):
+    """The words of each of the texts, given as lists of words in order of id, that substring dedup leaves."""
+    from packetloom.llm.chaining import cut_out
+
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    out = {x["doc_id"]: x["text"].split() for x in cut_out(made).collect()}
+    return [out.get(i, []) for i in range(len(texts))]
+
+
+def test_op4_passages_apart(spark):
+    pick = word_stream(11)
+    texts, want = [], []
+    for gap in (30, 60, 100, 150, 200):
+        for size in (60, 400):
+            one, two, a, b = pick(size), pick(size), pick(gap), pick(gap)
+            texts += [one + a + two, one + b + two]
+            want += [one + a + two, b]
+    assert kept_words(spark, texts) == want
+
+
 def test_op5(spark):
     from packetloom.llm.neighbours import nearest
 
