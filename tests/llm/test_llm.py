@@ -199,6 +199,26 @@ def test_op4_passages_apart(spark):
     assert kept_words(spark, texts) == want
 
 
+def test_op4_parts_alone(spark):
+    pick = word_stream(12)
+    one, two = pick(30), pick(30)
+    ends = [(pick(20), pick(20)) for _ in range(6)]
+    texts = [a + part + b for (a, b), part in zip(ends, [one, two, one + two, one, two, one + two], strict=True)]
+    assert kept_words(spark, texts) == [*texts[:5], ends[5][0] + ends[5][1]]
+    from packetloom.llm.chaining import repeats
+
+    r, stock = np.random.default_rng(13), pick(150)
+    texts = [sum((stock[i : i + n] + pick(2) for i, n in zip(r.integers(0, 90, 4), r.integers(20, 60, 4), strict=True)), []) for _ in range(40)]
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {(x["doc"], i) for x in repeats(made, 5, 40).collect() for i in range(x["s"], x["e"])}
+    seen, want = {}, set()
+    for d, w in enumerate(texts):
+        for i in range(len(w) - 39):
+            if seen.setdefault(tuple(w[i : i + 40]), d) < d:
+                want |= {(d, i + j) for j in range(40)}
+    assert got == want and want
+
+
 def test_op5(spark):
     from packetloom.llm.neighbours import nearest
 
