@@ -11,7 +11,8 @@ endpoints. All parts, base ones included, are laid on the axis of their document
 
 The interval join is an equi-join of buckets as long as the scope: a part looks up, in its own and both neighbouring
 buckets, the first and last starts there of each role, which decide nearness exactly, so no pairs are formed and a
-document full of parts costs as many rows as it has parts.
+document full of parts costs as many rows as it has parts. The endpoints found near an identifier are summed up by bucket
+in the same way for the values that have none near.
 
 Places come from splitting at the pattern: the lengths of the pieces and of the matches between them add up to starts.
 
@@ -127,11 +128,15 @@ def link(rows: DataFrame, scope: int) -> DataFrame:
 
     seen = joined.groupBy(*key, "x", "r").agg(*[F.max(close(r)).alias(f"has_{r}") for r in "ise"])
     keep = F.when(F.col("r") == "i", F.col("has_s")).when(F.col("r") == "s", F.col("has_i")).otherwise(F.col("has_i") & F.col("has_s"))
-    return seen.where(keep).groupBy(*key).agg(F.collect_list("x").alias("weak"))
+    at = F.floor(F.col("x.s") / scope)
+    hops = seen.where("r = 'e' and has_i").groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("k"), at.alias("b2")).agg(F.min("x.s").alias("lo_h"), F.max("x.s").alias("hi_h"))
+    far = seen.where("r = 's' and not has_i").select(*key, "x", F.col("x.s").alias("s"), F.explode(F.array(at - 1, at, at + 1)).alias("b"))
+    second = far.join(hops, far.doc_id.eqNullSafe(F.col("d")) & (far.mark == F.col("k")) & (far.b == F.col("b2"))).where(close("h")).select(*key, "x").distinct()
+    return seen.where(keep).select(*key, "x").union(second).groupBy(*key).agg(F.collect_list("x").alias("weak"))
 
 
 def oracle() -> str:
-    """The same rows in DuckDB SQL; nearness is tested part by part."""
+    """The same rows in DuckDB SQL, save values that only an endpoint links; nearness is tested part by part."""
 
     def list_of(kind: str, pattern: str, group: int, least: int) -> str:
         p = pattern.replace("'", "''")

@@ -126,6 +126,16 @@ def test_op2(spark, odd):
     assert find_secrets(odd.limit(0)).count() == 0
 
 
+def test_op2_endpoint_between(spark):
+    from packetloom.llm.credentials import find_secrets, redact
+
+    far, site, value = "z" * 170, "https://api.example.com/v1", "pwd=longvalue1"
+    texts = {1: f"client_id=abcdef12 {far} {site} {far} {value}", None: f"{value} {far} {site} {far} client_id=abcdef12", 2: f"client_id=abcdef12 {far} {far} {site} {value}", 3: f"client_id=abcdef12 {far} {site} {far} z {far} {value}"}
+    made = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in find_secrets(made).collect()} == {1: "endpoint:190:216,value:388:402", None: "value:0:14,endpoint:186:212", 2: "", 3: ""}
+    assert {r["doc_id"]: r["text"] for r in redact(made).collect()}[1] == f"client_id=abcdef12 {far} [endpoint] {far} [value]"
+
+
 def test_op3(spark, rows, odd):
     words = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     phrases = [(b"cc by", "cc-by"), (b"general public license", "gpl"), (b"all rights reserved", "reserved")]
