@@ -229,6 +229,13 @@ def test_op4_parts_alone(spark):
     assert got == want and want
 
 
+def test_op4_long_gap():
+    from packetloom.llm.chaining import common
+
+    a = np.arange(1000, dtype=np.uint32)
+    assert len(common(a, a[::-1])[0]) == 1 and [x.tolist() for x in common(np.zeros(700, np.uint32), np.zeros(600, np.uint32))][1] == list(range(600))
+
+
 def test_op5(spark):
     from packetloom.llm.neighbours import nearest
 
