@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star rounds, each two shuffles over the edges alone; a round's edges are
     written to the shared folder. The neighbourhood minimum is a partial aggregate, so a vertex with a large share
-    of the edges is never gathered in one task. Null ends are dropped; self-loops keep their vertex.
+    of the edges is never gathered in one task. Edges that still change in the last round are an error. Null ends are dropped; self-loops keep their vertex.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.col("a").cast("long"), F.col("b").cast("long"))
     loops = edges.where("a = b").select(F.col("a").alias("id")).distinct()
@@ -65,6 +65,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     heads = cur.select(F.col("b").alias("id"), F.col("b").alias("component"))
     known = cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
     alone = loops.select("id", F.col("id").alias("component"))

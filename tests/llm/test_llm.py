@@ -68,6 +68,12 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_unsettled(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        connected_components(path, max_rounds=2)
+
+
 def test_suffix_order():
     from packetloom.llm.suffixes import suffix_buckets
 
