@@ -2,7 +2,8 @@
 
 Documents are tokenised once, in vectorised form (fast_bpe), dealt into shards of neighbouring ids and packed in order.
 Within a shard the cuts are chosen to minimise padding plus penalties: none at a document's end, `soft` tokens at a
-sentence's end, `hard` anywhere else. For a cut at p the best predecessor q in [p - window, p) minimises
+sentence's end, `hard` elsewhere, where only every (window // 128)th token is a candidate: text without sentence ends may
+carry up to one token less than that as padding in a window. For a cut at p the best predecessor q in [p - window, p) minimises
 cost(q) + q, which a monotone queue over the window yields in constant amortised time. The rest of a shard may also
 close with windows whose lengths are powers of two, which need no padding.
 
