@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,24 +15,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local folder of our own only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder; a local folder of our own only on a local master that names none (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="packetloom-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
+    if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="packetloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and reread it: the lineage ends here, and lost executors cost nothing."""
+def materialize(df: DataFrame, label: str, temp: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and reread it: the lineage ends here, and lost executors cost nothing.
+
+    temp gets the table's path, for discard() once nothing that is still to run reads it."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if temp is not None:
+        temp.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, temp: list[str]) -> None:
+    """Delete tables written by materialize; what was read from them must have been written or collected by now."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    while temp:
+        path = jvm.org.apache.hadoop.fs.Path(temp.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -42,35 +54,76 @@ def partitions_for(df: DataFrame, size: Column, target: int, least: int = 1) ->
     return max(least, -(-int(total) // target))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(a, b) longs -> (id, component): the smallest id reachable, for each id in an edge.
+def contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(a, b), a > b: the same components as the given edges, each task's runs of `most` edges turned into stars."""
+    schema = arrow_schema("a long, b long")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def stars(held):
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            a, b, low = at[: len(a)], at[len(a) :], np.arange(len(ids))
+            while True:
+                was, m = low, np.minimum(low[a], low[b])
+                low = low.copy()
+                np.minimum.at(low, a, m)
+                np.minimum.at(low, b, m)
+                low = low[low]
+                if (low == was).all():
+                    break
+            keep = low != np.arange(len(ids))
+            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[low[keep]])], schema=schema)
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                n += batch.num_rows
+            if n >= most:
+                yield stars(held)
+                held, n = [], 0
+        if held:
+            yield stars(held)
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(a, b) longs -> (id, component): the smallest id reachable, for each id in an edge; a table in the shared folder.
 
-    Alternating large-star and small-star rounds, each two shuffles over the edges alone; a round's edges are
-    written to the shared folder. The neighbourhood minimum is a partial aggregate, so a vertex with a large share
-    of the edges is never gathered in one task. Edges that still change in the last round are an error. Null ends are dropped; self-loops keep their vertex.
+    Each task first turns its edges into stars. Then alternating large-star and small-star rounds run, each a few shuffles
+    over the edges alone, until a round changes nothing; a round's edges are written to the shared folder. The neighbourhood
+    minimum is a partial aggregate, so a vertex with a large share of the edges is never gathered in one task. Rounds are
+    logarithmic in the longest chain of stars. Null ends are dropped; self-loops keep their vertex.
     """
+    spark, temp = edges.sparkSession, []
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.col("a").cast("long"), F.col("b").cast("long"))
-    loops = edges.where("a = b").select(F.col("a").alias("id")).distinct()
-    cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    cur = materialize(edges.where("a = b").distinct().union(contracted(edges.where("a <> b"))), "cc", temp)
+    loops = cur.where("a = b").select(F.col("a").alias("id"))
+    first, cur = list(temp), cur.where("a <> b")
+    temp.clear()
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         down = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        watch = Observation()
-        cur = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct().observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "cc")
+        watch, old = Observation(), list(temp)
+        temp.clear()
+        cur = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct().observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "cc", temp)
+        discard(spark, old)
         mark = watch.get
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    heads = cur.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    known = cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    alone = loops.select("id", F.col("id").alias("component"))
-    return known.union(heads).union(alone).groupBy("id").agg(F.min("component").alias("component"))
+    known = cur.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))).alias("x")).select("x.*")
+    out = materialize(known.union(loops.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component")), "components")
+    discard(spark, temp + first)
+    return out
 
 
 def arrow_schema(ddl):

@@ -1,22 +1,26 @@
 """MinHash near-duplicates (op 6) with sequential Bayesian verification and exact confirmation.
 
 1. Every text becomes its set of hashed k-word shingles, a fingerprint of the set and a MinHash signature. Texts with one
-   set form a class that its smallest id stands for, so copies are never compared.
-2. Signatures are banded; a band's bucket links its members to pivots (the smallest id and the smallest of random
-   orders), so a bucket of n texts gives a few times n candidates, not n^2 pairs. Then the rows outside a bucket's largest
-   component are linked to further pivots of that component.
+   set form a class, one member of which stands for it, so copies are never compared.
+2. Signatures are banded; a band's bucket links its members to pivots (the smallest and the smallest of a random order), so
+   a bucket of n texts gives a few times n candidates, not n^2 pairs. Confirmed links are joined into components.
 3. A candidate's signature is compared batch by batch; it is dropped as soon as the posterior probability of a similarity
    at or above the threshold, given the matches so far and a uniform prior, falls below `miss`. Survivors are confirmed
-   on their full sets. Confirmed links are joined into components.
-4. Buckets that still span several components are completed: each row outside the bucket's largest component is compared
-   with all rows of other components there, in blocks, by the same sequential test within a task; what survives is
-   confirmed on full sets too. So every pair that shares a band is tested unless it is already in one component.
+   on their full sets.
+4. Buckets that still span several components are completed: the rows outside a bucket's largest component are compared
+   with all rows that share a bucket of that component, in blocks of `block` by `block` rows, by the same test. So every
+   pair that shares a band is tested unless it is already in one component.
 
-With 128 hashes in 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8; `miss` is 1e-4.
+Both steps deal each text's signature and compressed words to the blocks that need it, and a block tests, confirms and joins
+up its rows in place: pairs exist only within numpy, and what leaves a task is a link between two components at most
+once. Work in a family of n near copies of which m stay apart is m times n signature tests, spread over blocks.
 
-Nulls: null or blank texts have no set and stand alone; null ids keep a row with a null component, not kept. Repeated rows
-of one id count as one document, the union of nothing: its rows share the component of their own set and id. An empty
-table gives an empty result.
+With 128 hashes in 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8; `miss` is 1e-4. Sets
+are told apart by 64-bit fingerprints: of 10^9 different sets two are taken for one with a chance of about 3 %.
+
+Nulls: null or blank texts have no set and stand alone; null ids keep a row with a null component, not kept, and their sets
+link others all the same. Rows of one id with different texts are sets of their own; each row gets its own set's
+component, the smallest id among the component's rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import arrow_schema, connected_components, materialize, text_map
+from .common import arrow_schema, connected_components, discard, materialize, slices, text_map
 
 HASHES, BATCH, ROWS = 128, 32, 4
 BANDS = HASHES // ROWS
@@ -50,32 +54,35 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def lowered_words(t: bytes) -> np.ndarray:
-    return K.words(K.LOWER[K.raw(t)])[2]
+def fingerprint(s: np.ndarray) -> int:
+    """A 64-bit hash of a set, from two sums over differently mixed members; equal sets are taken by it for one."""
+    both = np.array([K.mix(s).sum(dtype=np.uint64), K.mix(s + np.uint64(7)).sum(dtype=np.uint64)])
+    return int(K.mix(both[:1] * np.uint64(3) + K.mix(both[1:] + np.uint64(len(s))))[0].view(np.int64))
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), fp (fingerprint of the set) and sig of each row; no sig for empty sets."""
+    """doc_id, n (set size), rid (the set's id, a hash of its fingerprint), sig and z (compressed words); null for empty sets."""
 
     def run(texts):
-        n, fp, sig = [], [], []
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        out = [[], [], [], []]
         for t in texts:
-            s = K.shingle_set(lowered_words(t), k)
-            n.append(len(s))
-            if not len(s):
-                fp.append(None)
-                sig.append(None)
-                continue
-            fp.append(np.array([K.mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(K.mix(s + np.uint64(7))), len(s)], np.uint64).tobytes())
-            sig.append(signature(s).tobytes())
-        return [n, fp, sig]
+            b = K.LOWER[K.raw(t)]
+            s = K.shingle_set(K.words(b)[2], k)
+            n, none = len(s), not len(s)
+            rid = None if none else fingerprint(s)
+            for col, v in zip(out, (n, rid, None if none else signature(s).tobytes(), None if none else z.compress(b.tobytes())), strict=True):
+                col.append(v)
+        return out
 
-    return text_map(docs, run, [("n", "long"), ("fp", "binary"), ("sig", "binary")])
+    return text_map(docs, run, [("n", "long"), ("rid", "long"), ("sig", "binary"), ("z", "binary")])
 
 
 def banded_rows(reps: DataFrame) -> DataFrame:
-    """(id, p, bucket): each signature's BANDS buckets, hashes of ROWS minima and the band's number."""
-    schema = arrow_schema("id long, p int, bucket long")
+    """(id, bucket): each signature's BANDS buckets, hashes of ROWS minima and the band's number."""
+    schema = arrow_schema("id long, bucket long")
 
     def run(batches):
         import pyarrow as pa
@@ -86,26 +93,9 @@ def banded_rows(reps: DataFrame) -> DataFrame:
             for c in range(ROWS):
                 h = K.mix(h * np.uint64(0x9FB21C651E98DF25) + x[:, c::ROWS])
             h = K.mix(h + np.arange(BANDS, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(x))), pa.array(h.view(np.int64).ravel())], schema=schema)
-
-    return reps.select("doc_id", "sig").mapInArrow(run, "id long, p int, bucket long")
-
-
-def squeezed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, z): the compressed texts of some documents; the shuffle that finds them carries no plain text."""
-
-    def run(texts):
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=3)
-        return [[z.compress(lowered(t)) for t in texts]]
-
-    packed = text_map(docs.where("doc_id is not null"), run, [("z", "binary")])
-    return packed.join(ids, packed["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(h.view(np.int64).ravel())], schema=schema)
 
-
-def lowered(t: bytes) -> bytes:
-    return K.LOWER[K.raw(t)].tobytes()
+    return reps.select("rid", "sig").mapInArrow(run, "id long, bucket long")
 
 
 def limits(threshold: float, miss: float) -> list[int]:
@@ -122,186 +112,174 @@ def limits(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def survives(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
-    """Which rows of two signature matrices pass the sequential test; later batches look at survivors alone."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+def survivors(x: np.ndarray, sigs: np.ndarray, rows: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which of the given rows of a signature matrix pass the sequential test with x; later batches look at survivors alone."""
+    matches = np.zeros(len(rows), np.int64)
     for i, m in enumerate(least):
         part = slice(i * BATCH, (i + 1) * BATCH)
-        matches = matches + (a[alive, part] == b[alive, part]).sum(1)
+        matches = matches + (sigs[rows, part] == x[part]).sum(1)
         keep = matches >= m
-        alive, matches = alive[keep], matches[keep]
-    return alive
+        rows, matches = rows[keep], matches[keep]
+    return rows
 
 
 def signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, most: int = 2048) -> DataFrame:
-    """(a, b), a > b, of the pairs (g, x, y) whose full sets meet the threshold, in whole numbers.
+class Sets:
+    """Shingle sets of some rows as indices into their union, to intersect one set with many of them at once."""
 
-    Pairs meet their texts (doc_id, z) in groups: those of one g, in blocks by y of about `most` pairs, small ones together.
-    A group gets each of its texts once, so a family of n texts costs about n texts and not one per pair.
-    """
-    percent = round(100 * threshold)
-    sizes = pairs.groupBy("g").agg(F.count("*").alias("m"))
-    few = max(1, (pairs.count() + most - 1) // most)
-    block = F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / most))
-    keyed = materialize(pairs.join(sizes, "g").select(F.pmod(F.xxhash64("g", block), F.lit(2 * few)).alias("key"), "x", "y"), "keyed")
-    needed = keyed.select(F.col("key").alias("to"), F.explode(F.array("x", "y")).alias("id")).distinct().join(texts, F.col("id") == F.col("doc_id")).select("to", "id", "z")
-    schema = arrow_schema("a long, b long")
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.union, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat, self.starts = flat, np.cumsum(self.sizes) - self.sizes
 
-    def run(key, left, right):
-        import pyarrow as pa
-        import zstandard
+    def common(self, s: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
+        held = np.zeros(len(self.union), bool)
+        held[at[self.union[at] == s]] = True
+        size = self.sizes[rows]
+        return np.add.reduceat(held[self.flat[K.ragged(self.starts[rows], size)]], np.cumsum(size) - size, dtype=np.int64)
 
-        z = zstandard.ZstdDecompressor()
-        held = {i: K.shingle_set(K.words(K.raw(z.decompress(x)))[2], k) for i, x in zip(right.column("id").to_pylist(), right.column("z").to_pylist(), strict=True)}
-        out = []
-        for x, y in zip(left.column("x").to_pylist(), left.column("y").to_pylist(), strict=True):
-            p, q = held[x], held[y]
-            if percent * max(len(p), len(q)) > 100 * min(len(p), len(q)):
-                continue
-            both = np.concatenate([p, q])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (len(p) + len(q) - common):
-                out.append((max(x, y), min(x, y)))
-        cols = list(zip(*out, strict=True)) or [[], []]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
-    return keyed.groupBy("key").cogroup(needed.groupBy("to")).applyInArrow(run, "a long, b long").distinct()
+class Group:
+    """The left rows of one block, its components as joined up so far, and the links found."""
 
+    def __init__(self, k: int, percent: int, least: list[int]):
+        import zstandard
 
-def pivots_of(c: str, orders: range) -> list[Column]:
-    """Aggregates: the smallest of c in several random orders."""
-    return [F.min_by(c, F.xxhash64(F.lit(n), F.col(c))).alias(f"p{n}") for n in orders]
+        self.k, self.percent, self.least, self.z = k, percent, least, zstandard.ZstdDecompressor()
+        self.parent: dict[int, int] = {}
+        self.ids, self.comps, self.few, self.sigs, self.packed, self.sets = [], [], [], [], [], {}
+
+    def root(self, c: int) -> int:
+        while (p := self.parent.get(c, c)) != c:
+            self.parent[c] = c = self.parent.get(p, p)
+        return c
+
+    def shingles(self, z: bytes) -> np.ndarray:
+        return K.shingle_set(K.words(K.raw(self.z.decompress(z)))[2], self.k)
+
+    def left(self, ids, comps, sigs, packed) -> None:
+        self.ids += ids
+        self.comps += comps
+        self.sigs += list(sigs)
+        self.packed += packed
+
+    def compare(self, ids: np.ndarray, comps: np.ndarray, few: np.ndarray, sigs: np.ndarray, packed: list[bytes]) -> list[tuple[int, int]]:
+        """Links of the left rows with the given ones: one for each two components at most."""
+        out, sets, place = [], None, np.full(len(ids), -1)
+        roots = np.array([self.root(c) for c in comps.tolist()], np.int64)
+        near = [(i, survivors(self.sigs[i], sigs, np.flatnonzero((roots != self.root(self.comps[i])) & ~(few & (ids >= x))), self.least)) for i, x in enumerate(self.ids)]
+        asked = np.unique(np.concatenate([r for _, r in near])) if near else np.empty(0, np.int64)
+        if not len(asked):
+            return out
+        sets, place[asked] = Sets([self.shingles(packed[j]) for j in asked.tolist()]), np.arange(len(asked))
+        for i, rows in near:
+            if not len(rows):
+                continue
+            own = self.sets.get(i)
+            if own is None:
+                own = self.sets[i] = self.shingles(self.packed[i])
+            n = sets.sizes[place[rows]]
+            fit = self.percent * np.maximum(n, len(own)) <= 100 * np.minimum(n, len(own))
+            rows, n = rows[fit], n[fit]
+            if not len(rows):
+                continue
+            both = sets.common(own, place[rows])
+            for j in rows[100 * both >= self.percent * (n + len(own) - both)].tolist():
+                a, b = self.root(self.comps[i]), self.root(int(comps[j]))
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
+                    out.append((self.ids[i], int(ids[j])))
+        return out
 
 
-def tested(pairs: DataFrame, sigs: DataFrame, least: list[int]) -> DataFrame:
-    """The pairs (g, x, y) that pass the sequential test."""
-    one, two = (sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"s{c}")) for c in "xy")
-    joined = pairs.join(one, "x").join(two, "y").select("g", "x", "y", "sx", "sy")
-    schema = arrow_schema("g long, x long, y long")
+def links_of(rows: DataFrame, vectors: DataFrame, k: int, threshold: float, least: list[int]) -> DataFrame:
+    """(a, b) of the rows (key, right, few, id, c): in each key, links of left rows with right ones of other components c.
+
+    few marks right rows that are left ones too, so that such a pair is met once."""
+    percent, schema = round(100 * threshold), arrow_schema("a long, b long")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if batch.num_rows:
-                at = pa.array(survives(signatures(batch.column(3)), signatures(batch.column(4)), least))
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)], schema=schema)
-
-    return joined.mapInArrow(run, "g long, x long, y long")
-
-
-def joined_up(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(id, component) after more links: components of the old components' graph."""
-    if labels is None:
-        return materialize(connected_components(links), "components")
-    of = lambda c: labels.select(F.col("id").alias(f"i{c}"), F.col("component").alias(f"c{c}"))
-    edges = links.join(of("a"), F.col("a") == F.col("ia"), "left").join(of("b"), F.col("b") == F.col("ib"), "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = materialize(connected_components(edges), "merged").select(F.col("id").alias("old"), F.col("component").alias("new"))
-    kept = labels.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
-    fresh = merged.select(F.col("old").alias("id"), F.col("new").alias("component"))
-    return materialize(kept.union(fresh).groupBy("id").agg(F.min("component").alias("component")), "components")
-
-
-def mixed(banded: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, p, id, c, top, rows) of the buckets that span several components; top: the one with most rows."""
-    labelled = banded.join(labels, "id", "left").select("bucket", "p", "id", F.coalesce("component", "id").alias("c"))
+        held, group = None, None
+        for batch in (b.slice(at, size) for b in batches for at, size in slices(b.column(6), 1 << 20)):
+            key, right = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (right[1:] != right[:-1])) + 1
+            found = []
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+                if key[a] != held:
+                    held, group = key[a], Group(k, percent, least)
+                part = batch.slice(a, b - a)
+                ids, comps, sigs, packed = part.column(3), part.column(4), signatures(part.column(5)), part.column(6).to_pylist()
+                if right[a]:
+                    found += group.compare(ids.to_numpy(), comps.to_numpy(), part.column(2).to_numpy(zero_copy_only=False), sigs, packed)
+                else:
+                    group.left(ids.to_pylist(), comps.to_pylist(), sigs, packed)
+            if found:
+                x, y = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=schema)
+
+    full = rows.join(vectors.withColumnRenamed("rid", "id"), "id").select("key", "right", "few", "id", "c", "sig", "z")
+    return full.repartition("key").sortWithinPartitions("key", "right", "id").mapInArrow(run, "a long, b long")
+
+
+def parts_of(n: Column, block: int) -> Column:
+    """A power of two of parts for n rows, so that buckets of about one size agree on it."""
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(n / block)))).cast("int")
+
+
+def star_rows(rows: DataFrame, block: int) -> DataFrame:
+    """Rows for links_of: each bucket's pivots on the left of all its rows, in parts."""
+    pivots = rows.groupBy("bucket").agg(F.min("id").alias("p0"), F.min_by("id", F.xxhash64(F.lit(1), "id")).alias("p1"), F.count("*").alias("m")).where("m > 1")
+    pivots = pivots.select("bucket", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("g"), parts_of(F.col("m"), block).alias("parts"))
+    key = lambda part: F.xxhash64("g", "parts", part).alias("key")
+    right = rows.join(pivots, "bucket").where("id <> g").select(key(F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit(True).alias("right"), "id")
+    left = pivots.select("g", "parts").distinct().select("g", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(key(F.col("part").cast("long")), F.lit(False).alias("right"), F.col("g").alias("id"))
+    return right.distinct().union(left).select("key", "right", F.lit(False).alias("few"), "id", F.col("id").alias("c"))
+
+
+def mixed_rows(rows: DataFrame, labels: DataFrame, block: int, temp: list[str]) -> DataFrame:
+    """Rows for links_of: of the buckets that span several components, those outside the largest one, top, on the left of all
+    rows in buckets of that top, in parts on both sides."""
+    labelled = materialize(rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "labelled", temp)
     by_comp = labelled.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    several = by_comp.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("rows")).where("parts > 1").drop("parts")
-    return materialize(labelled.join(several, "bucket"), "mixed")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-4, block: int = 2048, pivots: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept (it is that id), n_links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prof = materialize(profile(docs, k), "profile")
+    several = by_comp.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "top")
+    members = materialize(labelled.join(several, "bucket").select("top", "id", "c").distinct(), "mixed", temp)
+    sizes = members.groupBy("top").agg(parts_of(F.count_if(F.col("c") != F.col("top")), block).alias("nl"), parts_of(F.count("*"), block).alias("nr"))
+    dealt = members.join(sizes, "top")
+    side = lambda n, n2, right: F.struct(F.xxhash64("top", *((n2, n) if right else (n, n2))).alias("key"), F.lit(right).alias("right"))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    many = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1)
+    left = F.when(F.col("c") != F.col("top"), F.transform(many("nr"), lambda j: side(own("nl"), j, False))).otherwise(F.array().cast("array<struct<key:long,right:boolean>>"))
+    right = F.transform(many("nl"), lambda j: side(own("nr"), j, True))
+    return dealt.select("id", "c", (F.col("c") != F.col("top")).alias("few"), F.explode(F.concat(left, right)).alias("x")).select("x.key", "x.right", "few", "id", "c")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-4, block: int = 2048) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept (it is that id)."""
+    spark, temp = docs.sparkSession, []
     least = limits(threshold, miss)
-    has = prof.where("fp is not null and doc_id is not null")
-    heads = has.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    reps = materialize(has.join(heads.withColumnRenamed("fp", "hfp"), (F.col("doc_id") == F.col("head")) & (F.col("fp") == F.col("hfp"))).select("doc_id", "sig").dropDuplicates(["doc_id"]), "reps")
-    rows = banded_rows(reps).repartition("bucket")
-    sigs = reps.select("doc_id", "sig")
-
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("p0"), *pivots_of("id", range(1, pivots)), F.count("*").alias("m")).where("m > 1").drop("m")
-    banded = materialize(rows.join(shared, "bucket"), "bands")
-    texts = materialize(squeezed(docs, banded.select("id").distinct()), "texts")
-    star = banded.select("id", F.explode(F.array_distinct(F.array(*[f"p{n}" for n in range(pivots)]))).alias("x")).where("id <> x")
-    links = materialize(confirmed(materialize(tested(star.select(F.col("x").alias("g"), "x", F.col("id").alias("y")).distinct(), sigs, least), "survivors"), texts, k, threshold), "links")
-    labels = joined_up(None, links)
-
-    banded = banded.select("bucket", "p", "id")
-    open_ = mixed(banded, labels)
-    ends = open_.where("c = top").groupBy("bucket").agg(*pivots_of("id", range(10, 14)))
-    again = open_.where("c <> top").join(ends, "bucket").select(F.col("id").alias("x"), F.col("top").alias("g"), F.explode(F.array_distinct(F.array(*[f"p{n}" for n in range(10, 14)]))).alias("y"))
-    more = materialize(confirmed(materialize(tested(again.select("g", "x", "y").distinct(), sigs, least), "survivors"), texts, k, threshold), "links")
-    labels = joined_up(labels, more)
-    links = links.union(more)
-
-    last = materialize(confirmed(materialize(completed(mixed(open_.select("bucket", "p", "id"), labels), sigs, least, block), "survivors"), texts, k, threshold), "links")
-    labels = joined_up(labels, last)
-    links = links.union(last).distinct()
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("n_links"))
-    of_set = heads.join(labels, heads["head"] == labels["id"], "left").join(degree, F.col("head") == F.col("d"), "left").select(F.col("fp").alias("set_fp"), F.coalesce("component", "head").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = prof.select("doc_id", "n", "fp").join(of_set, F.col("fp") == F.col("set_fp"), "left")
-    comp = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def completed(rows: DataFrame, sigs: DataFrame, least: list[int], block: int) -> DataFrame:
-    """(g, x, y): pairs of different components in one bucket that pass the sequential test, g being the bucket's top.
-
-    The rows outside a bucket's largest component are dealt to all of its blocks of about `block` rows, all rows to one
-    each. A pair is reported by the first of the bands that it shares.
-    """
-    blocks = F.ceil(F.col("rows") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    few = rows.where("c <> top").select("bucket", "p", "top", "id", "c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("few"))
-    all_ = rows.select("bucket", "p", "top", "id", "c", own.alias("block"), F.lit(False).alias("few"))
-    dealt = few.union(all_).join(sigs.withColumnRenamed("doc_id", "id"), "id")
-
-    ddl = "g long, x long, y long"
-    schema = arrow_schema(ddl)
-
-    def judge(cols, starts, ends):
-        """The pairs of whole groups, given as arrays and each group's rows."""
-        bucket, blk, few_, i, c, top, p, sig = cols
-        n = np.array([few_[a:b].sum() for a, b in zip(starts, ends, strict=True)])
-        left = np.concatenate([np.arange(a, a + m) for a, m in zip(starts, n, strict=True)])
-        size = np.repeat(ends - starts - n, n)
-        right = K.ragged(np.repeat(starts + n, n), size)
-        left = np.repeat(left, size)
-        for at in range(0, len(left), 1 << 16):
-            x, y = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
-            keep = (c[x] != c[y]) & ((c[y] == top[x]) | (i[y] < i[x]))
-            x, y = x[keep], y[keep]
-            alive = survives(sig[x], sig[y], least)
-            x, y = x[alive], y[alive]
-            first = (sig[x] == sig[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1) == p[x]
-            yield top[x[first]], i[x[first]], i[y[first]]
-
-    def run(batches):
-        import pyarrow as pa
-
-        held, source, last = None, iter(batches), False
-        while not last:
-            batch = next(source, None)
-            last = batch is None
-            if not last:
-                new = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(7)] + [signatures(batch.column(7))]
-                held = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
-            if held is None or not len(held[0]):
-                continue
-            edge = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
-            bounds = np.concatenate([[0], edge, [len(held[0])] if last else []]).astype(np.int64)
-            if len(bounds) > 1:
-                for g, x, y in judge(held, bounds[:-1], bounds[1:]):
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(x), pa.array(y)], schema=schema)
-            held = [h[bounds[-1] :] for h in held]
-
-    ordered = dealt.select("bucket", "block", "few", "id", "c", "top", "p", "sig").repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.col("few").desc(), "id")
-    return ordered.mapInArrow(run, ddl).distinct()
+    prof = materialize(profile(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k), "profile")
+    reps = materialize(prof.where("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig")), "reps")
+    rows = banded_rows(reps)
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    rows = materialize(rows.join(shared, "bucket"), "bands", temp)
+    some = rows.select(F.col("id").alias("rid")).distinct().join(reps.select("rid", "sig"), "rid")
+    words = prof.where("rid is not null").groupBy("rid").agg(F.first("z").alias("z"))
+    vectors = materialize(some.join(words, "rid"), "vectors", temp)
+    stars = links_of(star_rows(rows, block), vectors, k, threshold, least)
+    labels = connected_components(stars)
+    more = links_of(mixed_rows(rows, labels, block, temp), vectors, k, threshold, least)
+    labels = connected_components(more.union(labels.where("id <> component").select("id", "component")))
+    discard(spark, temp)
+
+    named = reps.select("rid", "head").join(labels, F.col("rid") == F.col("id"), "left").select("rid", "head", F.coalesce("component", "rid").alias("c"))
+    least_id = named.groupBy("c").agg(F.min("head").alias("component_id"))
+    of_set = named.join(least_id, "c").select(F.col("rid").alias("r"), "component_id")
+    out = prof.select("doc_id", "n", "rid").join(of_set, F.col("rid") == F.col("r"), "left")
+    comp = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))

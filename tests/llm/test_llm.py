@@ -68,10 +68,10 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_components_unsettled(spark):
-    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
-    with pytest.raises(RuntimeError, match="not settled"):
-        connected_components(path, max_rounds=2)
+def test_components_of_long_paths(spark):
+    n = 300
+    path = spark.createDataFrame([((37 * i) % n, (37 * (i + 1)) % n) for i in range(n - 1)], "a long, b long").repartition(7)
+    assert {(x["id"], x["component"]) for x in connected_components(path).collect()} == {(i, 0) for i in range(n)}
 
 
 def test_suffix_order():
@@ -293,9 +293,12 @@ def test_op6(spark, rows, odd):
     assert least == sorted(least) and least[-1] < 0.8 * 128
     r = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
-    family = [(100 + i, " ".join(w if r.random() > 0.02 else f"x{r.integers(10**6)}" for w in base)) for i in range(40)]
-    made = near_duplicates(spark.createDataFrame(family, "doc_id long, text string"), k=2, block=8)
-    assert {x["doc_id"]: x["component_id"] for x in made.collect()} == {d: c for d, (_, c, _) in brute_near([(d, t.encode()) for d, t in family], 2).items()}
+    for size, rate, block in ((40, 0.02, 8), (400, 0.02, 64), (400, 0.05, 128)):
+        family = [(100 + i, " ".join(w if r.random() > rate else f"x{r.integers(10**6)}" for w in base)) for i in range(size)]
+        made = near_duplicates(spark.createDataFrame(family, "doc_id long, text string"), k=2, block=block)
+        assert {x["doc_id"]: x["component_id"] for x in made.collect()} == {d: c for d, (_, c, _) in brute_near([(d, t.encode()) for d, t in family], 2).items()}
+    twice = near_duplicates(spark.createDataFrame([(7, LONG), (7, "a b c d e f g"), (3, "a b c d e f g"), (None, LONG + "y"), (9, LONG + "z")], "doc_id long, text string"))
+    assert sorted((x["doc_id"] or 0, x["n_shingles"] > 3, x["component_id"], x["kept"]) for x in twice.collect()) == [(0, True, None, False), (3, False, 3, True), (7, False, 3, False), (7, True, 7, True), (9, True, 7, False)]
     found = near_duplicates(odd).collect()
     assert len(found) == len(ODD)
     by = {x["doc_id"]: x for x in found}
