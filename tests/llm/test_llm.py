@@ -221,18 +221,60 @@ def test_op4_parts_alone(spark):
     ends = [(pick(20), pick(20)) for _ in range(6)]
     texts = [a + part + b for (a, b), part in zip(ends, [one, two, one + two, one, two, one + two], strict=True)]
     assert kept_words(spark, texts) == [*texts[:5], ends[5][0] + ends[5][1]]
-    from packetloom.llm.chaining import repeats
+    from packetloom.llm.chaining import candidates
 
     r, stock = np.random.default_rng(13), pick(150)
-    texts = [sum((stock[i : i + n] + pick(2) for i, n in zip(r.integers(0, 90, 4), r.integers(20, 60, 4), strict=True)), []) for _ in range(40)]
-    made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
-    got = {(x["doc"], i) for x in repeats(made, 5, 40).collect() for i in range(x["s"], x["e"])}
+    texts = [sum((stock[i : i + n] + pick(2) for i, n in zip(r.integers(0, 90, 4), r.integers(20, 60, 4), strict=True)), []) for _ in range(60)]
+    texts += [pick(10) + stock[20:90] + pick(10) for _ in range(50)]
     seen, want = {}, set()
     for d, w in enumerate(texts):
         for i in range(len(w) - 39):
             if seen.setdefault(tuple(w[i : i + 40]), d) < d:
                 want |= {(d, i + j) for j in range(40)}
-    assert got == want and want
+    for n in (1, 5):
+        made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(n)
+        found = candidates(made, 4, 6, 0.1, 40, 3, 60, 2000).where("anchors is null").collect()
+        assert {(x["doc"], i) for x in found for i in range(x["low"], x["high"])} == want and want
+
+
+def brute_share(texts, similarity=0.8, least=40):
+    """Whether each text has a stretch of `least` words that an earlier one holds with that share of them, by local alignment."""
+    out = []
+    for d, a in enumerate(texts):
+        hit = False
+        for b in texts[:d]:
+            at = {}
+            for j, w in enumerate(b):
+                at.setdefault(w, []).append(j)
+            votes = Counter(i - j for i, w in enumerate(a) for j in at.get(w, []))
+            for diagonal, n in votes.items():
+                same = np.array([0 <= i - diagonal < len(b) and b[i - diagonal] == w for i, w in enumerate(a)], int)
+                hit |= n >= similarity * least and len(same) >= least and np.convolve(same, np.ones(least, int), "valid").max() >= similarity * least
+        out.append(bool(hit))
+    return out
+
+
+def test_op4_fuzzy(spark):
+    from packetloom.llm.chaining import substring_dedup
+
+    r, pick = np.random.default_rng(21), word_stream(22)
+    share = {}
+    for keep in (0.8, 0.85, 0.9, 0.95):
+        texts = []
+        for _ in range(40):
+            passage = pick(int(r.integers(60, 120)))
+            other = [w if r.random() < keep else pick(1)[0] for w in passage]
+            texts += [pick(40) + passage + pick(40), pick(30) + other + pick(50)]
+        truth = brute_share(texts)
+        rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+        got = {x["doc_id"]: (x["n_removed"], x["spans"]) for x in substring_dedup(rows.repartition(1)).collect()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert got == {x["doc_id"]: (x["n_removed"], x["spans"]) for x in substring_dedup(rows.repartition(6), part_bytes=5000).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        hit = [got[d][0] > 0 for d, t in enumerate(truth) if t]
+        share[keep] = np.mean(hit)
+        assert not any(got[d][0] for d in range(0, len(texts), 2))
+    assert share[0.95] == 1 and share[0.9] >= 0.9 and share[0.85] >= 0.75, share
 
 
 def test_op4_long_gap():
