@@ -55,7 +55,7 @@ def partitions_for(df: DataFrame, size: Column, target: int, least: int = 1) ->
 
 
 def contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """(a, b), a > b: the same components as the given edges, each task's runs of `most` edges turned into stars."""
+    """(a, b), a > b: the same components as the given edges, each task's runs of `most` edges turned into stars; loops stay."""
     schema = arrow_schema("a long, b long")
 
     def run(batches):
@@ -75,7 +75,8 @@ def contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
                 if (low == was).all():
                     break
             keep = low != np.arange(len(ids))
-            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[low[keep]])], schema=schema)
+            loops = np.unique(ids[a[a == b]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[keep], loops])), pa.array(np.concatenate([ids[low[keep]], loops]))], schema=schema)
 
         held, n = [], 0
         for batch in batches:
@@ -101,8 +102,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     spark, temp = edges.sparkSession, []
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.col("a").cast("long"), F.col("b").cast("long"))
-    cur = materialize(edges.where("a = b").distinct().union(contracted(edges.where("a <> b"))), "cc", temp)
-    loops = cur.where("a = b").select(F.col("a").alias("id"))
+    cur = materialize(contracted(edges), "cc", temp)
+    loops = cur.where("a = b").select(F.col("a").alias("id")).distinct()
     first, cur = list(temp), cur.where("a <> b")
     temp.clear()
     seen = None

@@ -60,8 +60,8 @@ def fingerprint(s: np.ndarray) -> int:
     return int(K.mix(both[:1] * np.uint64(3) + K.mix(both[1:] + np.uint64(len(s))))[0].view(np.int64))
 
 
-def profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), rid (the set's id, a hash of its fingerprint), sig and z (compressed words); null for empty sets."""
+def profile(docs: DataFrame, k: int, carry: list[str]) -> DataFrame:
+    """carry, n (set size), rid (the set's id, a hash of its fingerprint), sig and z (compressed words); null for empty sets."""
 
     def run(texts):
         import zstandard
@@ -77,7 +77,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                 col.append(v)
         return out
 
-    return text_map(docs, run, [("n", "long"), ("rid", "long"), ("sig", "binary"), ("z", "binary")])
+    return text_map(docs, run, [("n", "long"), ("rid", "long"), ("sig", "binary"), ("z", "binary")], carry)
 
 
 def banded_rows(reps: DataFrame) -> DataFrame:
@@ -259,11 +259,12 @@ def mixed_rows(rows: DataFrame, labels: DataFrame, block: int, temp: list[str])
     return dealt.select("id", "c", (F.col("c") != F.col("top")).alias("few"), F.explode(F.concat(left, right)).alias("x")).select("x.key", "x.right", "few", "id", "c")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-4, block: int = 2048) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept (it is that id)."""
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-4, block: int = 2048, carry: list[str] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, carry, n_shingles, component_id (smallest id reachable), kept (it is that id)."""
     spark, temp = docs.sparkSession, []
     least = limits(threshold, miss)
-    prof = materialize(profile(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k), "profile")
+    carry = ["doc_id", *carry]
+    prof = materialize(profile(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry[1:]), k, carry), "profile")
     reps = materialize(prof.where("rid is not null").groupBy("rid").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig")), "reps")
     rows = banded_rows(reps)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
@@ -280,6 +281,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     named = reps.select("rid", "head").join(labels, F.col("rid") == F.col("id"), "left").select("rid", "head", F.coalesce("component", "rid").alias("c"))
     least_id = named.groupBy("c").agg(F.min("head").alias("component_id"))
     of_set = named.join(least_id, "c").select(F.col("rid").alias("r"), "component_id")
-    out = prof.select("doc_id", "n", "rid").join(of_set, F.col("rid") == F.col("r"), "left")
+    out = prof.select(*carry, "n", "rid").join(of_set, F.col("rid") == F.col("r"), "left")
     comp = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
+    return out.select(*carry, F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))

@@ -6,7 +6,8 @@ trained by full-batch Adam on a bounded sample of labelled rows (`sample`, the r
 calibrated by Platt scaling on rows held out of the training, and applied in Arrow batches against a fixed threshold.
 
 Nulls: a null text is empty (no words: the base rules fail it); labels with a null id or quality are left out. Without
-labels of both classes there is no model and the base rules decide alone. Repeated rows are scored alike, one by one.
+labels of both classes there is no model and the base rules decide alone. Repeated rows are scored alike, one by one; of
+several texts with one labelled id the least is trained on. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def judge(texts: list[bytes], model: Model | None, min_words: int = 50) -> list[
 def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, steps: int = 60, rate: float = 0.5, penalty: float = 1e-6, threshold: float = 0.5) -> Model | None:
     """A model of labels.quality = 0 from at most `sample` labelled documents; None unless both classes occur."""
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def counted(texts):
         made = [[], []]
@@ -98,37 +99,52 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, steps: int = 6
     got = text_map(rows, counted, [("word", "binary"), ("char", "binary")], ["doc_id", "quality"]).orderBy("doc_id").collect()
     if len({r["quality"] for r in got}) < 2:
         return None
-    index, value, sizes = [], [], []
-    for r in got:
-        n = 0
-        for k, x in enumerate((r["word"], r["char"])):
-            m = len(x) // 6
-            index.append(np.frombuffer(x, "<u2", m).astype(np.int64) + (k << BITS))
-            value.append(np.frombuffer(x, "<f4", m, 2 * m))
-            n += m
-        sizes.append(n)
     y = np.array([r["quality"] == 0 for r in got], np.float64)
-    index, value, sizes = np.concatenate(index), np.concatenate(value).astype(np.float64), np.array(sizes)
-    row = np.repeat(np.arange(len(y)), sizes)
     held = np.arange(len(y)) % 3 == 0
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
-    use = ~held[row]
-    w, bias = fit(index[use], value[use], row[use], y, ~held, steps, rate, penalty)
-    z = bias + np.bincount(row, w[index] * value, len(y))
+    chunks = chunked([(r["word"], r["char"]) for r in got])
+    del got
+    w, bias = fit(chunks, y, ~held, steps, rate, penalty)
+    z = bias + scores(chunks, w, len(y))
     slope, shift = platt(z[held] if held.any() else z, y[held] if held.any() else y)
     return Model(w[: 1 << BITS].astype(np.float32), w[1 << BITS :].astype(np.float32), bias, slope, shift, threshold)
 
 
-def fit(index, value, row, y, used, steps, rate, penalty) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch Adam; both classes weigh alike."""
+def chunked(rows: list[tuple[bytes, bytes]], most: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(feature, share, row) of the rows' word and character features, some `most` at a time: what training needs at once."""
+    out, index, value, at, n = [], [], [], [], 0
+    for i, families in enumerate(rows):
+        for k, x in enumerate(families):
+            m = len(x) // 6
+            index.append(np.frombuffer(x, "<u2", m).astype(np.uint32) + np.uint32(k << BITS))
+            value.append(np.frombuffer(x, "<f4", m, 2 * m))
+            at.append(np.full(m, i, np.uint32))
+            n += m
+        if n >= most or i == len(rows) - 1:
+            out.append((np.concatenate(index), np.concatenate(value), np.concatenate(at)))
+            index, value, at, n = [], [], [], 0
+    return out
+
+
+def scores(chunks, w: np.ndarray, n: int) -> np.ndarray:
+    z = np.zeros(n)
+    for index, value, row in chunks:
+        z += np.bincount(row, w[index] * value, n)
+    return z
+
+
+def fit(chunks, y, used, steps, rate, penalty) -> tuple[np.ndarray, float]:
+    """Logistic regression by full-batch Adam on the rows used; both classes weigh alike."""
     w, bias = np.zeros(2 << BITS), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / max(1, y[used].sum()), 0.5 / max(1, (1 - y[used]).sum())) * used
     for t in range(1, steps + 1):
-        z = bias + np.bincount(row, w[index] * value, len(y))
+        z = bias + scores(chunks, w, len(y))
         g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
-        grad = np.bincount(index, g[row] * value, len(w)) + penalty * w
+        grad = penalty * w
+        for index, value, row in chunks:
+            grad += np.bincount(index, g[row] * value, len(w))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
         c, d = 1 - 0.9**t, 1 - 0.999**t
