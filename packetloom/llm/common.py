@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -44,6 +45,12 @@ def discard(spark: SparkSession, temp: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver drop what is out of use now, so that shuffle files of finished steps leave the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
