@@ -1,11 +1,18 @@
-"""Scalar functions over text as Columns: entropy, ratios, decoding, traversal depth."""
+"""Scalar functions over text as Columns: entropy, ratios, decoding, traversal depth.
+
+What needs a count per character (entropy, chi-square) counts once, in numpy over Arrow batches; all else stays in code
+generation. Repeated decoding names its input once per round, so an expression grows with the rounds and not with their
+power.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: English letter frequencies, a to z.
 ENGLISH = [0.0817, 0.0149, 0.0278, 0.0425, 0.1270, 0.0223, 0.0202, 0.0609, 0.0697, 0.0015, 0.0077, 0.0403, 0.0241, 0.0675, 0.0751, 0.0193, 0.0010, 0.0599, 0.0633, 0.0906, 0.0276, 0.0098, 0.0236, 0.0015, 0.0197, 0.0007]
@@ -15,63 +22,191 @@ SPECIAL = r"""^$(){}[]@!~`|\<>%&*+=;:'\""""
 CLASSES = [(7.5, "random"), (7.0, "compressed"), (5.5, "encoded"), (4.5, "text"), (3.0, "structured")]
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def held(value: Column) -> Column:
+    """A whole number's Column that filters above its projection do not repeat: the optimizer moves none below it."""
+    return value + F.monotonically_increasing_id() * 0
+
+
 def count_of(text: Column, what: Column | str) -> Column:
     what = F.lit(what) if isinstance(what, str) else what
     return F.length(text) - F.length(F.replace(text, what, F.lit("")))
 
 
+def bits(counts) -> float:
+    """Shannon's entropy of counts, summed from the smallest share up."""
+    import numpy as np
+
+    p = np.sort(counts[counts > 0] / counts.sum()) if counts.sum() else np.empty(0)
+    return float(-(p * np.log2(p)).cumsum()[-1]) if len(p) else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _entropy(x: pd.Series) -> pd.Series:
+    import numpy as np
+
+    return pd.Series([None if t is None else bits(np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)[1]) for t in x], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _byte_entropy(x: pd.Series) -> pd.Series:
+    import numpy as np
+
+    return pd.Series([None if b is None else bits(np.bincount(np.frombuffer(b, np.uint8), minlength=256)) for b in x], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _chi_square(x: pd.Series, letters: pd.Series) -> pd.Series:
+    import numpy as np
+
+    want = np.array(ENGLISH)
+
+    def of(t, n):
+        if t is None or n < 10:
+            return float("inf")
+        off = np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)[97:123] - want * n
+        return float((off * off / (want * n)).cumsum()[-1])
+
+    return pd.Series([of(t, n) for t, n in zip(x, letters.fillna(0), strict=True)], dtype="float64")
+
+
 def entropy(text: Column) -> Column:
-    """Bits per character of the characters' distribution; 0 for no text."""
-    n = F.length(text)
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
-    return F.when(n > 0, F.aggregate(F.array_sort(F.filter(counts, lambda p: p > 0)), F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+    """Bits per character of the characters' distribution; 0 for no text, null for null."""
+    return _entropy(text)
 
 
 def byte_entropy(data: Column) -> Column:
-    """The entropy of bytes: every byte read as one character."""
-    return entropy(F.decode(data, "ISO-8859-1"))
+    """Bits per byte of the bytes' distribution; 0 for none, null for null."""
+    return _byte_entropy(data)
 
 
 def entropy_class(h: Column) -> Column:
     return reduce(lambda out, x: F.when(h >= x[0], x[1]).otherwise(out), reversed(CLASSES), F.lit("empty"))
 
 
+def meaningful_entropy(h: Column) -> Column:
+    """Whether an entropy lies between structured and compressed data."""
+    return (h >= 3.0) & (h <= 7.0)
+
+
 def ratio(text: Column, pattern: str) -> Column:
     """Share of characters that the pattern matches; 0 for no text."""
     n = F.length(text)
     return F.when(n > 0, (n - F.length(F.regexp_replace(text, pattern, ""))) / n).otherwise(0.0)
 
 
+def printable_ratio(data: Column) -> Column:
+    """Share of bytes that are printable ASCII."""
+    return ratio(F.decode(data, "ISO-8859-1"), r"[\x20-\x7E]")
+
+
 def chi_square_english(text: Column) -> Column:
     """Chi-square of the letters against English; infinite under ten letters."""
     low = F.lower(text)
-    once = F.array(F.struct(low.alias("t"), F.length(F.regexp_replace(low, r"[^\p{L}]", "")).alias("n")))
-    table = F.array(*[F.struct(F.lit(chr(97 + i)).alias("c"), F.lit(f).alias("f")) for i, f in enumerate(ENGLISH)])
-
-    def of(s: Column) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            off = F.length(s["t"]) - F.length(F.replace(s["t"], x["c"], F.lit(""))) - x["f"] * s["n"]
-            return acc + off * off / (x["f"] * s["n"])
+    return _chi_square(low, F.length(F.regexp_replace(low, r"[^\p{L}]", "")))
 
-        return F.when(s["n"] < 10, float("inf")).otherwise(F.aggregate(table, F.lit(0.0), add))
 
-    return F.transform(once, of)[0]
+def url_decoded(text: Column, rounds: int) -> Column:
+    """Percent-decoding, repeated while there are escapes; plus signs and malformed escapes stay."""
 
+    def once(t: Column) -> Column:
+        plain = F.try_url_decode(F.replace(F.regexp_replace(t, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+        return F.when(F.contains(t, F.lit("%")), F.coalesce(plain, t)).otherwise(t)
 
-def url_decoded(text: Column, rounds: int) -> Column:
-    """Percent-decoding, repeated; plus signs and malformed escapes stay."""
     for _ in range(rounds):
-        text = F.coalesce(F.try_url_decode(F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))), text)
+        text = bind(text, once)
     return text
 
 
 def traversal_depth(path: Column) -> Column:
     """The deepest run of parent steps, a named step taking one back."""
-    steps = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
     start = F.struct(F.lit(0).alias("cur"), F.lit(0).alias("top"))
 
     def step(acc: Column, c: Column) -> Column:
         cur = F.when(c == "..", acc["cur"] + 1).when((c != "") & (c != "."), F.greatest(F.lit(0), acc["cur"] - 1)).otherwise(acc["cur"])
         return F.struct(cur.alias("cur"), F.greatest(acc["top"], cur).alias("top"))
 
-    return F.when(F.contains(path, F.lit("..")), F.aggregate(steps, start, step, lambda a: a["top"])).otherwise(0)
+    def of(p: Column) -> Column:
+        steps = F.split(F.replace(p, F.lit("\\"), F.lit("/")), "/")
+        return F.when(F.contains(p, F.lit("..")), F.aggregate(steps, start, step, lambda a: a["top"])).otherwise(0)
+
+    return bind(path, of)
+
+
+def shown(text: Column, pattern: str = r"[\x20-\x7E\t\n\r]") -> Column:
+    """Share of characters that the pattern (printable ASCII by default) matches."""
+    return ratio(text, pattern)
+
+
+def without_bad_utf8(data: Column) -> Column:
+    """Bytes as text; what is not UTF-8 goes (and so do replacement characters)."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("�"), F.lit(""))
+
+
+def detect_base64(text: Column) -> Column:
+    """Confidence that a text is base64: 1.0 if it is, else null."""
+
+    def of(t: Column) -> Column:
+        alphabet, pads = ratio(t, "[A-Za-z0-9+/=]"), count_of(t, "=")
+        return F.when((F.length(t) >= 1) & (alphabet >= 0.95) & (F.length(t) % 4 == 0) & (pads <= 2) & F.endswith(t, F.repeat(F.lit("="), pads)), F.lit(1.0))
+
+    return F.when(F.length(text) >= 4, bind(F.regexp_replace(text, r"^\s+|\s+$", ""), of))
+
+
+def detect_hex(text: Column) -> Column:
+    """Confidence that a text is hexadecimal, its prefixes aside, else null."""
+
+    def of(t: Column) -> Column:
+        share = ratio(t, "[0-9A-Fa-f]")
+        return F.when((F.length(t) > 0) & (share >= 0.95) & (F.length(t) % 2 == 0), 0.85 + 0.15 * share)
+
+    plain = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), "^0[xX]", "")
+    plain = F.when(F.startswith(plain, F.lit("\\x")), F.replace(plain, F.lit("\\x"), F.lit(""))).otherwise(plain)
+    return F.when(F.length(text) >= 2, bind(plain, of))
+
+
+def detect_url(text: Column) -> Column:
+    """Confidence that a text is percent-encoded, else null."""
+    found, signs = F.regexp_count(text, F.lit("%[0-9A-Fa-f]{2}")), count_of(text, "%")
+    share = 3 * found / F.length(text)
+    return F.when((found > 0) & (share > 0.1) & (found == signs), F.least(F.lit(0.95), 0.5 + share))
+
+
+def best_encoding(text: Column) -> Column:
+    """(name, confidence) of the likeliest encoding; base64 before hex before url on ties, null where none fits."""
+    tried = F.array(*[F.struct((-of(text)).alias("c"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (n, of) in enumerate((("base64", detect_base64), ("hex", detect_hex), ("url", detect_url)))])
+    return bind(F.array_min(F.filter(tried, lambda z: z["c"].isNotNull())), lambda z: F.when(z.isNotNull(), F.struct(z["n"].alias("name"), (-z["c"]).alias("confidence"))))
+
+
+def composite_confidence(h: Column, printable: Column, english: Column, meaningful: Column) -> Column:
+    """How much a text looks like plain language, 0 to 1, from its entropy, printable share, chi-square and class."""
+    return F.least(F.lit(1.0), F.when(h.between(3.5, 6.5), 0.3).otherwise(0.0) + 0.3 * printable + F.when(english, 0.2).otherwise(0.0) + F.when(meaningful, 0.2).otherwise(0.0))
+
+
+def likely_base64(text: Column) -> Column:
+    """Whether 20 characters or more are base64 but for white space and a few strays, and decode."""
+
+    def of(clean: Column) -> Column:
+        share = ratio(clean, "[A-Za-z0-9+/=]")
+        return (share >= 0.95) & (count_of(clean, "=") <= 2) & (F.length(F.regexp_replace(clean, "[^A-Za-z0-9+/=]", "")) % 4 == 0)
+
+    return (F.length(text) >= 20) & bind(F.regexp_replace(text, r"\s", ""), of)
+
+
+def file_size(n: Column) -> Column:
+    """A size in bytes for people."""
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(n / (1024 * 1024), 1)))
+
+
+def ssrc(value: Column) -> Column:
+    """A stream source as 0x and lower-case hexadecimal digits without leading zeros; what is no number, in lower case."""
+
+    def of(t: Column) -> Column:
+        digits = F.when(F.lower(t).rlike("^0x[0-9a-f]+$"), F.conv(F.substring(t, 3, 64), 16, 16)).when(t.rlike("^[0-9]+$"), F.conv(t, 10, 16))
+        return F.coalesce(F.concat(F.lit("0x"), F.lower(digits)), F.lower(t))
+
+    return bind(F.regexp_replace(value, r"^\s+|\s+$", ""), of)

@@ -1,18 +1,23 @@
 """Weighted rule scoring: each rule that matches a payload adds its weight; sums become levels.
 
 Rules are unrolled into literal patterns, so Catalyst compiles each once per task and all of a detector stays in one
-projection. Weights, names and thresholds are in rules.fixed.
+projection. A pattern runs only on texts that contain one of the words it cannot match without (derived from the pattern),
+so most rules cost a substring search. Weights, names and thresholds are in rules.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from functools import cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import traversal_depth, url_decoded
+from ..functions.text import bind, traversal_depth, url_decoded
 from ..rules import fixed as R
+from ..rules import webshell as W
 
 #: Detector, its rules, the least weight that counts as detected, and its rank among equal weights.
 DETECTORS = [("upload", R.UPLOAD, 50, 3), ("rce", R.RCE, 50, 5), ("cmdi", R.CMDI, 50, 8), ("sqli", R.SQLI, 40, 10), ("xss", R.XSS, 40, 15), ("xxe", R.XXE, 50, 20), ("ssrf", R.SSRF, 50, 25), ("traversal", R.TRAVERSAL, 50, 30), ("deser", R.DESER, 50, 35)]
@@ -27,8 +32,44 @@ def total(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0))
 
 
+@cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case words of which a match of the pattern contains one at least; none if no such words are known."""
+    from re import _parser as P
+
+    def best(options: list[tuple[str, ...]]) -> tuple[str, ...]:
+        return max((o for o in options if o), key=lambda o: (min(map(len, o)), -len(o)), default=())
+
+    def of(sequence) -> tuple[str, ...]:
+        options, run = [], ""
+        for op, arg in [*sequence, (None, None)]:
+            if op is P.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if run:
+                options.append((run,))
+            run = ""
+            if op is P.SUBPATTERN:
+                options.append(of(arg[-1]))
+            elif op in (P.MAX_REPEAT, P.MIN_REPEAT) and arg[0] >= 1:
+                options.append(of(arg[2]))
+            elif op is P.BRANCH:
+                parts = [of(x) for x in arg[1]]
+                if all(parts):
+                    options.append(tuple(sorted({w for p in parts for w in p})))
+        return best(options)
+
+    words = of(P.parse(pattern))
+    return words if words and min(map(len, words)) >= 2 else ()
+
+
 def hit(text: Column, pattern: str, dotall: bool = True) -> Column:
-    return text.rlike(("(?is)" if dotall else "(?i)") + pattern)
+    found = text.rlike(("(?is)" if dotall else "(?i)") + pattern)
+    words = needed(pattern)
+    if not words:
+        return found
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) & found
 
 
 def rule_weight(text: Column, rules: dict[str, tuple[str, int]]) -> Column:
@@ -75,9 +116,12 @@ def xxe_weight(text: Column) -> Column:
 
 def traversal_weight(text: Column) -> Column:
     """Rules on the text and, where it differs, on the decoded text, plus depth and the first sensitive file."""
-    plain = url_decoded(text, 5)
-    depth = traversal_depth(plain)
-    return rule_weight(text, R.TRAVERSAL) + F.when(plain != text, rule_weight(plain, R.TRAVERSAL)).otherwise(0) + F.when(depth >= 2, depth * 20).otherwise(0) + first_of(plain, R.SENSITIVE_FILES)
+
+    def plain_weight(plain: Column) -> Column:
+        return bind(traversal_depth(plain), lambda d: F.when(d >= 2, d * 20).otherwise(0)) + first_of(plain, R.SENSITIVE_FILES)
+
+    decoded = bind(url_decoded(text, 5), lambda p: F.when(p != text, rule_weight(p, R.TRAVERSAL)).otherwise(0) + plain_weight(p))
+    return rule_weight(text, R.TRAVERSAL) + F.when(F.contains(text, F.lit("%")), decoded).otherwise(plain_weight(text))
 
 
 def upload_weight(text: Column, method: Column, content_type: Column) -> Column:
@@ -123,15 +167,93 @@ def noise(uri: Column) -> Column:
     return total([F.when(hit(uri, p), w).otherwise(0) for p, w in NOISE])
 
 
+def json_leaves(text: str | None, depth: int = 10, least: int = 2) -> list[str] | None:
+    """String leaves of more than `least` characters down to a depth, in order; None for what is not JSON."""
+    try:
+        todo, out = [(json.loads(text or ""), 0)], []
+    except (ValueError, RecursionError):
+        return None
+    while todo:
+        value, at = todo.pop()
+        if isinstance(value, str) and len(value) > least:
+            out.append(value)
+        elif isinstance(value, dict | list) and at <= depth:
+            todo += [(v, at + 1) for v in reversed(list(value.values()) if isinstance(value, dict) else value) if at < depth]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def leaves(text: pd.Series) -> pd.Series:
+    return pd.Series([json_leaves(t) if t is not None else None for t in text], dtype=object)
+
+
+def sampled(text: Column, most: int = 1 << 20, end: int = 1 << 16, middle: int = 4096) -> Column:
+    """Texts of over `most` characters as (offset, part): head, three places between, tail; others whole."""
+    n = F.length(text)
+    part = lambda at, size: F.struct(at.cast("long").alias("offset"), F.substring(text, at.cast("int") + 1, size).alias("part"))
+    parts = [part(F.lit(0), F.lit(end)), *[part(F.floor(n * r), F.lit(middle)) for r in (0.25, 0.5, 0.75)], part(n - end, F.lit(end))]
+    return F.when(n > most, F.array(*parts)).otherwise(F.array(part(F.lit(0), n)))
+
+
+def code_like(text: Column) -> Column:
+    """Whether the first 5000 characters look like code."""
+    return bind(F.substring(text, 1, 5000), lambda t: reduce(lambda a, b: a | b, [hit(t, p, dotall=False) for p in W.CODE_LIKE]))
+
+
+def sink_weight(name: Column, detector: str) -> Column:
+    """A called function's weight for a detector: the sink of that name, else the first that holds it or is held by it, else 0."""
+    low = F.lower(name)
+    exact, near = F.lit(None).cast("int"), F.lit(0)
+    for sink, w in reversed(W.SINKS[detector]):
+        exact = F.when(low == sink, w).otherwise(exact)
+        near = F.when(F.contains(low, F.lit(sink)) | F.contains(F.lit(sink), low), w).otherwise(near)
+    return F.coalesce(exact, near)
+
+
+def sink_boost(weight: Column, calls: Column, obfuscation: Column, adjustment: Column, detector: str, least: int = 20) -> Column:
+    """A detector's weight after program analysis: calls is an array of (name, tainted). Tainted sinks add their weights and the
+    adjustment; sinks without taint take a third off weights under 100, at most 30; hidden code adds up to 30."""
+    sinks = F.transform(calls, lambda c: F.struct(sink_weight(c["name"], detector).alias("w"), c["tainted"].alias("t")))
+    known = F.filter(sinks, lambda s: s["w"] > 0)
+    dirty = F.filter(known, lambda s: s["t"])
+    tainted = F.aggregate(dirty, F.lit(0), lambda a, s: a + s["w"])
+    changed = F.when(F.size(dirty) > 0, weight + tainted + adjustment).when((F.size(known) > 0) & (weight < 100), weight - F.least(F.lit(30), F.floor(weight / 3).cast("int"))).otherwise(weight)
+    return F.when(weight < least, weight).otherwise(changed + F.when(obfuscation > 0.5, F.floor(obfuscation * 30).cast("int")).otherwise(0))
+
+
 def attack_scores(df: DataFrame, text: str, method: Column | None = None, uri: Column | None = None, content_type: Column | None = None) -> DataFrame:
-    """df with w_<detector>, total_weight, detected, attack_type (heaviest; ties by rank) and threat_level."""
-    method, uri, content_type = (F.lit("GET") if method is None else method), (F.lit("") if uri is None else uri), (F.lit("") if content_type is None else content_type)
+    """df with w_<detector>, total_weight, detected, attack_type (heaviest; ties by rank) and threat_level.
+
+    With a content type, JSON bodies are scored by their string leaves where that matters, and count half without any."""
+    method, uri, ctype = (F.lit("GET") if method is None else method), (F.lit("") if uri is None else uri), (F.lit("") if content_type is None else content_type)
+    given = df.columns
     body = F.coalesce(F.col(text), F.lit(""))
-    scored = df.withColumns({f"w_{n}": w.cast("int") for n, w in weights(body, method, content_type).items()})
+    if content_type is None:
+        scored = df.withColumns({f"w_{n}": w.cast("int") for n, w in weights(body, method, ctype).items()} | {"_empty_json": F.lit(False)})
+    else:
+        with_leaves = df.withColumn("_leaves", leaves(F.when(F.contains(F.lower(ctype), F.lit("application/json")), body)))
+        values = F.when(F.size("_leaves") > 0, F.array_join("_leaves", " ")).otherwise(body)
+        own = weights(body, method, ctype) | {n: w for n, w in weights(values, method, ctype).items() if n in ("sqli", "xss", "ssrf")}
+        scored = with_leaves.withColumns({f"w_{n}": w.cast("int") for n, w in own.items()} | {"_empty_json": F.coalesce(F.size("_leaves") == 0, F.lit(False))})
     raw = total([F.col(f"w_{n}") for n, *_ in DETECTORS])
     heaviest = F.array_max(F.array(*[F.struct(F.col(f"w_{n}").alias("w"), F.lit(-rank).alias("r"), F.lit(n).alias("n")) for n, _, _, rank in DETECTORS]))
-    less = F.greatest(F.lit(0), raw + noise(uri))
-    return scored.withColumns({"total_weight": less, "detected": raw >= 40, "attack_type": F.when(heaviest["w"] > 0, heaviest["n"]), "threat_level": level(less)})
+    less = F.greatest(F.lit(0), F.when(F.col("_empty_json"), F.floor(raw / 2).cast("int")).otherwise(raw) + noise(uri))
+    out = scored.withColumns({"total_weight": less, "detected": raw >= 40, "attack_type": F.when(heaviest["w"] > 0, heaviest["n"]), "threat_level": level(less)})
+    return out.select(*[c for c in given if not c.startswith("w_")], *[f"w_{n}" for n, *_ in DETECTORS], "total_weight", "detected", "attack_type", "threat_level")
+
+
+def detect_attack(spark, data: str, method: str = "GET", uri: str = "/", content_type: str = "") -> dict:
+    """One payload through all detectors."""
+    row = attack_scores(spark.createDataFrame([(data,)], "t string"), "t", F.lit(method), F.lit(uri), F.lit(content_type)).drop("t").first()
+    return row.asDict()
+
+
+def is_malicious(spark, data: str, threshold: int = 40) -> bool:
+    return detect_attack(spark, data)["total_weight"] >= threshold
+
+
+def attack_types(spark, data: str) -> list[str]:
+    return [detect_attack(spark, data)["attack_type"] or "unknown"]
 
 
 # Web shells: indicator lists, parameter names, confidence.

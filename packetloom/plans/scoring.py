@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import held
 from ..operators import scoring as S
 from ..registry import register, table
 from ..rules import fixed as R
@@ -84,7 +85,7 @@ def _score(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.col("text")
         w = S.weights(text, F.lit("POST"), F.lit(""))[name].cast("long")
-        return payloads(spark, sf_dir).select("id", w.alias("weight")).where("weight > 0").select("id", "weight", (F.col("weight") >= least).alias("detected"))
+        return payloads(spark, sf_dir).select("id", held(w).alias("weight")).where("weight > 0").select("id", "weight", (F.col("weight") >= least).alias("detected"))
 
 
 for _name in SQL:
@@ -108,14 +109,14 @@ def attack_merge_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_attack_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by level of their cross-site and request-forgery weight, 40 and over."""
     w = (S.rule_weight(F.col("html"), R.XSS) + S.rule_weight(F.col("html"), R.SSRF)).cast("long")
-    return table(spark, sf_dir, "pages").select(w.alias("w")).where("w >= 40").groupBy(S.level(F.col("w")).alias("threat_level")).agg(F.count("*").alias("pages"), F.sum("w").alias("weight"))
+    return table(spark, sf_dir, "pages").select(held(w).alias("w")).where("w >= 40").groupBy(S.level(F.col("w")).alias("threat_level")).agg(F.count("*").alias("pages"), F.sum("w").alias("weight"))
 
 
 @register("weight_threshold_topk", f"SELECT page_id, w AS weight FROM (SELECT page_id, ({sum_sql(R.XSS, 'html')})::BIGINT AS w FROM pages) WHERE w >= 20 ORDER BY w DESC, page_id LIMIT 20")
 def weight_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty heaviest pages, first ones on ties: a top-k report."""
     w = S.rule_weight(F.col("html"), R.XSS).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", w.alias("weight")).where("weight >= 20").orderBy(F.desc("weight"), "page_id").limit(20)
+    return table(spark, sf_dir, "pages").select("page_id", held(w).alias("weight")).where("weight >= 20").orderBy(F.desc("weight"), "page_id").limit(20)
 
 
 @register("rule_theta_join", "WITH r(name, pattern, weight) AS (VALUES " + ", ".join(f"('{n}', {quoted('(?is)' + p)}, {w})" for n, (p, w) in R.SQLI.items()) + f"), {PAYLOAD_SQL} SELECT r.name, count(*) AS hits, sum(r.weight)::BIGINT AS weight FROM payloads JOIN r ON regexp_matches(text, r.pattern) GROUP BY r.name")
@@ -138,7 +139,7 @@ for _tool, _lists in {"antsword": [(R.ANTSWORD_INDICATORS, 1), (R.RESPONSE_INDIC
     def _webshell(spark: SparkSession, sf_dir: str, lists=_lists) -> DataFrame:
         """Indicators of one web shell, some lists at part of their weight, and the confidence of the sum."""
         w = S.total([S.indicator_weight(F.col("text"), i, d) for i, d in lists]).cast("long")
-        return payloads(spark, sf_dir).select("id", w.alias("weight")).where("weight > 0").select("id", "weight", S.confidence(F.col("weight")).alias("confidence"))
+        return payloads(spark, sf_dir).select("id", held(w).alias("weight")).where("weight > 0").select("id", "weight", S.confidence(F.col("weight")).alias("confidence"))
 
 
 @register("quote_parity", f"WITH {PAYLOAD_SQL} SELECT id, {odd_sql('text')} = 20 AS odd FROM payloads")
