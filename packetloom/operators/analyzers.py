@@ -6,15 +6,19 @@ over the packets of that protocol alone; results of protocols without packets ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..rules.webshell import FLAG_WORDS
+from . import protocols as P
+
 FINDING = "protocol string, title string, description string, confidence double, is_flag boolean, frame_number long"
-#: What marks a flag in any text.
-FLAG = r"(?i)(flag|ctf|key)\{[^}]+\}"
+#: What marks a flag in any text: one of the fixed words.
+FLAG = "(?i)(" + "|".join(re.escape(w) for w in FLAG_WORDS) + ")"
 ANALYZERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -73,7 +77,113 @@ def dns(packets: DataFrame) -> DataFrame:
     return g.select(*finding("DNS", "queries", F.concat_ws(" ", "src_ip", F.col("n").cast("string")), 0.5, F.lit(False), F.col("f")))
 
 
+@analyzer("FTP")
+def ftp(packets: DataFrame) -> DataFrame:
+    """Logins with their user, and files of data connections."""
+    c = P.ftp_commands(P.lines(packets, 21)).where("command = 'PASS'")
+    login = F.concat("username", F.lit(":"), "argument")
+    f = P.ftp_files(packets)
+    text = F.concat("filename", F.lit(" "), F.col("bytes").cast("string"))
+    return c.select(*finding("FTP", "login", login, 0.9, login.rlike(FLAG), F.col("frame_number"))).unionByName(f.select(*finding("FTP", "file", text, 0.8, F.decode("content", "ISO-8859-1").rlike(FLAG), F.lit(0).cast("long"))))
+
+
+@analyzer("SMTP")
+def smtp(packets: DataFrame) -> DataFrame:
+    """Logins and mails."""
+    rows = P.lines(packets, 25)
+    logins = P.smtp_logins(rows).select(*finding("SMTP", "login", F.concat("username", F.lit(":"), F.coalesce("password", F.lit("???"))), 0.95, F.lit(False), F.col("frame_number")))
+    mails = P.smtp_mails(rows)
+    flag = F.concat("subject", F.lit("\n"), "body").rlike(FLAG)
+    text = F.concat_ws(" ", "sender", F.lit(">"), "receiver", "subject")
+    return logins.unionByName(mails.select(*finding("SMTP", "mail", text, 0.7, flag, F.lit(0).cast("long"))))
+
+
+@analyzer("CS")
+def beacon(packets: DataFrame) -> DataFrame:
+    """Cookies that may hold a beacon's metadata."""
+    c = P.beacon_cookies(packets)
+    return c.where("beacon").select(*finding("CS", "metadata cookie", F.substring("cookie", 1, 200), 0.6, F.lit(False), F.col("frame_number")))
+
+
+@analyzer("TLS")
+def tls(packets: DataFrame) -> DataFrame:
+    """Names asked for, weak suites chosen, suites that the private key opens."""
+    h = P.tls_hellos(packets)
+    names = h.where("sni is not null").groupBy("sni").agg(F.min("frame_number").alias("f"))
+    weak = h.where("weak <> ''")
+    rsa = h.where("rsa_exchange")
+    out = names.select(*finding("TLS", "server name", F.col("sni"), 0.5, F.col("sni").rlike(FLAG), F.col("f")))
+    out = out.unionByName(weak.select(*finding("TLS", "weak suite", F.concat_ws(" ", "suite", "weak"), 0.8, F.lit(False), F.col("frame_number"))))
+    return out.unionByName(rsa.select(*finding("TLS", "RSA key exchange", F.col("suite"), 0.6, F.lit(False), F.col("frame_number"))))
+
+
+@analyzer("RDP")
+def rdp(packets: DataFrame) -> DataFrame:
+    """Users of cookies, conversations, hashes."""
+    c = P.rdp_cookies(packets).groupBy("username").agg(F.min("frame_number").alias("f"))
+    s = P.session_stats(packets, 3389, F.unix_micros("ts") / 1e6)
+    h = P.ntlm_hashes(packets.where("src_port = 3389 or dst_port = 3389"))
+    out = c.select(*finding("RDP", "user", F.col("username"), 0.8, F.col("username").rlike(FLAG), F.col("f")))
+    out = out.unionByName(s.select(*finding("RDP", "session", F.concat_ws(" ", "client", "server", F.col("packets").cast("string"), F.col("seconds").cast("string")), 0.5, F.lit(False), F.lit(0).cast("long"))))
+    return out.unionByName(h.select(*finding("RDP", "hash", F.col("line"), 0.9, F.lit(False), F.col("frame_number"))))
+
+
+@analyzer("Redis")
+def redis(packets: DataFrame) -> DataFrame:
+    """What clients' commands tell."""
+    from ..plans.sessions import resp_udtf_rows
+
+    rows = packets.where("dst_port = 6379").select("frame_number", "payload")
+    c = resp_udtf_rows(rows, "frame_number", "payload").select("frame_number", F.explode(P.redis_class(F.col("words"))).alias("x"))
+    text = F.concat_ws(" ", "x.key", "x.value")
+    sure = F.when(F.col("x.class").isin("config", "eval", "credential"), 0.9).otherwise(0.5)
+    return c.select(F.lit("Redis").alias("protocol"), F.col("x.class").alias("title"), text.alias("description"), sure.alias("confidence"), text.rlike(FLAG).alias("is_flag"), "frame_number")
+
+
+@analyzer("SMB")
+def smb(packets: DataFrame) -> DataFrame:
+    """Hashes of logins."""
+    h = P.ntlm_hashes(packets.where("src_port in (139, 445) or dst_port in (139, 445)"))
+    return h.select(*finding("SMB", "hash", F.col("line"), 0.9, F.lit(False), F.col("frame_number")))
+
+
+@analyzer("SSH")
+def ssh(packets: DataFrame) -> DataFrame:
+    """Banners, weak algorithms on offer, conversations."""
+    from ..plans.sessions import WEAK_SSH
+
+    text = P.text_of()
+    rows = packets.where("src_port = 22 or dst_port = 22").withColumn("t", text)
+    banners = rows.where(F.startswith("t", F.lit("SSH-"))).select("frame_number", F.regexp_extract("t", r"^(SSH-[^\r\n]+)", 1).alias("b"))
+    weak = F.filter(F.array(*map(F.lit, WEAK_SSH)), lambda w: F.contains(F.col("t"), w))
+    offers = rows.where(F.contains("t", F.lit("diffie-hellman")) | F.contains("t", F.lit("-cbc")) | F.contains("t", F.lit("arcfour"))).select("frame_number", F.array_join(weak, ", ").alias("w")).where("w <> ''")
+    s = P.session_stats(packets, 22, F.unix_micros("ts") / 1e6)
+    out = banners.select(*finding("SSH", "banner", F.col("b"), 0.5, F.lit(False), F.col("frame_number")))
+    out = out.unionByName(offers.select(*finding("SSH", "weak algorithms", F.col("w"), 0.7, F.lit(False), F.col("frame_number"))))
+    return out.unionByName(s.select(*finding("SSH", "session", F.concat_ws(" ", "client", "server", F.col("packets").cast("string")), 0.4, F.lit(False), F.lit(0).cast("long"))))
+
+
+@analyzer("RTP")
+def rtp(packets: DataFrame) -> DataFrame:
+    """Media streams with what was lost."""
+    s = P.codecs(P.rtp_statistics(P.rtp_packets(packets)).withColumn("pt", F.col("pt").cast("int"))).where("packets >= 10")
+    text = F.concat_ws(" ", "ssrc", F.coalesce("codec", F.lit("dynamic")), F.col("packets").cast("string"), F.col("lost").cast("string"))
+    return s.select(*finding("RTP", "stream", text, 0.6, F.lit(False), F.lit(0).cast("long")))
+
+
 def analyze(packets: DataFrame, protocols: list[str] | None = None) -> DataFrame:
-    """Findings of the analyzers over one scan of the packets."""
+    """Findings of the analyzers over one scan of the packets; the caller keeps the packets where that pays."""
     chosen = protocols or list(ANALYZERS)
     return reduce(DataFrame.unionByName, [ANALYZERS[p](packets) for p in chosen])
+
+
+def counts(packets: DataFrame) -> DataFrame:
+    """Packets by protocol: analyzers of protocols without any find nothing."""
+    return packets.groupBy("protocol").agg(F.count("*").alias("packets"))
+
+
+def analyze_protocol(spark, path: str, protocol: str) -> DataFrame:
+    """Findings of one protocol's analyzer in the captures under a path."""
+    from ..sources.pcap import read_pcap
+
+    return ANALYZERS[protocol](read_pcap(spark, path))

@@ -177,3 +177,27 @@ def base64_images(df: DataFrame, key: str, text: str, least: int = 100) -> DataF
     kinds = F.transform(data, lambda b: F.struct(F.when(F.startswith(F.hex(b), F.lit("FFD8FF")), "jpg").when(F.startswith(F.hex(b), F.lit("89504E470D0A1A0A")), "png").when(F.startswith(F.hex(b), F.lit("47494638")), "gif").alias("extension"), b.alias("content")))
     rows = df.select(key, F.posexplode(F.filter(kinds, lambda k: k["extension"].isNotNull())).alias("number", "x"))
     return rows.select(key, (F.col("number") + 1).alias("number"), "x.extension", "x.content")
+
+
+def http_objects(packets: DataFrame, least: int = 1) -> DataFrame:
+    """(frame_number, uri, code, content_type, disposition, content): bodies of HTTP answers, joined from the segments that
+    follow an answer's first one on its side of the stream, with the address last asked for; equal contents once, the first."""
+    from .protocols import end_of, streams
+
+    rows = streams(packets).where(F.octet_length("payload") > 0).withColumn("side", end_of("src"))
+    order = Window.partitionBy("stream").orderBy("frame_number")
+    rows = rows.withColumn("asked", F.last("http_uri", ignorenulls=True).over(order))
+    starts = F.col("http_response_code").isNotNull().cast("int")
+    rows = rows.withColumn("n", F.sum(starts).over(Window.partitionBy("stream", "side").orderBy("frame_number"))).where("n > 0 and http_method is null")
+    parts = F.array_sort(F.collect_list(F.struct("frame_number", F.hex("payload").alias("h"))))
+    first = lambda c: F.min_by(c, "frame_number").alias(c)
+    whole = F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), ""))
+    g = rows.groupBy("stream", "side", "n").agg(whole.alias("raw"), F.min("frame_number").alias("frame_number"), first("asked"), first("http_response_code"))
+    text = F.decode("raw", "ISO-8859-1")
+    at = F.instr(text, "\r\n\r\n")
+    head = F.substring(text, F.lit(1), at + 1)
+    field = lambda n: F.lower(F.trim(F.regexp_extract(head, rf"(?i)\r\n{n}:([^\r\n]*)", 1)))
+    size = F.coalesce(field("content-length").try_cast("int"), F.octet_length("raw"))
+    g = g.where(at > 0).select("frame_number", F.col("asked").alias("uri"), F.col("http_response_code").alias("code"), field("content-type").alias("content_type"), field("content-disposition").alias("disposition"), F.substring("raw", at + 4, size).alias("content"))
+    firsts = g.where(F.octet_length("content") >= least).withColumn("r", F.row_number().over(Window.partitionBy(F.md5("content")).orderBy("frame_number")))
+    return firsts.where("r = 1").drop("r")

@@ -22,10 +22,23 @@ from ..rules import webshell as W
 #: Detector, its rules, the least weight that counts as detected, and its rank among equal weights.
 DETECTORS = [("upload", R.UPLOAD, 50, 3), ("rce", R.RCE, 50, 5), ("cmdi", R.CMDI, 50, 8), ("sqli", R.SQLI, 40, 10), ("xss", R.XSS, 40, 15), ("xxe", R.XXE, 50, 20), ("ssrf", R.SSRF, 50, 25), ("traversal", R.TRAVERSAL, 50, 30), ("deser", R.DESER, 50, 35)]
 THRESHOLD = {name: least for name, _, least, _ in DETECTORS}
-#: URI patterns whose requests are harmless, and what they add.
-NOISE = [("(/swagger|/api-docs|/openapi)", -50), (r"\.(js|css|png|jpg|gif|ico|woff|svg)$", -100), ("/(health|ping|status|ready|live)$", -80), ("(/metrics|/prometheus)", -60)]
-DOUBLE_FROM = [".php", ".jsp", ".asp", ".aspx", ".exe", ".sh", ".py"]
-DOUBLE_TO = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".ico"]
+OWN = len(DETECTORS)
+
+
+def register_detector(name: str, rules: dict[str, tuple[str, int]], least: int = 40, rank: int = 100) -> None:
+    """Add a detector, rules of name -> (pattern, weight), to those of attack_scores(); its column is w_<name>."""
+    if any(name == n for n, *_ in DETECTORS):
+        raise ValueError(f"{name} is registered twice")
+    DETECTORS.append((name, rules, least, rank))
+    THRESHOLD[name] = least
+
+
+def forget_detector(name: str) -> None:
+    """Take a registered detector out again; the engine's own ones stay."""
+    DETECTORS[OWN:] = [d for d in DETECTORS[OWN:] if d[0] != name]
+
+
+NOISE, DOUBLE_FROM, DOUBLE_TO = R.NOISE, R.DOUBLE_FROM, R.DOUBLE_TO
 
 
 def total(parts: list[Column]) -> Column:
@@ -155,7 +168,7 @@ def weights(text: Column, method: Column, content_type: Column) -> dict[str, Col
         "ssrf": rule_weight(text, R.SSRF),
         "traversal": traversal_weight(text),
         "deser": rule_weight(text, R.DESER),
-    }
+    } | {name: rule_weight(text, rules) for name, rules, *_ in DETECTORS[OWN:]}
 
 
 def level(weight: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import correlate as C
 from ..operators import files
@@ -16,8 +17,7 @@ from .scoring import PAYLOADS, payloads
 KEYS = "abcdefghijklmnopqrstuvwxyz1234567890"
 KEY_MORE = {0x28: "\n", 0x2C: " ", 0x2D: "-", 0x2E: "=", 0x2F: "[", 0x30: "]", 0x31: "\\", 0x33: ";", 0x34: "'", 0x36: ",", 0x37: ".", 0x38: "/"}
 SHIFT_FROM, SHIFT_TO = "1234567890-=[]\\;',./", "!@#$%^&*()_+{}|:\"<>?"
-WEAK_SSH = ["diffie-hellman-group1-sha1", "diffie-hellman-group-exchange-sha1", "arcfour", "arcfour128", "arcfour256", "aes128-cbc", "3des-cbc", "blowfish-cbc", "hmac-md5", "hmac-sha1-96", "hmac-md5-96"]
-WEAK_TLS = ["RC4", "DES", "NULL", "EXPORT", "anon", "MD5"]
+WEAK_SSH = R.WEAK_SSH
 
 
 def key_map() -> dict[int, str]:
@@ -88,12 +88,6 @@ def obex_segments(spark, sf_dir):
     return s.groupBy("user_id", "segment").agg(F.array_join(F.transform(parts, lambda x: x["props"]), "").alias("body"), F.bool_or(last).alias("final"))
 
 
-@register("smtp_mail_segments", """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations) SELECT conv_id, count(*) AS lines, count(*) FILTER (starts_with(line, 'A')) AS starts, max(length(line))::BIGINT AS longest FROM l GROUP BY 1""")
-def smtp_mail_segments(spark, sf_dir):
-    l = table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.split("text", "\n")).alias("line"))
-    return l.groupBy("conv_id").agg(F.count("*").alias("lines"), F.count_if(F.startswith("line", F.lit("A"))).alias("starts"), F.max(F.length("line")).cast("long").alias("longest"))
-
-
 _KEY = "4 + l_partkey % 53"
 _KEY_CASE = "CASE k " + " ".join(f"WHEN {k} THEN {q(c)}" for k, c in key_map().items()) + " ELSE '' END"
 
@@ -121,20 +115,19 @@ def usb_mouse_trace(spark, sf_dir):
     return m.where("l_returnflag <> 'N'").select("l_orderkey", "l_linenumber", "x", "y")
 
 
-_OFFERS = ["curve25519-sha256,aes256-gcm", "diffie-hellman-group1-sha1,aes128-cbc", "arcfour256,hmac-md5-96", "TLS_RSA_WITH_RC4_128_MD5", "TLS_AES_128_GCM_SHA256", "TLS_DH_anon_EXPORT_WITH_DES40_CBC_SHA"]
-_OFFER_SQL = "o(i, offer) AS (VALUES " + ", ".join(f"({i}, '{o}')" for i, o in enumerate(_OFFERS)) + ")"
+_OFFERS = ["curve25519-sha256,aes256-gcm", "diffie-hellman-group1-sha1,aes128-cbc", "arcfour256,hmac-md5-96", "ecdh-sha2-nistp256,chacha20-poly1305", "diffie-hellman-group-exchange-sha1,3des-cbc,blowfish-cbc"]
+_OFFER_SQL = "o(i, offer) AS (VALUES " + ", ".join(f"({i}, '{o}')" for i, o in enumerate(_OFFERS)) + ")"  # noqa: S608
 
 
 def _weak(name: str, words: list[str]):
-    @register(name, f"WITH {_OFFER_SQL} SELECT n_nationkey, array_to_string(list_filter([{', '.join(q(w) for w in words)}], lambda w: contains(upper(offer), upper(w))), ',') AS weak FROM nation JOIN o ON n_nationkey % {len(_OFFERS)} = i")
+    @register(name, f"WITH {_OFFER_SQL} SELECT s_suppkey, array_to_string(list_filter([{', '.join(q(w) for w in words)}], lambda w: contains(upper(offer || ',' || s_name), upper(w))), ',') AS weak FROM supplier JOIN o ON s_suppkey % {len(_OFFERS)} = i")
     def run(spark, sf_dir):
         offers = F.array(*map(F.lit, _OFFERS))
-        n = table(spark, sf_dir, "nation").withColumn("offer", F.upper(F.element_at(offers, F.col("n_nationkey") % len(_OFFERS) + 1)))
-        return n.select("n_nationkey", F.array_join(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("offer"), F.upper(w))), ",").alias("weak"))
+        n = table(spark, sf_dir, "supplier").withColumn("offer", F.upper(F.concat(F.element_at(offers, (F.col("s_suppkey") % len(_OFFERS) + 1).cast("int")), F.lit(","), "s_name")))
+        return n.select("s_suppkey", F.array_join(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("offer"), F.upper(w))), ",").alias("weak"))
 
 
 _weak("ssh_weak_alg", WEAK_SSH)
-_weak("tls_weak_cipher", WEAK_TLS)
 
 
 @register("ntlm_hashcat_lines", """WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, CASE WHEN o_orderstatus = 'F' THEN substr(md5(o_orderkey::VARCHAR) || md5(o_custkey::VARCHAR), 1, 48) ELSE md5(o_orderkey::VARCHAR) || md5(o_custkey::VARCHAR) END AS nt FROM orders),
@@ -153,6 +146,18 @@ def ntlm_hashcat_lines(spark, sf_dir):
     return z.select("o_orderkey", F.when(old, 5500).otherwise(5600).alias("mode"), line.alias("line"))
 
 
+def resp_udtf_rows(df, key, payload):
+    """(key, words): the commands of each payload, one row each, by a table function joined laterally."""
+
+    @F.udtf(returnType="words array<string>")
+    class Commands:
+        def eval(self, data: bytes):
+            for words in resp_commands(bytes(data or b"")):
+                yield (words,)
+
+    return df.lateralJoin(Commands(F.col(payload).outer())).select(key, "words")
+
+
 def resp_commands(data: bytes) -> list[list[str]]:
     """The commands of a RESP stream, as lists of words; a cut last one is dropped."""
     out, at = [], 0
@@ -174,22 +179,6 @@ def resp_commands(data: bytes) -> list[list[str]]:
     return out
 
 
-@register("redis_resp_commands", "SELECT conv_id, count(*) AS commands, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
-def redis_resp_commands(spark, sf_dir):
-    """Turns rendered as SET commands, joined by stream and parsed back from the bytes."""
-    word = lambda c: F.concat(F.lit("$"), F.octet_length(c).cast("string"), F.lit("\r\n"), c, F.lit("\r\n"))
-    one = F.concat(F.lit("*3\r\n$3\r\nSET\r\n"), word(F.concat(F.lit("k"), F.col("turn").cast("string"))), word(F.col("text")))
-    parts = F.array_sort(F.collect_list(F.struct("turn", one.alias("c"))))
-    streams = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["c"]), "").cast("binary").alias("payload"))
-
-    @F.pandas_udf("array<array<string>>")
-    def parse(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: resp_commands(bytes(b)))
-
-    c = streams.select("conv_id", F.explode(parse("payload")).alias("w"))
-    return c.groupBy("conv_id").agg(F.count("*").alias("commands"), F.sum(F.length(F.col("w")[2])).alias("chars"))
-
-
 _SIGS = [("3c21444f4354595045", 0, "html"), ("3c736372697074", 0, "script"), ("3c696d67", 0, "image"), ("25504446", 0, "pdf"), ("504b0304", 0, "zip")]
 _SIG_SQL = "s(magic, ext) AS (VALUES " + ", ".join(f"('{m.upper()}', '{e}')" for m, _, e in _SIGS) + ")"
 _PLACES = f"WITH {_SIG_SQL}, h AS (SELECT page_id, hex(encode(html)) AS h FROM pages), c AS (SELECT page_id, ext, length(magic) AS n, string_split(h, magic) AS p FROM h, s WHERE contains(h, magic)), e AS (SELECT page_id, ext, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda y: length(y))) + (i - 1) * n)) AS raw_place FROM c), f AS (SELECT DISTINCT page_id, (raw_place // 2)::INT AS place, ext AS extension FROM e WHERE raw_place % 2 = 0)"
@@ -207,12 +196,6 @@ def carve_lead(spark, sf_dir):
     return files.carved(files.embedded(p, "page_id", "data", _SIGS), "page_id", p.select("page_id", F.octet_length("data").alias("size")))
 
 
-@register("magic_detect", "SELECT page_id, CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'html' END AS extension, md5(html) AS digest FROM pages")
-def magic_detect(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("data"))
-    return C.longest_magic(p, "data", R.FILE_SIGNATURES + [("3c21444f4354595045", 0, "html")]).select("page_id", "extension", F.md5("data").alias("digest"))
-
-
 for _name, _spark, _duck in [
     ("detect_base64", "length(c) % 4 = 0 and c rlike '^[A-Za-z0-9+/]+={0,2}$'", "length(c) % 4 = 0 AND regexp_matches(c, '^[A-Za-z0-9+/]+={0,2}$')"),
     ("detect_hex", "length(c) % 2 = 0 and c rlike '^[0-9A-Fa-f]+$'", "length(c) % 2 = 0 AND regexp_matches(c, '^[0-9A-Fa-f]+$')"),
@@ -228,15 +211,33 @@ for _name, _spark, _duck in [
         return d.unionByName(p).select("id", F.expr(sql).alias("encoded"))
 
 
-for _name, _sep, _base, _width in [("bin_decode", "", 2, 8), ("oct_decode", " ", 8, 3), ("dec_decode", " ", 10, 3)]:
+#: kind -> base, digits of a number, the delimiters that are read.
+_CODED = {"binary": (2, 8, ["", " "]), "octal": (8, 3, [" ", ","]), "decimal": (10, 1, [" ", ","]), "hex": (16, 2, ["", " ", ":"])}
+
+
+def _coded(kind: str):
+    base, width, seps = _CODED[kind]
+    n = len(seps) + 1
+
+    @register(f"{kind[:3]}_decode", f"SELECT item_id, CASE WHEN item_id % {n} < {len(seps)} THEN text END AS text FROM benchmark")
+    def run(spark, sf_dir):
+        """Texts written as numbers with each delimiter and read back; with two delimiters in one text they are none."""
+        from ..operators.decode import decode_as
+
+        @F.pandas_udf(T.BinaryType())
+        def read(x: pd.Series) -> pd.Series:
+            return x.map(lambda t: decode_as(kind, t))
 
-    @register(_name, "SELECT item_id, text FROM benchmark")
-    def _codec(spark, sf_dir, base=_base, width=_width):
-        """Bytes written as numbers in a base and read back."""
         h = F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit(".."), F.lit(0))
-        written = F.array_join(F.transform(h, lambda b: F.lpad(F.conv(b, 16, base), width, "0")), " ")
-        back = F.array_join(F.transform(F.split(written, " "), lambda n: F.lpad(F.conv(n, base, 16), 2, "0")), "")
-        return table(spark, sf_dir, "benchmark").select("item_id", F.unhex(back).cast("string").alias("text"))
+        number = lambda b: F.when(F.length(F.conv(b, 16, base)) < width, F.lpad(F.conv(b, 16, base), width, "0")).otherwise(F.conv(b, 16, base))
+        written = F.transform(h, number)
+        forms = [F.array_join(written, s) for s in seps] + [F.concat(F.array_join(written, seps[1]), F.lit(seps[0] or "-"), F.lit("7" * width if base > 2 else "0" * (width - 1)))]
+        coded = F.element_at(F.array(*forms), (F.col("item_id") % n + 1).cast("int"))
+        return table(spark, sf_dir, "benchmark").select("item_id", read(coded).cast("string").alias("text"))
+
+
+for _kind in _CODED:
+    _coded(_kind)
 
 
 _KW = r"\b(eval|assert|system|exec|shell_exec|passthru|popen|proc_open|create_function|call_user_func)\s*\("
@@ -252,11 +253,6 @@ def fast_filter_decision(spark, sf_dir):
     return r.select("id", "risk", F.when(F.col("risk") >= 60, "full").when(F.col("risk") >= 30, "fast").otherwise("skip").alias("decision"))
 
 
-@register("command_extract", "SELECT page_id, len(regexp_extract_all(html, '<script')) AS scripts FROM pages WHERE contains(html, '<script')")
-def command_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.contains("html", F.lit("<script"))).select("page_id", F.regexp_count("html", F.lit("<script")).cast("long").alias("scripts"))
-
-
 @register("auto_decode_best")
 def auto_decode_best(spark, sf_dir):
     """Benchmark texts and payloads under one to three layers of encoding, read back by search."""

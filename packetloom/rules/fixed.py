@@ -333,7 +333,7 @@ GODZILLA_DEFAULT_KEYS = [
     'y', 'z', '1', '2', '3',
 ]
 
-# File signatures, (magic in hex, offset, extension, description, MIME type, category).
+# File signatures, (magic in hex as the match runs on hexadecimal text, offset, extension, description, MIME type, category).
 FILE_SIGNATURES = [
     ('504b0304', 0, 'zip', 'ZIP Archive', 'application/zip', 'archive'),
     ('504b0506', 0, 'zip', 'ZIP Archive (empty)', 'application/zip', 'archive'),
@@ -388,3 +388,57 @@ FILE_SIGNATURES = [
     ('a1b2c3d4', 0, 'pcap', 'PCAP Capture (Big Endian)', 'application/vnd.tcpdump.pcap', 'network'),
     ('0a0d0d0a', 0, 'pcapng', 'PCAPNG Capture', 'application/vnd.tcpdump.pcap', 'network'),
 ]
+
+# Encodings with the text that each is tried on, least length and rank; one pattern for each delimiter.
+ENCODINGS = [
+    ("base64", r"^\s*(?:[A-Za-z0-9+/]{4})+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\s*$", 4, 10),
+    ("base64url", r"^\s*[A-Za-z0-9\-_]{20,}\s*$", 4, 10),
+    ("base32", r"^(?:[A-Z2-7]{8})+(?:[A-Z2-7]{2}={6}|[A-Z2-7]{4}={4}|[A-Z2-7]{5}={3}|[A-Z2-7]{7}=)?$", 8, 15),
+    ("hex", r"^(?:[0-9A-Fa-f]{2})+$", 4, 20),
+    ("hex", r"^[0-9A-Fa-f]{2}(?: [0-9A-Fa-f]{2})+$", 4, 20),
+    ("hex", r"^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2})+$", 4, 20),
+    ("hex", r"(?i)^(?:0x[0-9A-Fa-f]{2})+$", 4, 20),
+    ("hex", r"(?i)^(?:\\x[0-9A-Fa-f]{2})+$", 4, 20),
+    ("url", r".*(?:%[0-9A-Fa-f]{2}.*){4}", 12, 25),
+    ("binary", r"^(?:[01]{8})+$", 8, 30),
+    ("binary", r"^[01]{8}(?: [01]{8})+$", 8, 30),
+    ("octal", r"^(?:[0-7]{1,3})(?: (?:[0-7]{1,3}))+$", 3, 35),
+    ("octal", r"^(?:[0-7]{1,3})(?:,(?:[0-7]{1,3}))+$", 3, 35),
+    ("decimal", r"^(?:\d{1,2}|1\d{2}|2[0-4]\d|25[0-5])(?: (?:\d{1,2}|1\d{2}|2[0-4]\d|25[0-5]))+$", 3, 35),
+    ("decimal", r"^(?:\d{1,2}|1\d{2}|2[0-4]\d|25[0-5])(?:,(?:\d{1,2}|1\d{2}|2[0-4]\d|25[0-5]))+$", 3, 35),
+    ("html", r"&(?:#\d{2,5}|#x[0-9A-Fa-f]{2,4}|[a-zA-Z]{2,8});", 4, 40),
+    ("base58", r"^[1-9A-HJ-NP-Za-km-z]{20,}$", 20, 45),
+    ("morse", r"(?i)^[-.\s]+$|^[_.\s]+$", 5, 50),
+    ("rot13", r"^[A-Za-z\s]{10,}$", 10, 60),
+]
+# Flags within texts.
+FLAG_PATTERNS = [
+    r"flag\{[^}]+\}",
+    r"ctf\{[^}]+\}",
+    r"key\{[^}]+\}",
+    r"(?=.*[2-9a-f])[a-f0-9]{32}",
+    r"(?=.*[2-9a-f])[a-f0-9]{64}",
+]
+# The Morse code.
+MORSE = {
+    ".-": "A", "-...": "B", "-.-.": "C", "-..": "D", ".": "E", "..-.": "F", "--.": "G", "....": "H", "..": "I", ".---": "J", "-.-": "K", ".-..": "L", "--": "M",
+    "-.": "N", "---": "O", ".--.": "P", "--.-": "Q", ".-.": "R", "...": "S", "-": "T", "..-": "U", "...-": "V", ".--": "W", "-..-": "X", "-.--": "Y", "--..": "Z",
+    "-----": "0", ".----": "1", "..---": "2", "...--": "3", "....-": "4", ".....": "5", "-....": "6", "--...": "7", "---..": "8", "----.": "9",
+}
+
+# URI patterns whose requests are harmless, and what they add.
+NOISE = [("(/swagger|/api-docs|/openapi)", -50), (r"\.(js|css|png|jpg|gif|ico|woff|svg)$", -100), ("/(health|ping|status|ready|live)$", -80), ("(/metrics|/prometheus)", -60)]
+# Extensions of programs that another extension hides.
+DOUBLE_FROM = [".php", ".jsp", ".asp", ".aspx", ".exe", ".sh", ".py"]
+DOUBLE_TO = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".ico"]
+# Weak algorithms of secure shells.
+WEAK_SSH = ["diffie-hellman-group1-sha1", "diffie-hellman-group-exchange-sha1", "arcfour", "arcfour128", "arcfour256", "aes128-cbc", "3des-cbc", "blowfish-cbc", "hmac-md5", "hmac-sha1-96", "hmac-md5-96"]
+# PHP request variables, calls with the severity of tainted data in them, and calls that hide code.
+PHP_SOURCES = ["$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_FILES", "$_SERVER", "$_ENV", "$GLOBALS", "$HTTP_GET_VARS", "$HTTP_POST_VARS", "$HTTP_RAW_POST_DATA"]
+PHP_SINKS = {
+    "eval": 100, "assert": 90, "create_function": 85, "preg_replace": 70, "call_user_func": 75, "call_user_func_array": 75, "array_map": 60, "array_filter": 60, "usort": 55, "uasort": 55,
+    "system": 100, "exec": 100, "shell_exec": 100, "passthru": 100, "popen": 90, "proc_open": 90, "pcntl_exec": 95,
+    "include": 80, "include_once": 80, "require": 80, "require_once": 80, "file_put_contents": 70, "fwrite": 60, "fputs": 60, "file_get_contents": 40, "fopen": 40, "readfile": 40,
+    "unserialize": 80,
+}
+PHP_HIDING = ["base64_decode", "str_rot13", "gzinflate", "gzuncompress", "gzdecode", "hex2bin", "strrev", "chr", "pack"]

@@ -120,6 +120,6 @@ def test_analyzers(spark, tmp_path):
     syn = syn[:47] + b"\x02" + syn[48:]
     packets = [(1.0, icmp_frame(b"flag{")), (1.1, icmp_frame(b"ok}")), (2.0, frame(b"GET /?q=SLEEP(5) HTTP/1.1\r\n\r\n"))] + [(3 + i / 2, syn) for i in range(10)]
     (tmp_path / "a.pcap").write_bytes(pcap.write_pcap(packets))
-    found = {(r["protocol"], r["is_flag"]): r["description"] for r in analyze(pcap.read_pcap(spark, str(tmp_path))).collect()}
+    found = {(r["protocol"], r["is_flag"]): r["description"] for r in analyze(pcap.read_pcap(spark, str(tmp_path))).where("title <> 'session'").collect()}
     assert found[("ICMP", True)] == "flag{ok}" and found[("HTTP", False)].startswith("sqli medium") and found[("SSH", False)].startswith("10.0.0.1 10")
-    assert set(ANALYZERS) == {"ICMP", "HTTP", "TCP", "DNS"}
+    assert {"ICMP", "HTTP", "TCP", "DNS"} < set(ANALYZERS)
