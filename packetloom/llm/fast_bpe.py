@@ -49,7 +49,7 @@ def encoder(path: str) -> Encoder:
 
 class Encoder:
     def __init__(self, path: str, bits: int = 20, most: int = 600_000):
-        self.path, self.bits, self.most = path, bits, most
+        self.path, self.bits, self.most, self.whole = path, bits, most, None
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -152,11 +152,12 @@ class Encoder:
         self.map[(h[order] >> np.uint64(64 - self.bits)).astype(np.int64)] = np.arange(first, len(self.hash), dtype=np.int32)
 
     def slow(self, word: bytes) -> list[int]:
-        from tokenizers import Tokenizer
+        if self.whole is None:
+            from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(self.path)
-        t.encode_special_tokens = True
-        return t.encode(word.decode(), add_special_tokens=False).ids
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        return self.whole.encode(word.decode(), add_special_tokens=False).ids
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, without special tokens, as uint16."""

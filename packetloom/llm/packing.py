@@ -1,14 +1,17 @@
 """Packing (op 9): documents into sequences of at most `window` tokens, in order, by dynamic programming.
 
-Documents are tokenised once, in vectorised form (fast_bpe), dealt into shards of neighbouring ids and packed in order.
+Documents are tokenised once, in vectorised form (fast_bpe), dealt into ranges of neighbouring ids and packed in order. A
+range's rows stream through in shards of about `most` tokens, so memory follows a shard (or one document that is longer),
+whatever the range holds; there are at most `ranges` ranges, whose bounds are all that the driver sees.
 Within a shard the cuts are chosen to minimise padding plus penalties: none at a document's end, `soft` tokens at a
-sentence's end, `hard` elsewhere, where only every (window // 128)th token is a candidate: text without sentence ends may
-carry up to one token less than that as padding in a window. For a cut at p the best predecessor q in [p - window, p) minimises
-cost(q) + q, which a monotone queue over the window yields in constant amortised time. The rest of a shard may also
-close with windows whose lengths are powers of two, which need no padding.
-
-Nulls: a null text is empty and holds the end id alone; null ids come first. Repeated rows are packed one by one, ties
-by id in the order of their tokens. An empty table gives no pieces. A text may be longer than a shard; it fills its own.
+sentence's end. Where no such boundary lies within window // 128 tokens, places that far apart are offered as well, at `hard`
+tokens each: text without sentence ends would not fit a window otherwise, and may carry up to one token less than that as
+padding. For a cut at p the best predecessor q in [p - window, p) minimises cost(q) + q, which a monotone queue over the
+window yields in constant amortised time. The rest of a shard may also close with windows whose lengths are powers of two,
+which need no padding.
+
+Nulls: a null text is empty and holds the end id alone; null ids are dealt to all ranges by a hash of their text and come
+first in each. Repeated rows are packed one by one, ties by id in the order of their tokens. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_schema, partitions_for, text_map
 
@@ -38,54 +42,58 @@ def tokens(docs: DataFrame, path: str, carry: list[str] = ("doc_id",)) -> DataFr
     return text_map(docs, run, [("ids", "binary")], carry, slice_bytes=1 << 19)
 
 
-def boundaries(docs: DataFrame, shards: int) -> list[int]:
-    """shards - 1 ids that part the documents into about equal shards."""
-    if shards < 2:
+def boundaries(docs: DataFrame, ranges: int) -> list[int]:
+    """At most ranges - 1 ids that part the documents into about equal ranges."""
+    if ranges < 2:
         return []
-    at = docs.agg(F.percentile_approx("doc_id", F.lit([k / shards for k in range(1, shards)]), 10 * shards).alias("q")).first()["q"]
+    at = docs.agg(F.percentile_approx("doc_id", F.lit([k / ranges for k in range(1, ranges)]), 10 * ranges).alias("q")).first()["q"]
     return sorted(set(at or []))
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: int = 48, shard_bytes: int = 8 << 20) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: int = 48, range_bytes: int = 6 << 20, ranges: int = 8192, most: int = 2_000_000) -> DataFrame:
     """The pieces of all documents' token sequences: PIECES."""
-    shards = partitions_for(docs, F.octet_length(F.coalesce("text", F.lit(""))) + 16, shard_bytes, 1)
-    cuts = boundaries(docs, shards)
-    dealt = tokens(docs.select("doc_id", "text", shard_of(cuts)("doc_id").alias("shard")), path, ["doc_id", "shard"])
-    ordered = dealt.repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 16
+    cuts = boundaries(docs, min(ranges, partitions_for(docs, size, range_bytes, 1)))
+    dealt = tokens(docs.select("doc_id", "text", range_of(cuts)("doc_id", F.xxhash64("text")).alias("range")), path, ["doc_id", "range"])
+    ordered = dealt.repartition(max(1, len(cuts) + 1), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
     ends, schema = sentence_ends(path), arrow_schema(PIECES)
 
     def run(batches):
         import pyarrow as pa
 
-        for shard, ids, parts in by_shard(batches):
+        for first, ids, parts in by_shard(batches, most):
             made = pack_shard(parts, ends, window, soft, hard)
-            cols = pieces(ids, parts, made, window, shard)
+            cols = pieces(ids, parts, made, first)
+            first[1] += len(made)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return ordered.mapInArrow(run, PIECES)
 
 
-def shard_of(cuts: list[int]):
-    """A function of doc_id: the number of cuts at or below it, 0 for null."""
+def range_of(cuts: list[int]):
+    """A function of doc_id and a hash: the number of cuts at or below the id; for null ids a range by the hash."""
 
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(np.array(cuts, np.int64), ids.fillna(0).astype("int64"), "right")).astype("int32"))
+    @F.pandas_udf(T.IntegerType())
+    def number(ids: pd.Series, other: pd.Series) -> pd.Series:
+        own = np.searchsorted(np.array(cuts, np.int64), ids.fillna(0).astype("int64"), "right")
+        return pd.Series(np.where(ids.isna(), other.astype("int64") % (len(cuts) + 1), own).astype("int32"))
 
     return number
 
 
-def by_shard(batches):
-    """(shard, ids, arrays of token ids) of each run of equal shards."""
-    held, ids, parts = None, [], []
+def by_shard(batches, most: int):
+    """([range, sequences so far], ids, arrays of token ids) of runs of one range with about `most` tokens; the caller counts the sequences."""
+    held, ids, parts, n = None, [], [], 0
     for batch in batches:
-        for d, s, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if s != held and parts:
+        for d, r, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if parts and (r != held[0] or n >= most):
                 yield held, ids, parts
-                ids, parts = [], []
-            held = s
+                ids, parts, n = [], [], 0
+            if held is None or r != held[0]:
+                held = [r, 0]
             ids.append(d)
             parts.append(np.frombuffer(zlib.decompress(x), "<u2"))
+            n += len(parts[-1])
     if parts:
         yield held, ids, parts
 
@@ -167,8 +175,9 @@ def pack_shard(parts: list[np.ndarray], ends: np.ndarray, window: int, soft: int
     return out[::-1]
 
 
-def pieces(ids: list, parts: list[np.ndarray], cuts: list[int], window: int, shard: int) -> list[list]:
-    """Columns of PIECES: each document's tokens between its own ends and the windows' ends."""
+def pieces(ids: list, parts: list[np.ndarray], cuts: list[int], before: list[int]) -> list[list]:
+    """Columns of PIECES: each document's tokens between its own ends and the windows' ends. before: the range, and the
+    sequences that it has so far."""
     lengths = np.array([len(x) for x in parts])
     ends = np.cumsum(lengths)
     starts = ends - lengths
@@ -183,4 +192,4 @@ def pieces(ids: list, parts: list[np.ndarray], cuts: list[int], window: int, sha
         if d != held:
             wide, held = memoryview(parts[d].astype("<u4")).cast("B"), d
         crc.append(zlib.crc32(wide[4 * a : 4 * b]))
-    return [[ids[d] for d in doc.tolist()], (begin - starts[doc]).tolist(), (edges - begin).tolist(), crc, lengths[doc].tolist(), ((shard << 32) + seq).tolist(), (begin - first).tolist()]
+    return [[ids[d] for d in doc.tolist()], (begin - starts[doc]).tolist(), (edges - begin).tolist(), crc, lengths[doc].tolist(), ((before[0] << 32) + before[1] + seq).tolist(), (begin - first).tolist()]

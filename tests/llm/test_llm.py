@@ -440,6 +440,37 @@ def test_op9(spark, rows, odd):
     unique = odd.dropDuplicates(["doc_id"])
     check(pack(unique, path, window=64).collect(), [(d, (x or "").encode()) for d, x, _ in ODD if d != 5][:0] + [(r["doc_id"], (r["text"] or "").encode()) for r in unique.collect()], 64)
     assert pack(odd.limit(0), path).count() == 0
+    small = {x["doc_id"]: x for x in pack(unique, path, window=64, most=100, range_bytes=2000).collect()}
+    assert set(small) == {x["doc_id"] for x in unique.collect()}
+    check(pack(unique, path, window=64, most=100, range_bytes=2000).collect(), [(r["doc_id"], (r["text"] or "").encode()) for r in unique.collect()], 64)
+    nulls = spark.createDataFrame([(None, f"word {i} " * 20) for i in range(40)] + [(7, "same words " * 30)] * 40, "doc_id long, text string")
+    made = pack(nulls, path, window=64, most=300, range_bytes=500).collect()
+    assert sum(r["length"] for r in made) == sum(r["doc_tokens"] for r in made if r["start"] == 0) and len({(r["sequence_id"], r["offset"]) for r in made}) == len(made)
+
+
+def test_op9_optimum():
+    """The programme's cost against every way to cut, on random tokens."""
+    from packetloom.llm.packing import candidates, pack_shard
+
+    r = np.random.default_rng(4)
+    ends = np.zeros(1 << 16, bool)
+    ends[:6] = True
+    for window in (8, 16, 33):
+        for _ in range(30):
+            parts = [r.integers(0, 40, n).astype("<u2") for n in r.integers(1, 30, r.integers(1, 6))]
+            at, penalty = candidates(parts, ends, window, 3, 7)
+            cost_at, total = dict(zip(at.tolist(), penalty.tolist(), strict=True)), int(at[-1])
+            powers = {1 << k for k in range(10) if 1 << k < window}
+
+            def cost(q, p):
+                pad = 0 if total - p < window and p - q in powers else window - (p - q)
+                return pad + cost_at[p]
+
+            best = {0: 0}
+            for p in at.tolist():
+                best[p] = min(best[q] + cost(q, p) for q in best if 0 < p - q <= window)
+            cuts = pack_shard(parts, ends, window, 3, 7)
+            assert sum(cost(q, p) for q, p in zip([0, *cuts[:-1]], cuts, strict=True)) == best[total]
 
 
 def test_op10(spark, docs, odd):
