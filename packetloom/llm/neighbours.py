@@ -5,14 +5,16 @@ distance. A Gaussian (2-stable) projection to `dims` axes keeps distances up to
 distance s, (projected distance / s)^2 has the chi-square distribution with `dims` degrees of freedom.
 
 A kd-tree over the projected axes, fitted on a sample of at most `sample` rows, deals all rows into cells of about `cell`
-rows; cells whose rows are many more (copies of one vector cannot be split) are dealt on by a hash of the id. A query first
+rows, or as many cells as leave 32 rows of the sample in each; cells of over `salt` rows (a large table, or copies of one
+vector, which cannot be split) are dealt on by a hash of the id, and a query visits all their parts. A query first
 searches its own cell. Its k-th distance there decides which other cells it must visit: those whose box is not yet so
 far, in projected distance, that the chi-square test at confidence `stop` would stop the search before it. Inside a cell
 rows are verified in the order of projected distance, in blocks, until the test holds for the next one. Scores are inner
 products of the original vectors in double precision.
 
 Every row is indexed. Nulls: vectors null, zero, or with null or non-finite components take no part, nor do null ids. Ties
-go to the smaller id; a query meets copies of its vector but not its own id. Rows of one id and vector count once. Vectors
+go to the smaller id; a query meets copies of its vector under other ids, and never rows of its own id, whatever their vectors.
+Rows of one id and vector count once. Vectors
 of other lengths than the first query's take no part. An empty table gives no rows.
 """
 
@@ -135,11 +137,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 8, cel
         return spark.createDataFrame([], ddl)
     width = facts["first"]["w"]
     rows = rows.where(F.size("v") == width)
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     proj = Projection(width, dims, facts["norm"])
     chi = chi_square_quantile(stop, dims)
     base = 2 * facts["norm"] ** 2
-    tree = Cells(proj.data(np.array([r["v"] for r in some])), -(-facts["n"] // cell))
+    tree = Cells(proj.data(some), min(-(-facts["n"] // cell), max(1, len(some) // 32)))
     schema_in, schema_out = arrow_schema("vec_id long, v array<double>, cell int, px array<double>"), arrow_schema("query_id long, vec_id long, score double")
 
     def place(batches):

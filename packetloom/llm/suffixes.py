@@ -4,6 +4,9 @@
    have equal anchors wherever they stand. Runs of neighbouring strings with one anchor form a window, described by the
    anchor's hash, a hash of the window's bytes and its place. Copies of a window within a few MB of documents are settled at once;
    the rest goes, packed by hash range, to the task that owns the range.
+   An anchor that a fair share of all documents hold (found in a sample of them; a list of bounded size) is split by the
+   bytes next to it: strings that begin near the anchor by the bytes after it, others by the bytes before it, which equal
+   strings share. So no anchor gathers more than the windows that agree around it.
 2. Windows that are equal throughout are settled by their hashes. An anchor whose windows differ needs its texts: the
    first document of each distinct window sends its bytes.
 3. Suffix array. The windows of a range form one text, whose suffixes are sorted by bucket-pointer refinement: 8-byte
@@ -89,8 +92,9 @@ def last_of(new: np.ndarray) -> np.ndarray:
     return np.repeat(ends, np.diff(np.concatenate([starts, [len(new)]])))
 
 
-def windows(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, 48-bit hash of the bytes, first place, places) of each window; the second only tells apart windows of one anchor."""
+def windows(b: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the anchor, 48-bit hash of the bytes, first place, places) of each window; the second only tells apart windows of
+    one anchor. Windows of hot anchors (sorted) are split by the bytes next to the anchor, which then count as part of it."""
     made = []
     for at in range(0, max(1, len(b) - length + 1), PIECE):
         part = b[at : at + PIECE + length - 1]
@@ -102,12 +106,51 @@ def windows(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         a = (K.sliding_min((g & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64), length - Q + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         edge = np.flatnonzero(a[1:] != a[:-1]) + 1
         start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(a)]])
-        made.append((g[a[start]], K.span_hash(K.prefix_hash(part), start, end + length - 1) >> np.uint64(16), start + at, end - start))
+        key, sums = g[a[start]], K.prefix_hash(part)
+        if hot is not None and len(hot):
+            key, start, end = split_hot(key, a[start], start, end, sums, length, hot)
+        made.append((key, K.span_hash(sums, start, end + length - 1) >> np.uint64(16), start + at, end - start))
     if not made:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*made, strict=True))
 
 
+def split_hot(key, anchor, start, end, sums, length: int, hot: np.ndarray):
+    """(key, start, end) of windows, those of hot anchors parted where strings begin too early to hold the bytes after the anchor."""
+    i = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+    own = hot[i] == key
+    if not own.any():
+        return key, start, end
+    near = (length - Q) // 2
+    k, c, s, e = key[own], anchor[own], start[own], end[own]
+    mid = np.clip(c - near, s, e)
+    out = [(key[~own], start[~own], end[~own])]
+    for lo, hi, x, y, salt in ((mid, e, c + Q, c + length - near, 1), (s, mid, c - near, c, 2)):
+        some = lo < hi
+        out.append((K.mix(k[some] + np.uint64(salt) + K.span_hash(sums, x[some], y[some])), lo[some], hi[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def hot_anchors(docs: DataFrame, length: int, every: int = 64, share: float = 0.002, least: int = 32) -> np.ndarray:
+    """Anchors that over `share` of a sample of documents hold (one in `every`, by a hash of the id), and `least` of them at least.
+
+    At most 1/share times the mean number of anchors of a document, whatever the corpus; which anchors are listed changes how
+    windows are dealt, not what is found."""
+    schema = arrow_schema("h long")
+    some = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("t"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(windows(K.raw(t.as_py()), length)[0]).view(np.int64))], schema=schema)
+
+    n = some.count()
+    rows = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") > max(least, share * n)).select("h").toArrow()
+    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+
 def packed(part: np.ndarray, cols: list[np.ndarray], kinds: str) -> tuple[list, list]:
     """(part, blob) of rows sorted by part: each column's bytes in turn, compressed."""
     edge = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
@@ -145,7 +188,7 @@ def unsqueezed(z: bytes) -> bytes:
 KINDS = "<u8 <u8 <i8 <i4 <i4"
 
 
-def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
+def anchors(docs: DataFrame, length: int, parts: int, hot: np.ndarray) -> DataFrame:
     """(part, blob): windows by hash range; part -1 holds windows whose batch has an equal one in an earlier document."""
     schema = arrow_schema("part int, blob binary")
 
@@ -155,7 +198,7 @@ def anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
         for batch in (b.slice(at, size) for b in batches for at, size in slices(b.column(1), 2 << 20)):
             rows = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, c, p, n = windows(K.raw(t.as_py()), length)
+                h, c, p, n = windows(K.raw(t.as_py()), length, hot)
                 if len(h):
                     rows.append((h, c, np.full(len(h), d, np.int64), p, n))
             if not rows:
@@ -219,7 +262,7 @@ def settled(rows: DataFrame, parts: int) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(p[keep]), pa.array(n[keep]), pa.array(h[keep].view(np.int64), mask=mark[keep])], schema=schema)
 
-    dealt = F.when(F.col("part") < 0, F.floor(F.rand(7) * parts).cast("int")).otherwise(F.col("part"))
+    dealt = F.when(F.col("part") < 0, F.pmod(F.xxhash64("blob"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     return rows.withColumn("to", dealt).repartition(parts, "to").drop("to").sortWithinPartitions("part").mapInArrow(run, ddl)
 
 
@@ -299,7 +342,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part_bytes: int = 2 << 20) -
     """One row per row of docs: doc_id and FIELDS."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = partitions_for(docs, F.octet_length(F.coalesce("text", F.lit(""))), part_bytes)
-    found = materialize(settled(anchors(docs, length, parts), parts), "windows")
+    found = materialize(settled(anchors(docs, length, parts, hot_anchors(docs, length)), parts), "windows")
     some = materialize(text_map(docs, lambda texts: [[squeezed(t) for t in texts]], [("z", "binary")]), "texts")
     late = sorted_windows(found.where("h is not null"), some.where("doc_id is not null"), length, parts)
     marks = found.where("h is null").select("doc", "p", "n").union(late).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("m"))

@@ -119,6 +119,25 @@ def test_op1(spark, rows, odd):
     assert suffix_dedup(odd.limit(0)).count() == 0
 
 
+def test_op1_hot_anchors(spark):
+    """A passage that most documents hold within different texts, with its anchors split and not."""
+    from packetloom.llm import suffixes
+
+    r = np.random.default_rng(8)
+    passage = bytes(r.integers(97, 123, 90).astype(np.uint8))
+    rows = [(i, bytes(r.integers(97, 100, int(r.integers(0, 60))).astype(np.uint8)) + passage[int(r.integers(0, 20)) : int(r.integers(60, 91))] + bytes(r.integers(97, 100, int(r.integers(0, 60))).astype(np.uint8))) for i in range(300)]
+    want = brute_suffix(rows)
+    made = spark.createDataFrame([(d, t.decode()) for d, t in rows], "doc_id long, text string")
+    hot = suffixes.hot_anchors(made, 50, every=1, least=5)
+    assert len(hot)
+    for given in (hot, np.empty(0, np.uint64)):
+        held, suffixes.hot_anchors = suffixes.hot_anchors, lambda *a, given=given: given
+        try:
+            assert {x["doc_id"]: tuple(x)[1:] for x in suffixes.suffix_dedup(made, part_bytes=4000).collect()} == want
+        finally:
+            suffixes.hot_anchors = held
+
+
 def test_op2(spark, odd):
     assert normal(QUERIES["op2_secrets"](spark, SF).toPandas()) == normal(duck("sf0.001").execute(ORACLES["op2_secrets"]).df())
     from packetloom.llm.credentials import find_secrets, redact
@@ -306,6 +325,28 @@ def test_op5(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op5_cells(spark):
+    """Recall over many cells, some of them dealt in parts, and scores exactly those of the original vectors."""
+    from packetloom.llm.neighbours import nearest
+
+    given = table(spark, f"{DATA}/sf0.1", "embeddings")
+    e = given.toPandas()
+    x, ids = np.array(e.embedding.tolist(), np.float64), e.vec_id.to_numpy()
+    at = {v: i for i, v in enumerate(ids.tolist())}
+    for cell, salt in ((128, 8192), (256, 100)):
+        got = defaultdict(dict)
+        for r in nearest(given, cell=cell, salt=salt).collect():
+            got[r["query_id"]][r["vec_id"]] = r["score"]
+        hits = total = 0
+        for q in ids[ids % 20 == 0].tolist():
+            s = x @ x[at[q]]
+            s[at[q]] = -np.inf
+            hits += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & set(got[q]))
+            total += 20
+            assert all(abs(v - s[at[i]]) < 1e-9 for i, v in got[q].items())
+        assert hits / total >= 0.9
+
+
 def brute_near(rows, k, percent=80):
     sets = {}
     for d, t in rows:
@@ -494,6 +535,106 @@ def test_op10(spark, docs, odd):
     assert perplexities(odd.limit(0), table(spark, SF, "labels")).count() == 0
 
 
+def kn_model(texts):
+    """A dictionary form of the interpolated modified Kneser-Ney model over lists of symbols."""
+    from packetloom.llm.kneser_ney import BITS, ORDER
+
+    grams = Counter()
+    for x in texts:
+        y = [0] * (ORDER - 1) + list(x) + [0]
+        grams.update(tuple(y[i : i + ORDER]) for i in range(len(x) + 1))
+    levels = {ORDER: dict(grams)}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = dict(Counter(g[1:] for g in levels[k + 1]))
+
+    def cuts(c):
+        n = [max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(float(k), max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
+
+    d = {k: cuts(c) for k, c in levels.items()}
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1.0 / (1 << BITS)
+        c = {h: v for h, v in levels[k].items() if h[:-1] == g[:-1]}
+        lower = p(g[1:])
+        if not c:
+            return lower
+        left = sum(d[k][min(v, 3) - 1] for v in c.values())
+        own = max(0.0, c[g] - d[k][min(c[g], 3) - 1]) if g in c else 0.0
+        return (own + left * lower) / sum(c.values())
+
+    return p
+
+
+def test_op10_brute(spark):
+    from packetloom.llm.kneser_ney import ORDER, SYMBOL, classify, perplexities
+
+    r = np.random.default_rng(6)
+    texts = [" ".join(r.choice(["abc", "Abd", "xyz", "ab1", "é"], int(r.integers(1, 9)))) for _ in range(24)]
+    docs = spark.createDataFrame([(i if i != 20 else None, "en" if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(13, 1, 1), (14, 0, 0)], "doc_id long, quality int, toxic int")
+    symbols = [SYMBOL[K.raw(t)].tolist() for t in texts]
+    p = kn_model(symbols[:12])
+    got = {(x["doc_id"], x["n"]): x["perplexity"] for x in perplexities(docs, labels, block_bytes=100).collect()}
+    for i, x in enumerate(symbols):
+        y = [0] * (ORDER - 1) + x + [0]
+        want = math.exp(-np.mean([math.log(p(tuple(y[j : j + ORDER]))) for j in range(len(x) + 1)]))
+        assert abs(got[(i if i != 20 else None, len(x))] - want) < 1e-4 * want
+    rows = {x["doc_id"]: x for x in classify(docs, labels).collect()}
+    assert len(rows) == 24 and all(rows[i]["kept"] for i in range(12))
+
+
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Every stage and the whole run on nulls, blanks, repeats, long texts, empty tables and columns of clashing names."""
+    import corpus_pipeline as P
+
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = odd.selectExpr("*", "'x' as spans", "doc_id as component_id", "1 as n", "'m' as mark", "true as few", "array(1) as t", "map('a', 1) as words")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, extra, str(tmp_path))
+        assert out.columns == extra.columns and out.dtypes == extra.dtypes, name
+        assert stage(spark, extra.limit(0), str(tmp_path)).count() == 0, name
+        ids = [x["doc_id"] for x in out.collect()]
+        if name == "minhash near-dedup":
+            assert sorted(i or 0 for i in ids) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
+        elif name != "quality rules":
+            assert len(ids) >= len(ODD) - 1 and {x["text"] is None for x in out.where("doc_id = 1").collect()} == {True}
+    extra.write.parquet(f"{tmp_path}/documents.parquet")
+    made = P.run(spark, str(tmp_path)).collect()
+    assert all(x["length"] > 0 for x in made)
+    extra.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_run(spark, rows):
+    """The whole run: what each stage decides reaches the next one."""
+    import corpus_pipeline as P
+
+    verdict = {r["doc_id"]: r["kept"] for r in QUERIES["op7_quality_rules"](spark, SF).collect()}
+    good = [(d, t) for d, t in rows if verdict[d]]
+    near = brute_near(good, 5)
+    packed = P.run(spark, SF).collect()
+    assert {r["doc_id"] for r in packed} <= {d for d, (_, _, head) in near.items() if head}
+    words = re.compile(rb"[0-9a-z\x80-\xff]+")
+    seen, whole = set(), set()
+    for d, t in good:
+        if near[d][2]:
+            w = words.findall(lowered(t))
+            if not any(tuple(w[i : i + 40]) in seen for i in range(len(w) - 39)):
+                whole.add(d)
+            seen |= {tuple(w[i : i + 40]) for i in range(len(w) - 39)}
+    bags = {d: Counter(words.findall(lowered(t))) for d, t in good if near[d][2]}
+    for d in whole - {r["doc_id"] for r in packed}:  # gone as one fuzzy passage of an earlier document
+        assert max((bags[d] & bags[e]).total() for e in bags if e < d) >= 0.8 * bags[d].total()
+    sequences = defaultdict(int)
+    for r in packed:
+        sequences[r["sequence_id"]] += r["length"]
+    assert max(sequences.values()) <= 4096
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline as P
 
