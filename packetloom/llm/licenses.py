@@ -1,10 +1,12 @@
-"""License scans (op 3): base phrases, and templates found by diagonal voting.
+"""License scans (op 3): base phrases, and licence texts found by diagonal voting.
 
 Every text becomes words; all windows of `k` words whose words occur in a template at all (others can match none) are
 hashed and joined to the templates' positions, which is a broadcast of a table of fixed size. A match votes for its
 diagonal, the offset between text and template; votes are counted by document, template and diagonal, diagonals at
-most `slack` apart are merged, which bridges inserted or dropped words, and a span is verified by the share of the
-template's words that windows of equal text cover on its diagonals. Copies of a text are voted on once.
+most `slack` apart are merged, which bridges inserted or dropped words. A span is verified by its words: those of the
+template that windows of equal text cover on its diagonals must make up `least` of the template and of the stretch of
+text that they span, so votes scattered over a text or drifting across many diagonals are none. Copies of a text are voted
+on once. Templates are notices and whole texts; a whole text's notice is reported with it.
 
 Nulls: a null text is empty; rows with a null id are scanned alike. Repeated rows give equal rows; ties between templates
 keep all labels. An empty table gives no rows.
@@ -20,27 +22,11 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .common import materialize, text_map
+from .license_texts import TEMPLATES
 
 #: The base phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: Notices of common licences, from the licences' own texts.
-TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("agpl-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
-FIELDS = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base", "array<string>"), ("grams", "array<struct<pos:int,h:long,g:string>>"), ("mark", "long")]
+FIELDS = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base", "array<string>"), ("pos", "array<int>"), ("h", "array<long>"), ("g", "array<string>"), ("mark", "long")]
 
 
 def words_of(t: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,21 +58,21 @@ def scan(docs: DataFrame, k: int, templates: list[tuple[str, str]]) -> DataFrame
                 hit = np.ones(n, bool)
                 for j, v in enumerate(want):
                     hit &= h[j : j + n] == v
-                at = [i for i in np.flatnonzero(hit).tolist() if all(b[s[i + j] : e[i + j]].tobytes() == w for j, w in enumerate(p))]
-                if at:
-                    places += at
+                own = [i for i in np.flatnonzero(hit).tolist() if all(b[s[i + j] : e[i + j]].tobytes() == w for j, w in enumerate(p))]
+                if own:
+                    places += own
                     labels.append(label)
-            grams = []
+            at, h_at, g_at = [], [], []
             if len(h) >= k:
                 i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                known = vocabulary[i] == h
-                run_ = np.convolve(known, np.ones(k, int), "valid") == k
-                if run_.any():
-                    g = K.shingle_hashes(h, k)
-                    for at in np.flatnonzero(run_).tolist():
-                        grams.append({"pos": at, "h": int(g[at].view(np.int64)), "g": " ".join(b[s[at + j] : e[at + j]].tobytes().decode("utf-8", "replace") for j in range(k))})
-            mark = int(K.span_hash(K.prefix_hash(b), np.array([0]), np.array([len(b)]))[0].view(np.int64)) if grams else None
-            rows.append((len(h), len(places), min(places, default=None), max(places, default=None), labels, grams, mark))
+                found = np.flatnonzero(np.convolve(vocabulary[i] == h, np.ones(k, int), "valid") == k)
+                if len(found):
+                    at, h_at = found.tolist(), K.shingle_hashes(h, k)[found].view(np.int64).tolist()
+                    text = [b[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(s.tolist(), e.tolist(), strict=True)] if len(found) * 8 > len(h) else None
+                    word = (lambda j: text[j]) if text else (lambda j: b[s[j] : e[j]].tobytes().decode("utf-8", "replace"))
+                    g_at = [" ".join(word(j) for j in range(x, x + k)) for x in at]
+            mark = int(K.span_hash(K.prefix_hash(b), np.array([0]), np.array([len(b)]))[0].view(np.int64)) if at else None
+            rows.append((len(h), len(places), min(places, default=None), max(places, default=None), labels, at, h_at, g_at, mark))
         return [list(c) for c in zip(*rows, strict=True)]
 
     return text_map(docs, run, FIELDS)
@@ -107,15 +93,15 @@ def find_licenses(docs: DataFrame, k: int = 3, slack: int = 3, least: float = 0.
     templates = templates or TEMPLATES
     found = materialize(scan(docs.select("doc_id", "text"), k, templates), "licenses")
     key = ["doc_id", "mark"]
-    grams = found.where("mark is not null").dropDuplicates(key).select(*key, F.explode("grams").alias("x")).select(*key, "x.*")
+    grams = found.where("mark is not null").dropDuplicates(key).select(*key, F.explode(F.arrays_zip("pos", "h", "g")).alias("x")).select(*key, "x.*")
     table = template_grams(docs.sparkSession, k, templates)
     votes = grams.join(F.broadcast(table.withColumnRenamed("g", "tg")), "h").where("g = tg").withColumn("diagonal", F.col("pos") - F.col("tpos"))
-    by_diagonal = votes.groupBy(*key, "template", "label", "size", "diagonal").agg(F.collect_set("tpos").alias("at"))
+    by_diagonal = votes.groupBy(*key, "template", "label", "size", "diagonal").agg(F.collect_set("tpos").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     order = Window.partitionBy(*key, "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= slack, 0).otherwise(1)
     merged = by_diagonal.withColumn("fresh", fresh).withColumn("band", F.sum("fresh").over(order))
     covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("at")), lambda t: F.sequence(t, t + (k - 1)))))
-    spans = merged.groupBy(*key, "template", "label", "size", "band").agg(F.size(covered).alias("n")).withColumn("share", F.col("n") / F.col("size")).where(F.col("share") >= least)
+    spans = merged.groupBy(*key, "template", "label", "size", "band").agg(F.size(covered).alias("n"), (F.max("hi") + k - F.min("lo")).alias("span")).withColumn("share", F.col("n") / F.greatest("size", "span")).where(F.col("share") >= least)
     best = spans.groupBy(*key).agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("share").alias("share"))
     best = best.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "more", "share")
     joined = found.join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")

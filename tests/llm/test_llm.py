@@ -149,6 +149,8 @@ def test_op2(spark, odd):
     got = {r["doc_id"]: r for r in find_secrets(odd).collect()}
     assert got[8]["n_assign"] == 1 and got[8]["n_access"] == 1 and len(got) == len({r[0] for r in ODD})
     assert find_secrets(odd.limit(0)).count() == 0
+    dense = " ".join(f"token={i:08d}" for i in range(20_000))
+    assert find_secrets(spark.createDataFrame([(1, dense)], "doc_id long, text string")).first()["n_assign"] == 20_000
 
 
 def test_op2_endpoint_between(spark):
@@ -181,6 +183,50 @@ def test_op3(spark, rows, odd):
     assert find_licenses(odd.limit(0)).count() == 0
 
 
+def brute_votes(text, templates, k=3, slack=3, least=0.75):
+    """Labels by diagonal voting over lists of words, pair by pair."""
+    from packetloom.llm.licenses import split_words
+
+    w, out = split_words(text), set()
+    for label, t in templates:
+        tw = split_words(t)
+        votes = defaultdict(set)
+        for i in range(len(w) - k + 1):
+            for j in range(len(tw) - k + 1):
+                if w[i : i + k] == tw[j : j + k]:
+                    votes[i - j].add((i, j))
+        band = []
+        for d in [*sorted(votes), None]:
+            if band and (d is None or d - band[-1] > slack):
+                hits = [x for b in band for x in votes[b]]
+                covered = {j + x for _, j in hits for x in range(k)}
+                span = max(i for i, _ in hits) + k - min(i for i, _ in hits)
+                if len(covered) / max(len(tw), span) >= least:
+                    out.add(label)
+                band = []
+            band.append(d)
+    return out
+
+
+def test_op3_votes(spark, rows):
+    from packetloom.llm.license_texts import TEMPLATES
+    from packetloom.llm.licenses import find_licenses
+
+    r, texts = np.random.default_rng(9), []
+    for _, t in TEMPLATES * 3:
+        w = t.split()
+        noisy = [x for x in (y if r.random() > 0.04 else r.choice(["", "foo", y + " bar"]) for y in w) if x]
+        texts.append(" ".join([*(["lorem"] * int(r.integers(0, 9))), *noisy, *(["the software is"] * int(r.integers(0, 4)))]))
+    texts += [" ".join(r.permutation(TEMPLATES[4][1].split())) for _ in range(4)] + [t.decode() for _, t in rows[:60]]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = {"cc-by", "gpl", "reserved"}
+    got = {x["doc_id"]: set(filter(None, x["labels"].split(","))) for x in find_licenses(made).collect()}
+    for i, t in enumerate(texts):
+        want = brute_votes(t, TEMPLATES)
+        assert want <= got[i] and got[i] - want <= base, (i, got[i], want)
+    assert sum(bool(got[i]) for i in range(3 * len(TEMPLATES))) > 2 * len(TEMPLATES)
+
+
 def test_op4(spark, rows, odd):
     words = re.compile(rb"[0-9a-z\x80-\xff]+")
     seen, repeats = {}, {}
@@ -407,6 +453,11 @@ def test_op7(spark, docs, rows, odd):
     scored = quality_rules(table(spark, f"{DATA}/sf0.1", "documents"), model).where("not base_failed").collect()
     held = [((r["low_quality_p"] >= 0.5) == (labels[r["doc_id"]] == 0)) for r in scored if r["doc_id"] in labels and r["doc_id"] >= 1000]
     assert np.mean(held) > 0.95
+    p, y = (np.array(v, float) for v in zip(*[(r["low_quality_p"], labels[r["doc_id"]] == 0) for r in scored if r["doc_id"] in labels and r["doc_id"] >= 1000], strict=True))
+    for low, high in ((0.0, 0.2), (0.8, 1.01)):
+        part = (p >= low) & (p < high)
+        assert part.sum() > 20 and abs(p[part].mean() - y[part].mean()) < 0.1
+    assert np.mean((p - y) ** 2) < 0.05
     assert len(quality_rules(odd, None).collect()) == len(ODD)
     assert train(docs, table(spark, SF, "labels").limit(0)) is None
     assert quality_rules(odd.limit(0), model).count() == 0
@@ -421,21 +472,25 @@ def test_op8(spark, rows, odd):
     assert len(out) == len(ODD) and all(r["lossless"] for r in out)
     a, b = (sampled(odd.repartition(n), path, seed=4).where("doc_id is not null").dropDuplicates().orderBy("doc_id").collect() for n in (1, 5))
     assert a == b and a != sampled(odd, path, seed=5).where("doc_id is not null").dropDuplicates().orderBy("doc_id").collect()
-    s, word, n = Sampler(path, 1.0), b" than", 20_000
-    seen = Counter(tuple(x.tolist()) for x in s.encode([word] * n, np.arange(n), 5))
-    body, exact = word.replace(b" ", bytes([0xFE])), {}
-
-    def walk(i, ids, weight):
-        if i == len(body):
-            exact[tuple(ids)] = math.exp(weight)
-        for j in range(i + 1, len(body) + 1):
-            p = s.pieces.get(hashes([body[i:j]]))[0]
-            if p >= 0:
-                walk(j, [*ids, int(s.ids[p])], weight + s.weight[p])
-
-    walk(0, [], 0.0)
-    total = sum(exact.values())
-    assert set(seen) <= set(exact) and max(abs(seen[k] / n - v / total) for k, v in exact.items()) < 0.02
+    s, n = Sampler(path, 1.0), 20_000
+    for word in (b" than", b" a b", b" ing"):
+        seen = Counter(tuple(x.tolist()) for x in s.encode([word] * n, np.arange(n), 5))
+        exact = {(): 1.0}
+        for body in [bytes([0xFE]) + part for part in word.split(b" ")[1:]]:
+            one = {}
+
+            def walk(i, ids, weight, body=body, one=one):
+                if i == len(body):
+                    one[tuple(ids)] = math.exp(weight)
+                for j in range(i + 1, len(body) + 1):
+                    p = s.pieces.get(hashes([body[i:j]]))[0]
+                    if p >= 0:
+                        walk(j, [*ids, int(s.ids[p])], weight + s.weight[p])
+
+            walk(0, [], 0.0)
+            exact = {(*a, *b): v * w for a, v in exact.items() for b, w in one.items()}
+        total = sum(exact.values())
+        assert set(seen) <= set(exact) and max(abs(seen[k] / n - v / total) for k, v in exact.items()) < 0.02, word
 
 
 def test_op9(spark, rows, odd):
