@@ -71,3 +71,13 @@ def longest_magic(rows: DataFrame, data: str, signatures: list[tuple], extension
 def keep_best(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def numbered(df: DataFrame, key: str, name: str, width: int = 100_000, ties: tuple = ()) -> DataFrame:
+    """df with each row's place (from 1) in the order of a numeric key, without a sort of all rows in one task: rows are
+    numbered within ranges of `width` key values, and ranges by a running sum over their counts, a row for each range."""
+    rows = df.withColumn("_range", F.floor(F.col(key) / width))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties))
+    return rows.withColumn("_own", within).join(before, F.col("_range") == F.col("_r")).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_r", "_before")

@@ -140,24 +140,21 @@ def running_sum_trace(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.sum("value").over(w), 4).alias("x"))
 
 
-@register("byte_column_pivot", "WITH b AS (SELECT item_id, unnest(range(1, strlen(text) + 1)) AS place, hex(encode(text)) AS h FROM benchmark) SELECT (place - 1)::INT AS at, string_agg(substr(h, 2 * place - 1, 2), '' ORDER BY item_id) AS column_hex FROM b GROUP BY 1")
+@register("byte_column_pivot", "WITH b AS (SELECT item_id, item_id // 8 AS stream, unnest(range(1, strlen(text) + 1)) AS place, hex(encode(text)) AS h FROM benchmark) SELECT stream, (place - 1)::INT AS at, string_agg(substr(h, 2 * place - 1, 2), '' ORDER BY item_id) AS column_hex FROM b GROUP BY ALL")
 def byte_column_pivot(spark, sf_dir):
-    """The i-th byte of every payload, in order: rows become columns."""
-    h = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit(".."), F.lit(0))).alias("at", "b"))
+    """The i-th byte of every payload of a stream, in order: rows become columns."""
+    h = table(spark, sf_dir, "benchmark").select("item_id", F.floor(F.col("item_id") / 8).alias("stream"), F.posexplode(F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit(".."), F.lit(0))).alias("at", "b"))
     parts = F.array_sort(F.collect_list(F.struct("item_id", "b")))
-    return h.groupBy("at").agg(F.array_join(F.transform(parts, lambda x: x["b"]), "").alias("column_hex")).select("at", "column_hex")
+    return h.groupBy("stream", "at").agg(F.array_join(F.transform(parts, lambda x: x["b"]), "").alias("column_hex"))
 
 
 @register("threat_sort", """SELECT page_id, row_number() OVER (ORDER BY CASE WHEN length(html) > 20000 THEN 4 WHEN length(html) > 10000 THEN 3 WHEN length(html) > 5000 THEN 2 ELSE 0 END, page_id) AS place FROM pages""")
 def threat_sort(spark, sf_dir):
-    """Lowest level first, in order of arrival within one: ranks from a range-partitioned sort's partition counts."""
+    """Lowest level first, in order of arrival within one: places from ranges of (level, id) and a running sum of their counts."""
     n = F.length("html")
     level = F.when(n > 20000, 4).when(n > 10000, 3).when(n > 5000, 2).otherwise(0)
-    p = table(spark, sf_dir, "pages").select("page_id", level.alias("level"))
-    counts = p.groupBy("level").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.level") < F.col("a.level"), "left").groupBy("a.level").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    w = Window.partitionBy("level").orderBy("page_id")
-    return p.withColumn("n", F.row_number().over(w)).join(F.broadcast(before), "level").select("page_id", (F.col("n") + F.col("before")).alias("place"))
+    p = table(spark, sf_dir, "pages").select("page_id", (level.cast("long") * (1 << 50) + F.col("page_id")).alias("key"))
+    return C.numbered(p, "key", "place").select("page_id", "place")
 
 
 _RANK = [("php", 0), ("jsp", 0), ("asp", 0), ("exe", 1), ("zip", 2), ("pdf", 3), ("js", 5), ("css", 6), ("html", 7)]
@@ -202,13 +199,12 @@ for _name, _sql, _col in [
         return lists(spark, sf_dir).select("k", F.array_join(F.transform(col(), lambda x: x.cast("string")), ",").alias("members"))
 
 
-@register("set_powerset", "WITH m AS (SELECT r_regionkey, 1 << r_regionkey AS bit, r_name FROM region) SELECT s.range::INT AS subset, coalesce((SELECT string_agg(r_name, ',' ORDER BY r_regionkey) FROM m WHERE s.range & m.bit > 0), '') AS members FROM range(0, (SELECT 1 << count(*) FROM region)) s")
+@register("set_powerset", "WITH l AS (SELECT n_regionkey AS k, list(n_name ORDER BY n_nationkey) AS a FROM nation GROUP BY 1), s AS (SELECT k, a, unnest(range(0, 1 << len(a))) AS subset FROM l) SELECT k, subset::INT AS subset, array_to_string(list_filter(a, lambda x, i: (subset >> (i - 1)) & 1 = 1), ',') AS members FROM s")
 def set_powerset(spark, sf_dir):
-    """All subsets of a list of five, by the bits of their numbers."""
-    one = table(spark, sf_dir, "region").agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("all"))
-    subsets = one.select("all", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 5) - 1)).alias("subset"))
-    inside = F.filter("all", lambda x: F.pmod(F.floor(F.col("subset") / F.pow(F.lit(2), x["r_regionkey"])), F.lit(2)) == 1)
-    return subsets.select("subset", F.array_join(F.transform(inside, lambda x: x["r_name"]), ",").alias("members"))
+    """All subsets of each list, by the bits of their numbers."""
+    lists_ = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("a"))
+    subsets = lists_.select("k", "a", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, size(a))") - 1)).alias("subset"))
+    return subsets.select("k", "subset", F.array_join(F.filter("a", lambda x, i: F.getbit(F.col("subset"), i) == 1), ",").alias("members"))
 
 
 @register("tree_ancestors", """WITH RECURSIVE t(id, name, parent) AS (SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, NULL FROM region), u AS (SELECT id, name, parent FROM t WHERE contains(name, 'A') UNION SELECT t.id, t.name, t.parent FROM t JOIN u ON t.id = u.parent) SELECT DISTINCT id, name FROM u""")
@@ -217,5 +213,4 @@ def tree_ancestors(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
     r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"))
     nodes = n.unionByName(r)
-    nodes.createOrReplaceTempView("packetloom_tree_nodes")
-    return spark.sql("WITH RECURSIVE u(id, name, parent) AS (SELECT id, name, parent FROM packetloom_tree_nodes WHERE contains(name, 'A') UNION ALL SELECT t.id, t.name, t.parent FROM packetloom_tree_nodes t JOIN u ON t.id = u.parent) SELECT DISTINCT id, name FROM u")
+    return spark.sql("WITH RECURSIVE u(id, name, parent) AS (SELECT id, name, parent FROM {t} WHERE contains(name, 'A') UNION ALL SELECT t.id, t.name, t.parent FROM {t} t JOIN u ON t.id = u.parent) SELECT DISTINCT id, name FROM u", t=nodes)

@@ -39,21 +39,24 @@ def icmp_sequence_decode(spark, sf_dir):
     return g.where("packets >= 8 and ttls = 2").select("l_suppkey", "packets", "ttls", F.array_join(F.transform("s", lambda x: x["b"].cast("string")), "").alias("bits"))
 
 
-@register("icmp_concat_flag", "SELECT conv_id, octet_length(encode(string_agg(text, '' ORDER BY turn)))::BIGINT AS bytes, regexp_matches(string_agg(text, '' ORDER BY turn), '(?i)(flag|ctf|key)\\{[^}]+\\}') AS flag FROM conversations GROUP BY 1")
+@register("icmp_concat_flag", "SELECT conv_id, octet_length(encode(string_agg(text, '' ORDER BY turn)))::BIGINT AS bytes, regexp_matches(lower(string_agg(text, '' ORDER BY turn)), 'flag\\{|ctf\\{|ctfhub\\{|key\\{|secret\\{|\\{flag|flag:|key:') AS flag FROM conversations GROUP BY 1")
 def icmp_concat_flag(spark, sf_dir):
+    """Payloads of a conversation joined in order, their bytes, and whether a word that marks a flag is in them."""
+    from ..operators.protocols import flag_like
+
     parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("body"))
-    return g.select("conv_id", F.octet_length("body").cast("long").alias("bytes"), F.col("body").rlike(r"(?i)(flag|ctf|key)\{[^}]+\}").alias("flag"))
+    return g.select("conv_id", F.octet_length("body").cast("long").alias("bytes"), flag_like(F.col("body")).alias("flag"))
 
 
 _LABEL = "split_part(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.', 1)"
 
 
-@register("dns_label_buffer", f"SELECT length(url) % 16 AS stream, string_agg({_LABEL}, '' ORDER BY page_id) FILTER (length({_LABEL}) > 4) AS buffer, count(DISTINCT {_LABEL}) AS labels FROM pages GROUP BY 1")
+@register("dns_label_buffer", f"SELECT page_id // 16 AS stream, string_agg({_LABEL}, '' ORDER BY page_id) FILTER (length({_LABEL}) > 4) AS buffer, count(DISTINCT {_LABEL}) AS labels FROM pages GROUP BY 1")
 def dns_label_buffer(spark, sf_dir):
     """Labels of more than four characters, joined in capture order by stream."""
     label = F.split(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), r"\.")[0]
-    p = table(spark, sf_dir, "pages").select((F.length("url") % 16).alias("stream"), "page_id", label.alias("label"))
+    p = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 16).alias("stream"), "page_id", label.alias("label"))
     parts = F.array_sort(F.collect_list(F.when(F.length("label") > 4, F.struct("page_id", "label"))))
     g = p.groupBy("stream").agg(F.array_join(F.transform(parts, lambda x: x["label"]), "").alias("b"), F.count_distinct("label").alias("labels"))
     return g.select("stream", F.when(F.col("b") != "", F.col("b")).alias("buffer"), "labels")
@@ -130,17 +133,18 @@ def _weak(name: str, words: list[str]):
 _weak("ssh_weak_alg", WEAK_SSH)
 
 
-@register("ntlm_hashcat_lines", """WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, CASE WHEN o_orderstatus = 'F' THEN substr(md5(o_orderkey::VARCHAR) || md5(o_custkey::VARCHAR), 1, 48) ELSE md5(o_orderkey::VARCHAR) || md5(o_custkey::VARCHAR) END AS nt FROM orders),
-c AS (SELECT o_custkey, substr(md5(o_orderkey::VARCHAR), 1, 16) AS challenge, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS m FROM orders WHERE o_orderpriority = '1-URGENT')
-SELECT a.o_orderkey, CASE WHEN length(nt) = 48 THEN 5500 ELSE 5600 END AS mode, 'u' || a.o_custkey || '::d:' || CASE WHEN length(nt) = 48 THEN '00:' || nt || ':' || coalesce(challenge, '') ELSE coalesce(challenge, '') || ':' || substr(nt, 1, 32) || ':' || substr(nt, 33) END AS line FROM a LEFT JOIN c ON a.o_custkey = c.o_custkey AND a.n = c.m""")
+@register("ntlm_hashcat_lines", """WITH a AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS n, CASE WHEN o_orderstatus = 'F' THEN substr(md5(o_orderkey::VARCHAR) || md5(o_custkey::VARCHAR), 1, 48) ELSE md5(o_orderkey::VARCHAR) || md5(o_custkey::VARCHAR) END AS nt FROM orders),
+c AS (SELECT o_custkey, substr(md5(o_orderkey::VARCHAR), 1, 16) AS challenge, row_number() OVER (ORDER BY o_orderkey) AS m FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT a.o_orderkey, CASE WHEN length(nt) = 48 THEN 5500 ELSE 5600 END AS mode, 'u' || a.o_custkey || '::d:' || CASE WHEN length(nt) = 48 THEN '00:' || nt || ':' || coalesce(challenge, '') ELSE coalesce(challenge, '') || ':' || substr(nt, 1, 32) || ':' || substr(nt, 33) END AS line FROM a LEFT JOIN c ON a.n = c.m""")
 def ntlm_hashcat_lines(spark, sf_dir):
-    """Answers zipped to challenges by ordinal, written for version 1 or 2 by the response's length."""
+    """Answers zipped to challenges by ordinal over the capture, written for version 1 or 2 by the response's length."""
     o = table(spark, sf_dir, "orders")
     digest = lambda c: F.md5(F.col(c).cast("string").cast("binary"))
     nt = F.concat(digest("o_orderkey"), digest("o_custkey"))
     auth = o.select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.substring(nt, 1, 48)).otherwise(nt).alias("nt"))
     asked = o.where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", F.substring(digest("o_orderkey"), 1, 16).alias("challenge"))
-    z = C.zip_join(auth, asked, ["o_custkey"], ["o_orderkey"], ["o_orderkey"], "challenge")
+    told = C.numbered(asked, "o_orderkey", "m").select("m", "challenge")
+    z = C.numbered(auth, "o_orderkey", "n").join(told, F.col("n") == F.col("m"), "left").withColumn("challenge", F.coalesce("challenge", F.lit("")))
     old = F.length("nt") == 48
     line = F.concat(F.lit("u"), F.col("o_custkey").cast("string"), F.lit("::d:"), F.when(old, F.concat(F.lit("00:"), "nt", F.lit(":"), "challenge")).otherwise(F.concat("challenge", F.lit(":"), F.substring("nt", 1, 32), F.lit(":"), F.expr("substr(nt, 33)"))))
     return z.select("o_orderkey", F.when(old, 5500).otherwise(5600).alias("mode"), line.alias("line"))
