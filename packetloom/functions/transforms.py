@@ -21,12 +21,13 @@ _ATBASH = (_LOW + _UP, _LOW[::-1] + _UP[::-1])
 #: Operation -> Spark SQL over x (text).
 TEXT = {
     "to_base64": "replace(base64(cast(x as binary)), '\r\n', '')",
-    "from_base64": "cast(unbase64(base64(cast(x as binary))) as string)",
+    "from_base64": "case when length(x) % 4 = 0 and x rlike '^[A-Za-z0-9+/]*={0,2}$' then cast(unbase64(x) as string) end",
+    "from_hex": "case when length(x) % 2 = 0 and x rlike '^[0-9A-Fa-f]*$' then cast(unhex(x) as string) end",
+    "url_decode": "try_url_decode(replace(regexp_replace(x, '%(?![0-9A-Fa-f]{2})', '%25'), '+', '%2B'))",
+    "levenshtein_first_last_line": "cast(levenshtein(substring_index(x, '\n', 1), substring_index(x, '\n', -1)) as string)",
     "to_base64_url": "translate(rtrim('=', replace(base64(cast(x as binary)), '\r\n', '')), '+/', '-_')",
     "to_hex": "lower(hex(cast(x as binary)))",
-    "from_hex": "cast(unhex(hex(cast(x as binary))) as string)",
     "url_encode": "url_encode(x)",
-    "url_roundtrip": "url_decode(url_encode(x))",
     "to_upper": "upper(x)",
     "to_lower": "lower(x)",
     "reverse": "reverse(x)",
@@ -35,7 +36,6 @@ TEXT = {
     "rot47": "translate(x, '" + "".join(map(chr, range(33, 127))).replace("\\", "\\\\").replace("'", "\\'") + "', '" + ("".join(chr(33 + (i + 47) % 94) for i in range(94))).replace("\\", "\\\\").replace("'", "\\'") + "')",
     "swap_case": f"translate(x, '{_LOW + _UP}', '{_UP + _LOW}')",
     "remove_whitespace": "regexp_replace(x, '[ \\\\t\\\\n\\\\r\\\\f]', '')",
-    "remove_diacritics_ascii": "regexp_replace(x, '[^\\\\x00-\\\\x7F]', '')",
     "md5": "md5(cast(x as binary))",
     "sha1": "sha1(cast(x as binary))",
     "sha256": "sha2(cast(x as binary), 256)",
@@ -54,12 +54,8 @@ TEXT = {
     "extract_urls": "array_join(regexp_extract_all(x, 'https?://[A-Za-z0-9./?=&_%-]+', 0), ',')",
     "extract_hashes": "array_join(regexp_extract_all(x, '[0-9a-f]{32,64}', 0), ',')",
     "flag_lines": "array_join(filter(split(x, '\\n'), l -> lower(l) like '%flag{%' or lower(l) like '%ctf%'), '\\n')",
-    "levenshtein_lines": "cast(levenshtein(substring_index(x, '\\n', 1), substring_index(x, '\\n', -1)) as string)",
     "defang_url": "replace(replace(x, '.', '[.]'), '://', '[://]')",
     "escape_html": "replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\\"', '&quot;')",
-    "to_octal_length": "conv(cast(length(x) as string), 10, 8)",
-    "to_binary_length": "bin(length(x))",
-    "expand_alphabet_runs": "regexp_replace(x, '([a-z])[a-z]*', '$1')",
     "strip_html_tags": "regexp_replace(x, '<[^>]*>', '')",
     "snake_case": "lower(regexp_replace(x, '[^A-Za-z0-9]+', '_'))",
     "crc32": "cast(crc32(cast(x as binary)) as string)",

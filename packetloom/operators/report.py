@@ -70,6 +70,37 @@ def typed(df: DataFrame, kind: str, uri: str, most: int = 150) -> DataFrame:
     return out.withColumns({"threat_level": S.level(F.col("total_weight")), "uri": F.substring(F.col(uri), 1, most)})
 
 
+def listed(values: Column, most: int) -> Column:
+    """The first values of a list, and how many more there are."""
+    more = F.when(F.size(values) > most, F.concat(F.lit(" (+"), (F.size(values) - most).cast("string"), F.lit(")"))).otherwise("")
+    return F.concat(F.array_join(F.slice(values, 1, most), ", "), more)
+
+
+def table_rows(df: DataFrame, key: str) -> DataFrame:
+    """Results (see typed(); with method, tags and timestamp) as the eight cells of a table's row."""
+    uri = F.when(F.length("uri") > 50, F.concat(F.substring("uri", 1, 50), F.lit("..."))).otherwise(F.col("uri"))
+    names = F.transform("indicators", lambda x: x["name"])
+    return df.select(key, F.col("threat_level").alias("level"), F.col("detection_type").alias("kind"), "method", uri.alias("uri"), listed(names, 3).alias("indicator"), listed(F.col("tags"), 2).alias("tags"), F.when(F.col("total_weight") > 0, F.col("total_weight").cast("string")).otherwise("").alias("weight"), F.col("timestamp").alias("time"))
+
+
+def protocol_paths(packets: DataFrame, column: str, outer: tuple = ("eth", "frame"), inner: tuple = ("data",)) -> DataFrame:
+    """(path, packets, pct) of every prefix of the paths that a column holds, outer and inner layers left out; the share is of
+    all packets, counted once."""
+    layers = F.filter(F.split(column, ":"), lambda p: ~p.isin(*outer, *inner))
+    paths = packets.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(layers))), lambda n: F.array_join(F.slice(layers, F.lit(1), n), ":"))).alias("path"))
+    total = packets.agg(F.count("*").alias("all"))
+    g = paths.where("path <> ''").groupBy("path").agg(F.count("*").alias("packets")).crossJoin(F.broadcast(total))
+    return g.select("path", "packets", F.round(100.0 * F.col("packets") / F.col("all"), 4).alias("pct"))
+
+
+def repeats(df: DataFrame, text: str, low: int = 3, high: int = 10, least: int = 3, most: int = 10) -> DataFrame:
+    """(n, gram, times): the commonest substrings of each length that occur some times at least."""
+    places = lambda n: F.transform(F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), places(n).alias("g")) for n in range(low, high + 1)])).alias("x")).select("x.n", F.explode("x.g").alias("gram"))
+    counted = rows.groupBy("n", "gram").agg(F.count("*").alias("times")).where(F.col("times") >= least)
+    return counted.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("times"), "gram"))).where(F.col("r") <= most).drop("r")
+
+
 def limited(df: DataFrame, limits: dict[str, int], other: int) -> DataFrame:
     """The heaviest rows of each kind, as many as its limit, with their rank; smaller ids first on ties."""
     most = F.coalesce(F.element_at(F.create_map(*[F.lit(z) for kv in limits.items() for z in kv]), F.col("kind")), F.lit(other))

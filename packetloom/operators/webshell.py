@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -474,6 +475,36 @@ def safe_type(content_type: Column) -> Column:
     return any_of(F.lower(F.coalesce(content_type, F.lit(""))), W.SAFE_TYPES)
 
 
+def word_pattern(words: list[str], call: bool = False) -> str:
+    """A pattern for any of some words, or for calls of them."""
+    some = "|".join(re.sub(r"([$(){}.*+?|\[\]\\^])", r"\\\1", w) for w in words)
+    return rf"\b({some})\s*\(" if call else f"({some})"
+
+
+def fast_filter(df: DataFrame, text: str, content_type: Column | None = None, most: int | None = None) -> DataFrame:
+    """df with risk (0 to 100) and decision (full, fast or skip): whether program analysis of a payload is worth it. most:
+    characters that are looked at, all by default; texts under 10 or over 500 000 characters are skipped."""
+    t = F.substring(F.col(text), 1, most) if most else F.col(text)
+    n = lambda p: F.regexp_count(t, F.lit(p))
+    words = 40 * n("(?i)" + word_pattern(R.FILTER_SINKS, True)) + 25 * n("(?i)" + word_pattern(R.FILTER_HIDING, True)) + 15 * n("(?i)" + word_pattern(R.FILTER_FILES, True)) + 20 * n("(?i)" + word_pattern(R.FILTER_SOURCES)) + 15 * n(word_pattern(R.FILTER_DYNAMIC))
+    fits = F.length(text).between(10, 500_000) & ~safe_type(content_type if content_type is not None else F.lit(""))
+    out = df.withColumns({"_words": F.when(fits, words).otherwise(0), "_h": X.entropy(t)})
+    raw = F.col("_words")
+    risk = F.when((raw == 0) | ((F.col("_h") < 4.0) & (raw < 30)), 0).otherwise(F.least(F.lit(100), raw + F.when(F.col("_h") > 6.5, 20).otherwise(0)))
+    out = out.withColumn("risk", risk.cast("int")).drop("_words", "_h")
+    return out.withColumn("decision", F.when(F.col("risk") >= 60, "full").when(F.col("risk") >= 30, "fast").otherwise("skip"))
+
+
+def score_breakdown(df: DataFrame, text: str) -> DataFrame:
+    """df with breakdown: entropy and its class, what the text is, risk of its words, statistical weight, and a verdict."""
+    out = fast_filter(df, text).withColumns({"_h": X.entropy(F.col(text)), "_t": F.col(text)})
+    kind = F.when(F.contains(F.lower("_t"), F.lit("<?php")), "PHP").when(trimmed(F.col("_t")).rlike(r"^\{[\s\S]*\}$"), F.when(F.try_parse_json("_t").isNotNull(), "JSON").otherwise("like JSON")).when(trimmed(F.col("_t")).rlike(r"^<[\s\S]*>"), "markup").when(F.contains("_t", F.lit("=")) & F.contains("_t", F.lit("&")), "form").otherwise("unknown")
+    weight = statistics("_t", "_h")["weight"]
+    total = F.least(F.lit(100), F.greatest(F.col("risk"), weight))
+    verdict = F.when(total >= 80, "audit").when(total >= 50, "review").when(total >= 30, "notice").otherwise("skip")
+    return out.withColumn("breakdown", F.struct(F.round("_h", 4).alias("entropy"), X.entropy_class(F.col("_h")).alias("entropy_class"), kind.alias("kind"), F.col("risk").alias("risk"), weight.alias("statistics"), total.alias("total"), verdict.alias("verdict"))).drop("_h", "_t", "risk", "decision")
+
+
 def simple_signatures(body: Column) -> Column:
     """Whether a body holds one of three words of simple shells."""
     return any_of(F.lower(body), ["@ini_set", "@eval(", "base64_decode"])

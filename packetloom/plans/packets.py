@@ -260,6 +260,55 @@ def stat_body_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", E.statistics("text", "h")["weight"].alias("weight"))
 
 
+def _filter_sql(t: str) -> str:
+    parts = [(40, "(?i)" + E.word_pattern(R.FILTER_SINKS, True)), (25, "(?i)" + E.word_pattern(R.FILTER_HIDING, True)), (15, "(?i)" + E.word_pattern(R.FILTER_FILES, True)), (20, "(?i)" + E.word_pattern(R.FILTER_SOURCES)), (15, E.word_pattern(R.FILTER_DYNAMIC))]
+    return " + ".join(f"{w} * len(regexp_extract_all({t}, {quoted(p)}))" for w, p in parts)
+
+
+_HV = "(SELECT id, t, CASE WHEN length(t) > 0 THEN coalesce(list_sum(list_transform(list_filter(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, ''))) / length(t)), lambda p: p > 0), lambda p: -p * log2(p))), 0) ELSE 0 END AS h FROM v)"
+
+
+@register("fast_filter_decision", f"WITH {VALUE_SQL}, h AS {_HV}, w AS (SELECT id, h, CASE WHEN length(t) BETWEEN 10 AND 500000 THEN {_filter_sql('t')} ELSE 0 END AS w FROM h), r AS (SELECT id, CASE WHEN w = 0 OR (h < 4.0 AND w < 30) THEN 0 ELSE least(100, w + CASE WHEN h > 6.5 THEN 20 ELSE 0 END) END::INT AS risk FROM w) SELECT id, risk, CASE WHEN risk >= 60 THEN 'full' WHEN risk >= 30 THEN 'fast' ELSE 'skip' END AS decision FROM r")
+def fast_filter_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a payload's dangerous words cost, and whether program analysis is worth it."""
+    return E.fast_filter(values(spark, sf_dir), "t").select("id", "risk", "decision")
+
+
+@register("score_breakdowns")
+def score_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of payloads by part, with a verdict."""
+    return E.score_breakdown(values(spark, sf_dir), "t").select("id", "breakdown.*")
+
+
+@register("protocol_paths", "WITH p AS (SELECT unnest([event_type, event_type || ':' || CASE WHEN event_id % 3 = 0 THEN 'tcp' ELSE 'udp' END, event_type || ':' || CASE WHEN event_id % 3 = 0 THEN 'tcp' ELSE 'udp' END || ':app' || user_id % 4]) AS path FROM events) SELECT path, count(*) AS packets, round(100.0 * count(*) / (SELECT count(*) FROM events), 4) AS pct FROM p GROUP BY 1")
+def protocol_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets and share of every prefix of the packets' protocol paths."""
+    e = table(spark, sf_dir, "events")
+    path = F.concat_ws(":", F.lit("eth"), "event_type", F.when(F.col("event_id") % 3 == 0, "tcp").otherwise("udp"), F.concat(F.lit("app"), (F.col("user_id") % 4).cast("string")), F.lit("data"))
+    return report.protocol_paths(e.select(path.alias("protocols")), "protocols")
+
+
+@register("repeated_substrings", "WITH g AS (SELECT n, substr(text, i, n) AS gram FROM benchmark, range(3, 11) s(n), range(1, 100000) r(i) WHERE i <= length(text) - n + 1), c AS (SELECT n, gram, count(*) AS times FROM g GROUP BY ALL HAVING count(*) >= 3) SELECT n::INT AS n, gram, times FROM c QUALIFY row_number() OVER (PARTITION BY n ORDER BY times DESC, gram) <= 10")
+def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten commonest substrings of each length from three to ten: a top-k report."""
+    return report.repeats(table(spark, sf_dir, "benchmark"), "text")
+
+
+@register("rtp_jitter", "WITH g AS (SELECT user_id, event_id, epoch(ts) AS at, abs((epoch(ts) - lag(epoch(ts)) OVER w) - (event_id * 160 - lag(event_id * 160) OVER w) / 8000) AS d, event_id - lag(event_id) OVER w - 1 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), l AS (SELECT user_id, count(*) AS packets, coalesce(sum(CASE WHEN gap BETWEEN 1 AND 32767 THEN gap END), 0)::BIGINT AS lost, list({'j': 0.0::DOUBLE, 'top': 0.0::DOUBLE, 'd': d::DOUBLE} ORDER BY event_id) FILTER (d IS NOT NULL) AS ds FROM g GROUP BY 1) SELECT '0x' || user_id AS ssrc, packets, lost, round(list_reduce(list_prepend({'j': 0.0::DOUBLE, 'top': 0.0::DOUBLE, 'd': 0.0::DOUBLE}, coalesce(ds, [])), lambda a, x: {'j': a.j + (x.d - a.j) / 16, 'top': greatest(a.top, a.j + (x.d - a.j) / 16), 'd': 0.0::DOUBLE}).top * 1000, 1) AS jitter, round(packets * 0.02, 1) AS duration FROM l")
+def rtp_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets, losses, jitter as the standard smooths it, and length of streams."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_number"), F.col("ts").cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("pt"), (F.col("event_id") % 65536).alias("seq"), (F.col("event_id") * 160).alias("stamp"), F.concat(F.lit("0x"), F.col("user_id").cast("string")).alias("ssrc"))
+    return protocols.rtp_statistics(e).select("ssrc", "packets", "lost", F.round("jitter", 1).alias("jitter"), "duration")
+
+
+@register("table_rows", f"WITH h AS (SELECT page_id, url, list_transform(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, {quoted('(?is)' + p)}) THEN {{'w': {-w}, 'i': {i}, 'n': {quoted(n)}}} END" for i, (n, (p, w)) in enumerate(R.XSS.items())) + "], lambda x: x IS NOT NULL)), lambda x: x.n) AS n, (" + " + ".join(f"CASE WHEN regexp_matches(html, {quoted('(?is)' + p)}) THEN {w} ELSE 0 END" for p, w in R.XSS.values()) + ") AS w FROM pages) SELECT page_id, CASE WHEN w >= 200 THEN 'critical' WHEN w >= 150 THEN 'high' WHEN w >= 80 THEN 'medium' WHEN w >= 40 THEN 'low' ELSE 'info' END AS level, 'xss' AS kind, 'GET' AS method, CASE WHEN length(url) > 50 THEN left(url, 50) || '...' ELSE url END AS uri, array_to_string(n[1:3], ', ') || CASE WHEN len(n) > 3 THEN ' (+' || (len(n) - 3) || ')' ELSE '' END AS indicator, CASE WHEN page_id % 2 = 0 THEN 'a, b (+1)' ELSE 'a' END AS tags, w::VARCHAR AS weight, page_id::VARCHAR AS time FROM h WHERE w > 0")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as rows of a table: eight cells, long ones cut, lists with the count of the rest."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", report.indicators(F.col("html"), R.XSS).alias("indicators"))
+    out = report.typed(rows.where(F.size("indicators") > 0), "xss", "url", 1 << 20).withColumns({"method": F.lit("GET"), "tags": F.when(F.col("page_id") % 2 == 0, F.array(*map(F.lit, "abc"))).otherwise(F.array(F.lit("a"))), "timestamp": F.col("page_id").cast("string")})
+    return report.table_rows(out, "page_id")
+
+
 @register("binary_display", f"WITH {VALUE_SQL} SELECT id, (length(left(t, 1000)) - length(regexp_replace(left(t, 1000), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))) > 0.3 * length(left(t, 1000)) AS is_binary, md5(CASE WHEN length(t) > 2000 THEN left(t, 2000) || chr(10) || '... (cut)' ELSE t END) AS digest FROM v")
 def binary_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether texts are binary, and what is shown of them."""

@@ -10,26 +10,6 @@ from ..registry import register, table
 from ..rules import fixed as R
 from .scoring import PAYLOAD_SQL, payloads, quoted
 
-_API = r"(/api/|/v[0-9]+/|\.json$)"
-
-
-@register("response_metadata_filter", f"SELECT page_id, CASE WHEN strlen(html) < 500 THEN 'small' WHEN contains(url, 'download') THEN 'attachment' WHEN NOT regexp_matches(url, '{_API}') AND strlen(html) >= 1024 AND page_id % 3 = 0 THEN 'listed type' WHEN strlen(html) > 8000 AND NOT regexp_matches(url, '{_API}') THEN 'large' ELSE 'drop' END AS verdict FROM pages")
-def response_metadata_filter(spark, sf_dir):
-    """Which responses are real downloads: size, disposition, type and URI, as one ladder."""
-    size, api = F.octet_length("html"), F.col("url").rlike(_API)
-    ladder = F.when(size < 500, "small").when(F.contains("url", F.lit("download")), "attachment").when(~api & (size >= 1024) & (F.col("page_id") % 3 == 0), "listed type").when((size > 8000) & ~api, "large").otherwise("drop")
-    return table(spark, sf_dir, "pages").select("page_id", ladder.alias("verdict"))
-
-
-@register("result_table_row", "SELECT page_id, CASE WHEN length(url) > 20 THEN left(url, 20) || '...' ELSE url END AS uri, CASE WHEN len(string_split(url, '/')) > 3 THEN string_split(url, '/')[3] || ' (+' || (len(string_split(url, '/')) - 3) || ')' ELSE coalesce(string_split(url, '/')[3], '') END AS indicator FROM pages")
-def result_table_row(spark, sf_dir):
-    """Cells of a result table: long ones cut, the first of several with the count of the rest."""
-    parts = F.split("url", "/")
-    first = F.coalesce(F.get(parts, F.lit(2)), F.lit(""))
-    more = F.when(F.size(parts) > 3, F.concat(first, F.lit(" (+"), (F.size(parts) - 3).cast("string"), F.lit(")"))).otherwise(first)
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.length("url") > 20, F.concat(F.substring("url", 1, 20), F.lit("..."))).otherwise(F.col("url")).alias("uri"), more.alias("indicator"))
-
-
 _RULES = [(n, p, w, i) for i, (n, (p, w)) in enumerate(R.SQLI.items())]
 
 

@@ -11,7 +11,7 @@ from ..operators import correlate as C
 from ..operators import files
 from ..registry import register, table
 from ..rules import fixed as R
-from .scoring import PAYLOADS, payloads
+from .scoring import payloads
 
 #: USB HID usages 0x04 to 0x38 and their characters, plain and shifted; gaps have none.
 KEYS = "abcdefghijklmnopqrstuvwxyz1234567890"
@@ -244,19 +244,6 @@ for _kind in _CODED:
     _coded(_kind)
 
 
-_KW = r"\b(eval|assert|system|exec|shell_exec|passthru|popen|proc_open|create_function|call_user_func)\s*\("
-_OB = r"\b(base64_decode|str_rot13|gzinflate|gzuncompress|hex2bin|strrev|chr)\s*\("
-_TA = r"\$_(GET|POST|REQUEST|COOKIE|FILES)"
-
-
-@register("fast_filter_decision", f"WITH v(id, text) AS (VALUES {', '.join(f'({-1 - i}, {q(p)})' for i, p in enumerate(PAYLOADS))}), u AS (SELECT id, text FROM v UNION ALL SELECT doc_id, text FROM documents), r AS (SELECT id, least(100, 40 * len(regexp_extract_all(text, '(?i){_KW}')) + 25 * len(regexp_extract_all(text, '(?i){_OB}')) + 20 * len(regexp_extract_all(text, '(?i){_TA}'))) AS risk FROM u) SELECT id, risk::INT AS risk, CASE WHEN risk >= 60 THEN 'full' WHEN risk >= 30 THEN 'fast' ELSE 'skip' END AS decision FROM r")
-def fast_filter_decision(spark, sf_dir):
-    """What a payload's dangerous words cost, and whether program analysis is worth it."""
-    n = lambda p: F.regexp_count("text", F.lit("(?i)" + p))
-    r = payloads(spark, sf_dir).select("id", F.least(F.lit(100), 40 * n(_KW) + 25 * n(_OB) + 20 * n(_TA)).cast("int").alias("risk"))
-    return r.select("id", "risk", F.when(F.col("risk") >= 60, "full").when(F.col("risk") >= 30, "fast").otherwise("skip").alias("decision"))
-
-
 @register("auto_decode_best")
 def auto_decode_best(spark, sf_dir):
     """Benchmark texts and payloads under one to three layers of encoding, read back by search."""

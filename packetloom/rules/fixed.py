@@ -442,3 +442,10 @@ PHP_SINKS = {
     "unserialize": 80,
 }
 PHP_HIDING = ["base64_decode", "str_rot13", "gzinflate", "gzuncompress", "gzdecode", "hex2bin", "strrev", "chr", "pack"]
+
+# The quick filter's words: calls that run code, calls that hide it, calls on files, request data, dynamic calls.
+FILTER_SINKS = ["eval", "assert", "create_function", "preg_replace", "system", "exec", "shell_exec", "passthru", "popen", "proc_open", "pcntl_exec", "call_user_func", "call_user_func_array", "array_map", "array_filter", "array_walk", "usort", "uasort", "uksort", "unserialize"]
+FILTER_HIDING = ["base64_decode", "base64_encode", "gzinflate", "gzuncompress", "gzdecode", "str_rot13", "strrev", "chr", "ord", "pack", "unpack", "hex2bin", "bin2hex"]
+FILTER_FILES = ["file_put_contents", "file_get_contents", "fopen", "fwrite", "fputs", "fread", "include", "include_once", "require", "require_once", "readfile", "file"]
+FILTER_SOURCES = ["$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_FILES", "$_SERVER", "$_ENV", "$GLOBALS", "php://input", "php://filter"]
+FILTER_DYNAMIC = ["$$", "${", "->(", "::$"]
