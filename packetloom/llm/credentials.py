@@ -136,7 +136,7 @@ def link(rows: DataFrame, scope: int) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same rows in DuckDB SQL, save values that only an endpoint links; nearness is tested part by part."""
+    """The same rows in DuckDB SQL; nearness is tested part by part."""
 
     def list_of(kind: str, pattern: str, group: int, least: int) -> str:
         p = pattern.replace("'", "''")
@@ -154,7 +154,8 @@ f AS MATERIALIZED (SELECT rid, doc_id, {lists} FROM m),
 p AS MATERIALIZED (SELECT rid, unnest(list_concat({", ".join(k[0] for k in kinds)})) AS x FROM f),
 q AS (SELECT rid, x.s AS s, x.o AS o, x.e AS e, {role}[x.o + 1] AS r FROM p),
 w AS (SELECT a.rid, a.s, a.o, a.e, a.r, bool_or(b.r = 'i') AS i, bool_or(b.r = 's') AS v FROM q a JOIN q b ON a.rid = b.rid AND abs(a.s - b.s) <= 200 WHERE a.o >= 3 GROUP BY ALL),
-l AS (SELECT rid, s, o, e FROM q WHERE o < 3 UNION ALL SELECT rid, s, o, e FROM w WHERE (r = 'i' AND v) OR (r = 's' AND i) OR (r = 'e' AND i AND v)),
+h AS (SELECT rid, s FROM w WHERE r = 'e' AND i),
+l AS (SELECT rid, s, o, e FROM q WHERE o < 3 UNION ALL SELECT rid, s, o, e FROM w WHERE (r = 'i' AND v) OR (r = 's' AND (i OR EXISTS (SELECT 1 FROM h WHERE h.rid = w.rid AND abs(h.s - w.s) <= 200))) OR (r = 'e' AND i AND v)),
 g AS (SELECT rid, string_agg({name}[o + 1] || ':' || s || ':' || e, ',' ORDER BY s, o, e) AS spans, string_agg({name}[o + 1] || ':' || s || ':' || e, ',' ORDER BY s, o, e) FILTER (o < 3) AS base, count(*) FILTER (o >= 3) AS n_weak FROM l GROUP BY rid)
 SELECT f.doc_id, len(f.assign)::BIGINT AS n_assign, len(f.access)::BIGINT AS n_access, len(f.hex)::BIGINT AS n_hex, sha256(coalesce(g.base, '')) AS base_sha256, coalesce(g.spans, '') AS spans, coalesce(g.n_weak, 0)::BIGINT AS n_weak
 FROM f LEFT JOIN g ON f.rid = g.rid"""

@@ -161,6 +161,9 @@ def test_op2_endpoint_between(spark):
     made = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["spans"] for r in find_secrets(made).collect()} == {1: "endpoint:190:216,value:388:402", None: "value:0:14,endpoint:186:212", 2: "", 3: ""}
     assert {r["doc_id"]: r["text"] for r in redact(made).collect()}[1] == f"client_id=abcdef12 {far} [endpoint] {far} [value]"
+    c = duck("sf0.001")
+    c.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM (VALUES " + ", ".join(f"({'NULL' if d is None else d}, '{t}')" for d, t in texts.items()) + ") t(doc_id, text)")
+    assert normal(find_secrets(made).toPandas()) == normal(c.execute(ORACLES["op2_secrets"]).df())
 
 
 def test_op3(spark, rows, odd):
