@@ -47,7 +47,22 @@ def icmp(packets: DataFrame) -> DataFrame:
     body = packets.where("icmp_type = 8").groupBy("src_ip", "dst_ip").agg(joined("frame_number", F.col("payload")).alias("b"), F.min("frame_number").alias("f"))
     text = F.decode("b", "ISO-8859-1")
     shown = F.length(F.regexp_replace(text, r"[^\x20-\x7E\t\n\r]", "")) / F.greatest(F.lit(1), F.length(text))
-    return body.where(shown > 0.7).select(*finding("ICMP", "data in echo requests", text, 0.7, text.rlike(FLAG), F.col("f")))
+    whole = body.where(shown > 0.7).select(*finding("ICMP", "data in echo requests", text, 0.7, text.rlike(FLAG), F.col("f")))
+    return reduce(DataFrame.unionByName, [whole, *(sequence(packets, *s) for s in SEQUENCES)])
+
+
+#: What echo requests may hide text in: title, value of a packet, confidence with a flag and without.
+SEQUENCES = [("lengths", "octet_length(payload)", 0.7, 0.5), ("times to live", "ttl", 0.8, 0.6), ("sequence numbers", "icmp_seq & 255", 0.8, 0.6)]
+
+
+def sequence(packets: DataFrame, title: str, value: str, sure: float, other: float) -> DataFrame:
+    """What the ordered values of a pair's echo requests spell, where they vary and spell a flag or many values."""
+    rows = packets.where("icmp_type = 8").withColumn("v", F.expr(value).cast("int")).where("v is not null")
+    parts = F.array_sort(F.collect_list(F.struct("frame_number", "v")))
+    g = rows.groupBy("src_ip", "dst_ip").agg(F.transform(parts, lambda x: x["v"]).alias("v"), F.min("frame_number").alias("f"))
+    g = g.withColumns({"n": F.size(F.array_distinct("v")), "t": P.values_text(F.col("v"))}).where("n > 1")
+    g = g.withColumn("flag", P.flag_like(F.col("t"))).where(F.col("flag") | (F.col("n") > 0.3 * F.size("v")))
+    return g.select(F.lit("ICMP").alias("protocol"), F.lit(title).alias("title"), F.col("t").alias("description"), F.when(F.col("flag"), sure).otherwise(other).alias("confidence"), F.col("flag").alias("is_flag"), F.col("f").alias("frame_number"))
 
 
 @analyzer("HTTP")
@@ -74,7 +89,9 @@ def ssh_attempts(packets: DataFrame) -> DataFrame:
 def dns(packets: DataFrame) -> DataFrame:
     """The ten hosts that send most queries, first seen first on ties."""
     g = packets.where("dst_port = 53").groupBy("src_ip").agg(F.count("*").alias("n"), F.min("frame_number").alias("f")).orderBy(F.desc("n"), "f").limit(10)
-    return g.select(*finding("DNS", "queries", F.concat_ws(" ", "src_ip", F.col("n").cast("string")), 0.5, F.lit(False), F.col("f")))
+    out = g.select(*finding("DNS", "queries", F.concat_ws(" ", "src_ip", F.col("n").cast("string")), 0.5, F.lit(False), F.col("f")))
+    hidden = P.dns_hidden(P.dns_queries(packets))
+    return out.unionByName(hidden.select(*finding("DNS", "hidden text", F.col("text"), 0.8, F.col("text").rlike(FLAG), F.lit(0).cast("long"))))
 
 
 @analyzer("FTP")
@@ -144,7 +161,10 @@ def redis(packets: DataFrame) -> DataFrame:
 def smb(packets: DataFrame) -> DataFrame:
     """Hashes of logins."""
     h = P.ntlm_hashes(packets.where("src_port in (139, 445) or dst_port in (139, 445)"))
-    return h.select(*finding("SMB", "hash", F.col("line"), 0.9, F.lit(False), F.col("frame_number")))
+    f = P.smb_files(packets)
+    text = F.concat_ws(" ", "filename", F.col("bytes").cast("string"))
+    out = h.select(*finding("SMB", "hash", F.col("line"), 0.9, F.lit(False), F.col("frame_number")))
+    return out.unionByName(f.select(*finding("SMB", "file", text, 0.8, F.decode("content", "ISO-8859-1").rlike(FLAG), F.lit(0).cast("long"))))
 
 
 @analyzer("SSH")

@@ -196,8 +196,8 @@ def ntlm_hashes(packets: DataFrame, per_stream: bool = True) -> DataFrame:
     """(frame_number, user, domain, mode, line): each answer with the challenge of its ordinal, within a stream or, as other
     tools do, over the whole capture."""
     rows = streams(packets).where(F.contains(F.hex("payload"), F.lit(b"NTLMSSP\x00".hex().upper()))).withColumn("m", _ntlm("payload"))
-    by = ["stream"] if per_stream else ["all"]
-    rows = rows.withColumn("all", F.lit(0))
+    by = ["stream"] if per_stream else ["capture"]
+    rows = rows.withColumn("capture", F.col("path") if "path" in packets.columns else F.lit(""))
     w = Window.partitionBy(*by).orderBy("frame_number")
     asked = rows.where("m.kind = 2").select(*by, F.row_number().over(w).alias("n"), "m.challenge")
     told = rows.where("m.kind = 3 and length(m.nt) >= 48").select("frame_number", *by, F.row_number().over(w).alias("n"), "m.user", "m.domain", "m.lm", "m.nt")
@@ -208,10 +208,10 @@ def ntlm_hashes(packets: DataFrame, per_stream: bool = True) -> DataFrame:
 # Line protocols.
 
 
-def lines(packets: DataFrame, port: int) -> DataFrame:
-    """(stream, frame_number, pos, client, line): lines of text of the conversations with a port, in order."""
+def lines(packets: DataFrame, port: int, carry: list[str] = ()) -> DataFrame:
+    """(carry, stream, frame_number, pos, client, line): lines of text of the conversations with a port, in order."""
     rows = streams(packets).where(((F.col("src_port") == port) | (F.col("dst_port") == port)) & (F.octet_length("payload") > 0))
-    return rows.select("stream", "frame_number", (F.col("dst_port") == port).alias("client"), F.posexplode(F.split(F.regexp_replace(X.without_bad_utf8(F.col("payload")), r"\r?\n$", ""), r"\r?\n")).alias("pos", "line"))
+    return rows.select(*carry, "stream", "frame_number", (F.col("dst_port") == port).alias("client"), F.posexplode(F.split(F.regexp_replace(X.without_bad_utf8(F.col("payload")), r"\r?\n$", ""), r"\r?\n")).alias("pos", "line"))
 
 
 def base64_line(line: Column) -> Column:
@@ -261,13 +261,14 @@ def ftp_commands(rows: DataFrame) -> DataFrame:
 
 def ftp_files(packets: DataFrame) -> DataFrame:
     """(filename, bytes, content): the data connections on port 20 or opened after RETR or STOR, named by the last of these."""
-    control = lines(packets, 21).where("client").select("frame_number", F.regexp_extract("line", r"(?i)^(?:RETR|STOR) (.+)$", 1).alias("name")).where("name <> ''").select("frame_number", "name", F.lit(None).cast("long").alias("stream"), F.lit(None).cast("binary").alias("payload"))
-    data = streams(packets).where(((F.col("src_port") == 20) | (F.col("dst_port") == 20)) & (F.octet_length("payload") > 0)).select("frame_number", F.lit(None).cast("string").alias("name"), "stream", "payload")
-    w = Window.orderBy("frame_number").rowsBetween(Window.unboundedPreceding, 0)
-    starts = control.unionByName(data.groupBy("stream").agg(F.min("frame_number").alias("frame_number")).select("frame_number", F.lit(None).cast("string").alias("name"), "stream", F.lit(None).cast("binary").alias("payload")))
-    by = starts.withColumn("filename", F.coalesce(F.last("name", ignorenulls=True).over(w), F.lit("other_file"))).where("stream is not null").select("stream", "filename")
+    packets = packets if "path" in packets.columns else packets.withColumn("path", F.lit(""))
+    control = lines(packets, 21, ["path"]).where("client").select("path", "frame_number", F.regexp_extract("line", r"(?i)^(?:RETR|STOR) (.+)$", 1).alias("name")).where("name <> ''").select("path", "frame_number", "name", F.lit(None).cast("long").alias("stream"), F.lit(None).cast("binary").alias("payload"))
+    data = streams(packets).where(((F.col("src_port") == 20) | (F.col("dst_port") == 20)) & (F.octet_length("payload") > 0)).select("path", "frame_number", F.lit(None).cast("string").alias("name"), "stream", "payload")
+    w = Window.partitionBy("path").orderBy("frame_number").rowsBetween(Window.unboundedPreceding, 0)
+    starts = control.unionByName(data.groupBy("path", "stream").agg(F.min("frame_number").alias("frame_number")).select("path", "frame_number", F.lit(None).cast("string").alias("name"), "stream", F.lit(None).cast("binary").alias("payload")))
+    by = starts.withColumn("filename", F.coalesce(F.last("name", ignorenulls=True).over(w), F.lit("other_file"))).where("stream is not null").select("path", "stream", "filename")
     parts = F.array_sort(F.collect_list(F.struct("frame_number", F.hex("payload").alias("h"))))
-    return data.groupBy("stream").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("content")).join(by, "stream").select("filename", F.octet_length("content").alias("bytes"), "content")
+    return data.groupBy("path", "stream").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("content")).join(by, ["path", "stream"]).select("filename", F.octet_length("content").alias("bytes"), "content")
 
 
 def redis_class(words: Column) -> Column:
@@ -393,6 +394,15 @@ def beacon_cookies(packets: DataFrame) -> DataFrame:
     return g.select("cookie", "frame_number", F.coalesce(F.octet_length(F.try_to_binary("cookie", F.lit("base64"))) >= 48, F.lit(False)).alias("beacon"))
 
 
+def beacon_sessions(packets: DataFrame, pem: str) -> DataFrame:
+    """(cookie, frame_number, fields of the metadata) of the beacon cookies that a private key opens."""
+    from ..functions.crypto import beacon_metadata
+    from ..functions.rsa import decrypt
+
+    rows = beacon_cookies(packets).withColumn("data", decrypt(pem)(F.try_to_binary("cookie", F.lit("base64"))))
+    return rows.withColumn("m", beacon_metadata(F.col("data"))).where("m is not null").select("cookie", "frame_number", "m.*")
+
+
 def values_text(values: Column) -> Column:
     """What a sequence of numbers spells: bits of 0 and 1 or of two values as bytes if that reads, else as digits; else characters."""
     bits = F.array_sort(F.array_distinct(values))
@@ -415,6 +425,111 @@ def flag_like(text: Column) -> Column:
     return F.exists(F.array(*map(F.lit, FLAG_WORDS)), lambda w: F.contains(low, w))
 
 
+# Names.
+
+
+def dns_name(data: bytes | None) -> tuple[str, int, bool] | None:
+    """(name, type, whether it is an answer) of a DNS message's first question."""
+    if not data or len(data) < 17 or not struct.unpack_from(">H", data, 4)[0]:
+        return None
+    labels, at = [], 12
+    while at < len(data) and data[at]:
+        n = data[at]
+        if n > 63 or at + 1 + n > len(data):
+            return None
+        labels.append(data[at + 1 : at + 1 + n].decode("latin-1"))
+        at += 1 + n
+    if at + 3 > len(data):
+        return None
+    return ".".join(labels), struct.unpack_from(">H", data, at + 1)[0], bool(data[2] & 128)
+
+
+DNS = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.IntegerType()), T.StructField("answer", T.BooleanType())])
+
+
+@F.pandas_udf(DNS)
+def _dns(x: pd.Series) -> pd.DataFrame:
+    rows = [dns_name(b) or (None, None, None) for b in x]
+    return pd.DataFrame(rows, columns=["name", "type", "answer"]).astype({"type": "Int32", "answer": "boolean"})
+
+
+def dns_queries(packets: DataFrame) -> DataFrame:
+    """(frame_number, stream, src_ip, name, type): questions asked, each name of a stream once, the first time."""
+    rows = streams(packets.where("dst_port = 53")).withColumn("q", _dns("payload")).where("not q.answer and q.name <> ''")
+    g = rows.groupBy("stream", F.lower("q.name").alias("name")).agg(F.min(F.struct("frame_number", "src_ip", F.col("q.type").alias("type"))).alias("f"))
+    return g.select("f.frame_number", "stream", "f.src_ip", "name", "f.type")
+
+
+def dns_hidden(queries: DataFrame, trigger: str | None = None) -> DataFrame:
+    """(src_ip, segment, text, way): first labels of more than four characters that are hexadecimal or base64, joined by host in
+    order, a trigger domain ending each buffer, and what they spell."""
+    label = F.split("name", r"\.")[0]
+    flush = F.endswith("name", F.lit(trigger)) if trigger else F.lit(False)
+    coded = F.when(label.rlike("^[0-9A-Fa-f]+$") | label.rlike("^[A-Za-z0-9_-]+$"), label).otherwise("")
+    buffers = covert_buffers(queries, "src_ip", "frame_number", coded, flush)
+    return buffers.withColumn("d", decoded_buffer("buffer")).where("d.text is not null").select("src_ip", "segment", "d.text", "d.way")
+
+
+# Files of shares.
+
+
+def smb2_messages(data: bytes | None) -> list[tuple]:
+    """(command, answer, message, file, name, place, content) of the create, read and write messages of one side's bytes."""
+    out, at = [], 0
+    data = data or b""
+    while at + 4 <= len(data):
+        size = int.from_bytes(data[at + 1 : at + 4], "big")
+        m, at = data[at + 4 : at + 4 + size], at + 4 + size
+        try:
+            if m[:4] != b"\xfeSMB":
+                continue
+            command, answer, number = struct.unpack_from("<H", m, 12)[0], bool(m[16] & 1), struct.unpack_from("<Q", m, 24)[0]
+            body = m[64:]
+            if command == 5 and not answer:
+                o, n = struct.unpack_from("<HH", body, 44)
+                out.append((5, False, number, None, m[o : o + n].decode("utf-16-le", "replace"), None, None))
+            elif command == 5:
+                out.append((5, True, number, body[64:80].hex(), None, None, None))
+            elif command == 8 and not answer:
+                out.append((8, False, number, body[16:32].hex(), None, struct.unpack_from("<Q", body, 8)[0], None))
+            elif command == 8:
+                o, n = body[2], struct.unpack_from("<I", body, 4)[0]
+                out.append((8, True, number, None, None, None, m[o : o + n]))
+            elif command == 9 and not answer:
+                o, n = struct.unpack_from("<HI", body, 2)
+                out.append((9, False, number, body[16:32].hex(), None, struct.unpack_from("<Q", body, 8)[0], m[o : o + n]))
+        except (struct.error, IndexError):
+            continue
+    return out
+
+
+SMB2 = "array<struct<command:int,answer:boolean,message:long,file:string,name:string,place:long,content:binary>>"
+
+
+def smb_files(packets: DataFrame) -> DataFrame:
+    """(filename, bytes, content): files read from or written to shares, put together by place.
+
+    Each side's bytes of a stream are joined in order, so that messages over several segments are whole; requests meet their
+    answers by message, reads and writes their names by file."""
+    sides = streams(packets.where("src_port = 445 or dst_port = 445")).where(F.octet_length("payload") > 0).withColumn("side", end_of("src"))
+    parts = F.array_sort(F.collect_list(F.struct("frame_number", F.hex("payload").alias("h"))))
+
+    @F.udf(SMB2)
+    def cut(data):
+        return [(*m[:6], bytearray(m[6]) if m[6] is not None else None) for m in smb2_messages(bytes(data))]
+
+    joined = sides.groupBy("stream", "side").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("raw"))
+    m = joined.select("stream", F.explode(cut("raw")).alias("m")).select("stream", "m.*")
+    pick = lambda cond, *cols: m.where(cond).select("stream", "message", *cols)
+    made = pick("command = 5 and answer", "file").join(pick("command = 5 and not answer", "name"), ["stream", "message"]).select("stream", "file", "name").distinct()
+    read = pick("command = 8 and answer", "content").join(pick("command = 8 and not answer", "file", "place"), ["stream", "message"]).select("stream", "file", "place", "content")
+    pieces = read.unionByName(m.where("command = 9 and not answer").select("stream", "file", "place", "content"))
+    named = pieces.dropDuplicates(["stream", "file", "place"]).join(made, ["stream", "file"], "left")
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.hex("content").alias("h"))))
+    g = named.groupBy("stream", "file", F.coalesce("name", F.lit("unknown")).alias("filename")).agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), "")).alias("content"))
+    return g.select("filename", F.octet_length("content").alias("bytes"), "content")
+
+
 # Industrial files.
 
 

@@ -57,6 +57,15 @@ def request_text(method: Column, uri: Column, headers: Column, body: Column, ver
     return F.concat(up, F.lit(" "), uri, F.lit(f" {version}\n"), *lines, F.lit("\n"), F.when(up.isin("POST", "PUT", "PATCH"), F.coalesce(body, F.lit(""))).otherwise(""))
 
 
+def response_info(packets: DataFrame) -> DataFrame:
+    """(frame_number, status_code, content_type, content_length, body) of packets that begin an HTTP answer."""
+    text = F.decode("payload", "ISO-8859-1")
+    at = F.instr(text, "\r\n\r\n")
+    field = lambda n: F.trim(F.regexp_extract(text, rf"(?i)\r\n{n}:([^\r\n]*)", 1))
+    body = F.when(at > 0, safe_text(F.substring("payload", at + 4, F.octet_length("payload"))))
+    return packets.where("http_response_code is not null").select("frame_number", F.col("http_response_code").alias("status_code"), field("content-type").alias("content_type"), field("content-length").try_cast("long").alias("content_length"), body.alias("body"))
+
+
 def indicators(text: Column, rules: dict[str, tuple[str, int]]) -> Column:
     """The rules that match, as (name, weight), heaviest first and in the rules' order on ties."""
     hits = F.array(*[F.when(S.hit(text, p), F.struct(F.lit(-w).alias("w"), F.lit(i).alias("i"), F.lit(n).alias("name"))) for i, (n, (p, w)) in enumerate(rules.items())])

@@ -508,3 +508,36 @@ def score_breakdown(df: DataFrame, text: str) -> DataFrame:
 def simple_signatures(body: Column) -> Column:
     """Whether a body holds one of three words of simple shells."""
     return any_of(F.lower(body), ["@ini_set", "@eval(", "base64_decode"])
+
+
+# Single values, for use outside a query.
+
+
+def parameter_kind(name: str) -> str:
+    """What a parameter of the simple tools holds, by its name."""
+    return {"z0": "framework", "z1": "path", "z2": "command"}.get(name, "code" if name.startswith(("_0x", "ant")) else "parameter")
+
+
+def is_base64(text: str) -> bool:
+    """relaxed_base64() for one text."""
+    t = re.sub(r"\s", "", text.strip().replace("-", "+").replace("_", "/"))
+    return len(text) >= 4 and len(t) % 4 != 1 and bool(re.fullmatch(r"[A-Za-z0-9+/]*={0,2}", t + "=" * (-len(t) % 4)))
+
+
+def is_hex(text: str) -> bool:
+    t = re.sub(r"[:\s-]", "", text)
+    return len(t) >= 4 and len(t) % 2 == 0 and bool(re.fullmatch("[0-9a-fA-F]+", t))
+
+
+def detect_webshell(exchanges: DataFrame, suspicious: bool = True) -> DataFrame:
+    """(id, tool, weight, confidence): the best tool of each exchange, the first named on ties; the statistical fallback stands in
+    where no tool is sure. Confidence `suspicious` is left out unless asked for."""
+    from functools import reduce
+
+    tools = {"antsword": antsword, "caidao": caidao, "behinder": behinder, "godzilla": godzilla, "statistical": statistical}
+    rows = reduce(DataFrame.unionByName, [of(exchanges).select("id", F.lit(n).alias("tool"), F.lit(i).alias("rank"), "weight", "confidence") for i, (n, of) in enumerate(tools.items())])
+    sure = rows.where((F.col("confidence") != "none") & (F.lit(suspicious) | (F.col("confidence") != "suspicious")))
+    named = F.when(F.col("tool") != "statistical", F.struct("weight", (-F.col("rank")).alias("r"), "tool", "confidence"))
+    other = F.when(F.col("tool") == "statistical", F.struct("weight", (-F.col("rank")).alias("r"), "tool", "confidence"))
+    best = sure.groupBy("id").agg(F.coalesce(F.max(named), F.max(other)).alias("b"))
+    return best.select("id", "b.tool", "b.weight", "b.confidence")

@@ -212,7 +212,10 @@ for _tool, _of in (("antsword", E.antsword), ("caidao", E.caidao), ("behinder",
         return of(exchanges(spark, sf_dir)).where("weight > 0").select("id", "weight", "confidence")
 
 
-_ENT = "(SELECT coalesce(-sum(c / n * log2(c / n)), 0) FROM (SELECT count(*) AS c, any_value(length({t})) AS n FROM unnest(string_split({t}, '')) AS u(x) WHERE x <> '' GROUP BY x))"
+@register("webshell_best")
+def webshell_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest tool of each exchange."""
+    return E.detect_webshell(exchanges(spark, sf_dir))
 
 
 @register("statistical_fallback")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-SCHEMA = "frame_number long, ts timestamp, length int, protocol string, src_ip string, dst_ip string, src_port int, dst_port int, ttl int, tcp_flags int, icmp_type int, http_method string, http_uri string, http_response_code string, payload binary"
+SCHEMA = "frame_number long, ts timestamp, length int, protocol string, src_ip string, dst_ip string, src_port int, dst_port int, ttl int, tcp_flags int, icmp_type int, icmp_seq int, http_method string, http_uri string, http_response_code string, payload binary"
 NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 #: Magic numbers of the file header -> byte order and units of a second.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
@@ -118,7 +118,7 @@ def dissect(frame: bytes) -> dict:
         sport, dport = struct.unpack_from(">HH", body)
         out |= {"protocol": "DNS" if 53 in (sport, dport) else "UDP", "src_port": sport, "dst_port": dport, "payload": body[8:]}
     elif proto == 1 and len(body) >= 8:
-        out |= {"protocol": "ICMP", "icmp_type": body[0], "payload": body[8:]}
+        out |= {"protocol": "ICMP", "icmp_type": body[0], "icmp_seq": struct.unpack_from(">H", body, 6)[0], "payload": body[8:]}
     return out
 
 
@@ -157,7 +157,7 @@ def read_pcap(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFram
 
     def typed(rows: list[dict]) -> pd.DataFrame:
         out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ["path", *NAMES]})
-        for c in ("frame_number", "length", "src_port", "dst_port", "ttl", "tcp_flags", "icmp_type"):
+        for c in ("frame_number", "length", "src_port", "dst_port", "ttl", "tcp_flags", "icmp_type", "icmp_seq"):
             out[c] = out[c].astype("Int64")
         out["ts"] = pd.to_datetime(out["ts"])
         return out

@@ -121,6 +121,30 @@ def test_tools(spark):
     assert s["weight"] >= 50 and E.statistical(exchange(spark, method="GET", body="x" * 100)).first()["weight"] == 0
 
 
+def test_best_tool(spark):
+    text = b"<?php return system('id'); ?>"
+    body = b64(bytes(a ^ b"3c6e0b8a9c15224a"[i % 16] for i, a in enumerate(text)))
+    rows = exchange(spark, body="pass=" + body.replace("=", "%3D"), response="11cd6a8758984163" + b64(b"result") + "6c37ac826a2a04bc", headers={"user-agent": "Java/1.8.0", "cookie": "a=1;"}).unionByName(exchange(spark, id=2, method="GET", body="", uri="/x"))
+    got = E.detect_webshell(rows).collect()
+    assert [(r["id"], r["tool"], r["confidence"]) for r in got] == [(1, "godzilla", "high")]
+    assert E.parameter_kind("z1") == "path" and E.is_base64("d2hvYW1p") and not E.is_base64("AAAAA") and E.is_hex("68:65") and not E.is_hex("abc")
+
+
+def test_metrics(spark):
+    from packetloom.metrics import counted, hit_rate
+
+    df, watch = counted(spark.range(10), even=F.col("id") % 2 == 0)
+    df.collect()
+    assert watch.get == {"rows": 10, "even": 5} and hit_rate(watch, "even") == 0.5
+
+
+def test_response_info(spark, tmp_path):
+    from packetloom.operators.report import response_info
+
+    (tmp_path / "a.pcap").write_bytes(pcap.write_pcap([(1.0, reply(b"HTTP/1.1 200 OK\r\nContent-Type: text/x\r\nContent-Length: 2\r\n\r\nhi", 80, 9)), (2.0, frame(b"GET / HTTP/1.1\r\n\r\n"))]))
+    assert [tuple(r) for r in response_info(pcap.read_pcap(spark, str(tmp_path))).collect()] == [(1, "200", "text/x", 2, "hi")]
+
+
 def test_program_analysis(spark):
     from packetloom.operators.php import SCHEMA, adjusted, analyze, validated
 
@@ -349,6 +373,70 @@ def test_all_analyzers(spark, tmp_path):
     assert [f["path"].rsplit("/", 1)[1] for f in files] == ["rtp_0xabc.wav"] and open(files[0]["path"], "rb").read()[:4] == b"RIFF"
 
 
+def der(tag: int, body: bytes) -> bytes:
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([128 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+def test_beacon_sessions(spark):
+    from packetloom.functions.rsa import opened, private_key
+
+    p, q = 2**521 - 1, 2**607 - 1  # two primes that need no search
+    n, d = p * q, pow(65537, -1, (p - 1) * (q - 1))
+    whole = lambda v: der(2, v.to_bytes(v.bit_length() // 8 + 1, "big"))
+    one_ = der(0x30, whole(0) + whole(n) + whole(65537) + whole(d) + whole(p) + whole(q) + whole(1) + whole(1) + whole(1))
+    eight = der(0x30, whole(0) + der(0x30, b"") + der(4, one_))
+    pems = [f"-----BEGIN {k}-----\n{b64(x)}\n-----END {k}-----" for k, x in (("RSA PRIVATE KEY", one_), ("PRIVATE KEY", eight))]
+    assert [private_key(x) for x in pems] == [(n, d)] * 2
+    data = bytes.fromhex("0000beef00000000") + b"S" * 16 + b"\0" * 4 + struct.pack(">IIHB", 77, 88, 99, 1) + b"\x64\x02\x00\x0a" + b"\0" * 12 + b"\x04\x03\x02\x0a" + b"PC\tann\ta.exe"
+    size = (n.bit_length() + 7) // 8
+    block = pow(int.from_bytes(b"\0\x02" + b"\x55" * (size - len(data) - 3) + b"\0" + data, "big"), 65537, n).to_bytes(size, "big")
+    assert opened(block, (n, d)) == data and opened(block[:-1], (n, d)) is None and opened(None, (n, d)) is None and opened(b"\1" * size, (n, d)) is None
+    rows = spark.createDataFrame([(1, "GET", b"GET / HTTP/1.1\r\nCookie: " + base64.b64encode(block) + b"\r\n\r\n"), (2, "GET", b"GET / HTTP/1.1\r\nCookie: " + b"x" * 40 + b"\r\n\r\n")], "frame_number long, http_method string, payload binary")
+    r = P.beacon_sessions(rows, pems[0]).collect()
+    assert [(x["bid"], x["pid"], x["port"], x["host"], x["username"]) for x in r] == [(77, 88, 99, "10.2.3.4", "ann")]
+
+
+def smb2(command: int, answer: bool, message: int, body: bytes) -> bytes:
+    m = b"\xfeSMB" + b"\0" * 8 + struct.pack("<HHI", command, 0, int(answer)) + b"\0" * 4 + struct.pack("<Q", message) + b"\0" * 32 + body
+    return b"\0" + len(m).to_bytes(3, "big") + m
+
+
+def test_smb_files(spark, tmp_path):
+    name, file = "dir\\a.txt".encode("utf-16-le"), bytes(range(16))
+    asks = [smb2(5, False, 1, b"\0" * 44 + struct.pack("<HH", 64 + 48, len(name)) + name), smb2(8, False, 2, b"\0" * 8 + struct.pack("<Q", 4) + file), smb2(8, False, 3, b"\0" * 8 + struct.pack("<Q", 0) + file), smb2(9, False, 4, b"\0\0" + struct.pack("<HI", 64 + 48, 4) + struct.pack("<Q", 9) + file + b"\0" * 16 + b"tail")]
+    told = smb2(5, True, 1, b"\0" * 64 + file) + smb2(8, True, 2, b"\0\0" + bytes([64 + 16]) + b"\0" + struct.pack("<I", 5) + b"\0" * 8 + b"world") + smb2(8, True, 3, b"\0\0" + bytes([64 + 16]) + b"\0" + struct.pack("<I", 4) + b"\0" * 8 + b"helo")
+    packets = [(1 + i / 10, frame(a, sport=9, dport=445)) for i, a in enumerate(asks)] + [(2.0, reply(told[:100], 445, 9)), (2.1, reply(told[100:], 445, 9))]
+    (tmp_path / "a.pcap").write_bytes(pcap.write_pcap(packets))
+    assert [(r["filename"], bytes(r["content"])) for r in P.smb_files(pcap.read_pcap(spark, str(tmp_path))).collect()] == [("dir\\a.txt", b"heloworldtail")]
+    assert P.smb2_messages(b"\0\0\0\x05short") == [] and P.smb2_messages(None) == []
+
+
+def test_dns_hidden(spark):
+    text = "你好, flag{dns}"
+    code = base64.b64encode(text.encode("gb2312")).hex()
+    ask = lambda name: b"\0\1\1\0\0\1\0\0\0\0\0\0" + b"".join(bytes([len(x)]) + x.encode() for x in name.split(".")) + b"\0\0\1\0\1"
+    names = [code[i : i + 10] + ".x.example" for i in range(0, len(code), 10)] + ["www.example"]
+    rows = spark.createDataFrame([(i, "a", "b", 1000 + i % 3, 53, ask(n)) for i, n in enumerate(names)] + [(99, "a", "b", 5, 53, b"junk"), (98, "b", "a", 53, 5, ask("z.example"))], "frame_number long, src_ip string, dst_ip string, src_port int, dst_port int, payload binary")
+    q = P.dns_queries(rows)
+    assert {r["name"] for r in q.collect()} == {n.lower() for n in names}
+    assert [(r["text"], r["way"]) for r in P.dns_hidden(q).collect()] == [(text, "hex")]
+
+
+def test_icmp_sequences(spark, tmp_path):
+    from packetloom.operators.analyzers import analyze
+
+    def echo(ttl: int, seq: int) -> bytes:
+        body = b"\x08\0\0\0\0\x01" + struct.pack(">H", seq) + b"\x01" * 8
+        return b"\0" * 12 + b"\x08\x00" + struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(body), 0, 0, ttl, 1, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2])) + body
+
+    bits = [int(b) for c in b"flag{t}" for b in f"{c:08b}"]
+    (tmp_path / "a.pcap").write_bytes(pcap.write_pcap([(1 + i / 10, echo(64 if b else 32, 300 + i)) for i, b in enumerate(bits)]))
+    found = {r["title"]: r for r in analyze(pcap.read_pcap(spark, str(tmp_path)), ["ICMP"]).collect()}
+    assert found["times to live"]["description"] == "flag{t}" and found["times to live"]["is_flag"] and found["times to live"]["confidence"] == 0.8
+
+
 def test_rdp_negotiation(spark):
     asks, told = bytes.fromhex("030000130ee000000000000100080003000000"), bytes.fromhex("030000130ed000001234000200080002000000")
     rows = spark.createDataFrame([(1, "a", "b", 50000, 3389, asks), (2, "b", "a", 3389, 50000, told), (3, "a", "b", 1, 3389, b"x")], "frame_number long, src_ip string, dst_ip string, src_port int, dst_port int, payload binary")
