@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 def either_case(word: str) -> str:
     """A pattern for a word's letters in either case, spelt out so that all regex dialects agree."""
@@ -67,8 +69,10 @@ def long_enough(pattern: str, least: int) -> str:
     return head + "{%d,}" % (least - fixed) + tail
 
 
-def with_spans(docs: DataFrame, scope: int = 200) -> DataFrame:
-    """docs with __pl_base, the base spans, and __pl_spans, those and the linked weak ones; each in order of (s, o, e)."""
+def with_spans(docs: DataFrame, scope: int = 200, most: int = 200_000) -> DataFrame:
+    """docs with __pl_base, the base spans, and __pl_spans, those and the linked weak ones; each in order of (s, o, e).
+
+    The linked spans go to the texts where there are at most `most` (some 10 MB); otherwise both are shuffled by id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = BASE + [w[:4] for w in WEAK]
     none = F.array().cast("array<struct<s:int,o:int,e:int>>")
@@ -77,8 +81,9 @@ def with_spans(docs: DataFrame, scope: int = 200) -> DataFrame:
     weak = F.concat(*[F.col(f"__pl_{w[0]}") for w in WEAK])
     rows = found.select(*docs.columns, base.alias("__pl_base"), weak.alias("__pl_weak"), F.when(F.size(weak) > 0, F.md5(text)).alias("__pl_mark"))
     some = rows.where("__pl_mark is not null").select("doc_id", F.col("__pl_mark").alias("mark"), F.concat("__pl_base", "__pl_weak").alias("parts"))
-    linked = link(some.dropDuplicates(["doc_id", "mark"]), scope).select(F.col("doc_id").alias("__pl_d"), F.col("mark").alias("__pl_k"), F.col("weak").alias("__pl_linked"))
-    joined = rows.join(linked, F.col("doc_id").eqNullSafe(F.col("__pl_d")) & (F.col("__pl_mark") == F.col("__pl_k")), "left")
+    linked = materialize(link(some.dropDuplicates(["doc_id", "mark"]), scope), "linked").select(F.col("doc_id").alias("__pl_d"), F.col("mark").alias("__pl_k"), F.col("weak").alias("__pl_linked"))
+    spans = linked.agg(F.sum(F.size("__pl_linked")).alias("n")).first()["n"] or 0
+    joined = rows.join(F.broadcast(linked) if spans <= most else linked, F.col("doc_id").eqNullSafe(F.col("__pl_d")) & (F.col("__pl_mark") == F.col("__pl_k")), "left")
     return joined.select(*docs.columns, "__pl_base", F.array_sort(F.concat("__pl_base", F.coalesce("__pl_linked", none))).alias("__pl_spans"))
 
 
