@@ -115,14 +115,13 @@ def decoded_param(value: Column) -> Column:
     """(method, text) of a parameter's value: base64 after the shortest random prefix that gives sense, hexadecimal, or base64
     twice; null where nothing does or the value is under 4 or over 100 000 characters long."""
     none = F.lit(None).cast("struct<method:string,text:string>")
-    found = F.struct
 
     def of(v: Column) -> Column:
         tries = F.filter(F.transform(F.array(*map(F.lit, W.PREFIXES)), lambda n: F.struct(n.alias("n"), F.when(F.length(v) > n + 4, base64_text(F.substring(v, n + 1, F.length(v)))).alias("t"))), lambda z: meaningful(z["t"]))
 
         def pick(z: Column) -> Column:
-            one = F.when(F.size(z) > 0, found(F.when(z[0]["n"] > 0, F.concat(F.lit("Base64 (prefix="), z[0]["n"].cast("string"), F.lit(")"))).otherwise("Base64").alias("method"), z[0]["t"].alias("text")))
-            h = X.bind(hex_text(v), lambda t: F.when(meaningful(t), found(F.lit("Hex").alias("method"), t.alias("text"))))
+            one = F.when(F.size(z) > 0, F.struct(F.when(z[0]["n"] > 0, F.concat(F.lit("Base64 (prefix="), z[0]["n"].cast("string"), F.lit(")"))).otherwise("Base64").alias("method"), z[0]["t"].alias("text")))
+            h = X.bind(hex_text(v), lambda t: F.when(meaningful(t), F.struct(F.lit("Hex").alias("method"), t.alias("text"))))
             return F.coalesce(one, h, none)
 
         return X.bind(tries, pick)

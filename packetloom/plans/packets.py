@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto as K
@@ -126,9 +126,6 @@ def tls_weak_cipher(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", protocols.weak_suite(F.col("s")).alias("weak"), protocols.rsa_exchange(F.col("s")).alias("rsa_exchange"))
 
 
-_SSH = ["curve25519-sha256", "ecdh-sha2-nistp256", "diffie-hellman-group14-sha256", "aes256-gcm@openssh.com", "chacha20-poly1305@openssh.com", "hmac-sha2-512"]
-
-
 @register("key_log_lines", "SELECT DISTINCT 'CLIENT_RANDOM ' || sha256(o_custkey::VARCHAR) || ' ' || sha256('a' || o_custkey) AS line FROM orders WHERE o_custkey % 3 <> 0")
 def key_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct key log lines within texts; lines with a short secret or an unknown label are none."""
@@ -237,9 +234,6 @@ def ecb_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text measures.
 
-_PRINT = "(strlen(text) - strlen(regexp_replace(text, '[\\x20-\\x7E]', '', 'g'))) / strlen(text)"
-
-
 @register("text_confidence", f"WITH e AS ({ORACLES['byte_entropy']}), c AS ({ORACLES['chi2_english']}), x AS (SELECT d.doc_id, e.entropy AS h, (octet_length(encode(text)) - octet_length(encode(regexp_replace(text, '[\\x20-\\x7E]', '', 'g')))) / octet_length(encode(text)) AS p, coalesce(c.english, false) AS en FROM documents d JOIN e USING (doc_id) LEFT JOIN c USING (doc_id)) SELECT doc_id, h >= 3.0 AND h <= 7.0 AS meaningful, p >= 0.85 AS readable, round(least(1.0, CASE WHEN h BETWEEN 3.5 AND 6.5 THEN 0.3 ELSE 0 END + 0.3 * p + CASE WHEN en THEN 0.2 ELSE 0 END + CASE WHEN h >= 3.0 AND h <= 7.0 THEN 0.2 ELSE 0 END), 6) AS confidence FROM x")
 def text_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much texts look like plain language: entropy, printable share, letters."""
@@ -335,7 +329,7 @@ def file_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.restored(table(spark, sf_dir, "documents").select("doc_id", F.unhex(made).alias("content")), "doc_id", "content", R.FILE_SIGNATURES).select("doc_id", "extension")
 
 
-@register("magic_detect", ORACLES_MAGIC := "WITH s(i, magic, o, ext) AS (VALUES " + ", ".join(f"({i}, '{s[0].upper()}', {s[1]}, '{s[2]}')" for i, s in enumerate(R.FILE_SIGNATURES)) + "), d AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '504B0304' ELSE '' END || hex(encode(html)) AS h FROM pages), m AS (SELECT page_id, arg_max(ext, length(magic) * 1000 - i) AS extension FROM d JOIN s ON substr(h, o * 2 + 1, length(magic)) = magic GROUP BY 1) SELECT page_id, extension FROM pages LEFT JOIN m USING (page_id)")
+@register("magic_detect", "WITH s(i, magic, o, ext) AS (VALUES " + ", ".join(f"({i}, '{s[0].upper()}', {s[1]}, '{s[2]}')" for i, s in enumerate(R.FILE_SIGNATURES)) + "), d AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '504B0304' ELSE '' END || hex(encode(html)) AS h FROM pages), m AS (SELECT page_id, arg_max(ext, length(magic) * 1000 - i) AS extension FROM d JOIN s ON substr(h, o * 2 + 1, length(magic)) = magic GROUP BY 1) SELECT page_id, extension FROM pages LEFT JOIN m USING (page_id)")
 def magic_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest signature that pages begin with, half of them behind an archive's."""
     from ..operators.correlate import longest_magic
