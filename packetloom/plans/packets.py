@@ -180,6 +180,31 @@ def redis_resp_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.col("words")[3].cast("int").alias("number"), F.col("words")[1].alias("key"), F.md5(F.col("words")[2].cast("binary")).alias("digest"))
 
 
+_REPORT = "CASE l_partkey % 2 WHEN 0 THEN printf('%02x%02x%02x00', (l_linenumber % 3)::INT, (l_partkey % 256)::INT, (l_suppkey * 7 % 256)::INT) ELSE printf('00%02x%02x%02x%02x00', (l_linenumber % 2)::INT, (l_partkey % 256)::INT, (l_suppkey * 11 % 256)::INT, (l_partkey * 3 % 256)::INT) END"
+_BYTE = "('0x' || substr(d, {at}, 2))::INT"
+
+
+def _signed_sql(e: str, bits: int) -> str:
+    return f"CASE WHEN ({e}) >= {1 << (bits - 1)} THEN ({e}) - {1 << bits} ELSE ({e}) END"
+
+
+_B = {i: _BYTE.format(at=2 * i + 1) for i in range(6)}
+_X12, _Y12 = f"{_B[2]} + ({_B[3]} & 15) * 256", f"({_B[3]} >> 4) + {_B[4]} * 16"
+
+
+@register("usb_pointer_path", f"WITH r AS (SELECT l_orderkey, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS o, {_REPORT} AS d FROM lineitem), m AS (SELECT l_orderkey, o, CASE WHEN length(d) = 8 THEN {_signed_sql(_B[1], 8)} ELSE {_signed_sql(_X12, 12)} END AS dx, CASE WHEN length(d) = 8 THEN {_signed_sql(_B[2], 8)} ELSE {_signed_sql(_Y12, 12)} END AS dy, CASE WHEN length(d) = 8 THEN ({_B[0]} & 7) <> 0 ELSE {_B[1]} <> 0 END AS down FROM r) SELECT l_orderkey, o, x::BIGINT AS x, y::BIGINT AS y FROM (SELECT *, sum(dx) OVER w AS x, sum(dy) OVER w AS y FROM m WINDOW w AS (PARTITION BY l_orderkey ORDER BY o ROWS UNBOUNDED PRECEDING)) WHERE down")
+def usb_pointer_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointer reports of two lengths as one path, given out while a button is down."""
+    from ..operators.usb import pointer_path
+
+    hx = lambda c: F.lpad(F.lower(F.hex(c.cast("bigint"))), 2, "0")
+    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    short = F.concat_ws(":", hx(line % 3), hx(part % 256), hx(supp * 7 % 256), F.lit("00"))
+    long_ = F.concat_ws(":", F.lit("00"), hx(line % 2), hx(part % 256), hx(supp * 11 % 256), hx(part * 3 % 256), F.lit("00"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (line.cast("long") * 1_000_000_000_000 + part * 1_000_000 + supp).alias("o"), F.when(part % 2 == 0, short).otherwise(long_).alias("d"))
+    return pointer_path(rows, "l_orderkey", "o", "d")
+
+
 _HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
 
 

@@ -449,3 +449,7 @@ FILTER_HIDING = ["base64_decode", "base64_encode", "gzinflate", "gzuncompress",
 FILTER_FILES = ["file_put_contents", "file_get_contents", "fopen", "fwrite", "fputs", "fread", "include", "include_once", "require", "require_once", "readfile", "file"]
 FILTER_SOURCES = ["$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_FILES", "$_SERVER", "$_ENV", "$GLOBALS", "php://input", "php://filter"]
 FILTER_DYNAMIC = ["$$", "${", "->(", "::$"]
+
+# USB usages of keys and their characters, and what shift makes of those that are no letters.
+USB_KEYS = {0x04 + i: c for i, c in enumerate("abcdefghijklmnopqrstuvwxyz1234567890")} | {0x28: "\n", 0x2C: " ", 0x2D: "-", 0x2E: "=", 0x2F: "[", 0x30: "]", 0x31: "\\", 0x33: ";", 0x34: "'", 0x36: ",", 0x37: ".", 0x38: "/"}
+USB_SHIFT = ("1234567890-=[]\\;',./", "!@#$%^&*()_+{}|:\"<>?")

@@ -130,6 +130,15 @@ def test_best_tool(spark):
     assert E.parameter_kind("z1") == "path" and E.is_base64("d2hvYW1p") and not E.is_base64("AAAAA") and E.is_hex("68:65") and not E.is_hex("abc")
 
 
+def test_usb(spark):
+    from packetloom.operators.usb import pointer_path, typed
+
+    keys = ["00:00:09:00:00:00:00:00", "0000000000000000", "2000040000000000", "02002f0000000000", "00001f0000000000", "00ff", "zz00040000000000"]
+    rows = spark.createDataFrame([("k", i, d) for i, d in enumerate(keys)] + [("m", 1, "01ff0200"), ("m", 2, "00010000"), ("m", 3, "000102f0ff00"), ("m", 4, "bad")], "s string, o int, d string")
+    assert [tuple(r) for r in typed(rows, "s", "o", "d").collect()] == [("k", "fA{2")]
+    assert [tuple(r) for r in pointer_path(rows, "s", "o", "d").orderBy("o").collect()] == [("m", 1, -1, 2), ("m", 3, 2, 1)]
+
+
 def test_metrics(spark):
     from packetloom.metrics import counted, hit_rate
 
