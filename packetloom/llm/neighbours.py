@@ -102,14 +102,15 @@ class Cells:
         return (gap * gap).sum(1)
 
 
-def search(q: np.ndarray, pq: np.ndarray, qid: int, x: np.ndarray, px: np.ndarray, ids: np.ndarray, k: int, chi: float, base: float, bound: float = np.inf, block: int = 512) -> list[tuple[float, int]]:
-    """The best (score, id) among rows, verified in order of projected distance until the test stops the search.
+def search(q: np.ndarray, far: np.ndarray, qid: int, x: np.ndarray, ids: np.ndarray, k: int, chi: float, base: float, bound: float = np.inf, block: int = 512) -> list[tuple[float, int]]:
+    """The best (score, id) among rows (in order of their ids), verified in order of projected distance `far` until the test
+    stops the search.
 
     base: what the squared distance of the scaled query is with an inner product of 0; bound: a squared distance that
-    k rows are known to be within.
+    k rows are known to be within, so that rows the test would stop before are not even sorted.
     """
-    far = ((px - pq) ** 2).sum(1)
-    order = np.lexsort((ids, far))
+    near = np.flatnonzero(far <= chi * max(bound, 0.0)) if np.isfinite(bound) else np.arange(len(far))
+    order = near[np.argsort(far[near], kind="stable")]
     best: list[tuple[float, int]] = []
     scale = math.sqrt(base / 2) / math.sqrt(float(q @ q))
     for at in range(0, len(order), block):
@@ -119,6 +120,9 @@ def search(q: np.ndarray, pq: np.ndarray, qid: int, x: np.ndarray, px: np.ndarra
         rows = order[at : at + block]
         rows = rows[ids[rows] != qid]
         score = (x[rows] * q).sum(1)
+        if len(best) == k:
+            some = score >= best[-1][0]
+            rows, score = rows[some], score[some]
         top = np.lexsort((ids[rows], -score))[:k]
         best = sorted(best + [(float(score[i]), int(ids[rows[i]])) for i in top], key=lambda v: (-v[0], v[1]))[:k]
     return best
@@ -204,9 +208,15 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 8, cel
             out = []
             if len(q) and len(x):
                 pq = proj.queries(q)
+                order = np.argsort(ids, kind="stable")
+                ids, x, px = ids[order], x[order], px[order]
+                sizes, far = (px * px).sum(1), None
                 for i, (qid, kth) in enumerate(zip(left.column("vec_id").to_pylist(), left.column("bound").to_pylist(), strict=True)):
+                    if i % 64 == 0:
+                        part = pq[i : i + 64]
+                        far = np.maximum(0.0, sizes - 2 * (part @ px.T) + (part * part).sum(1)[:, None])
                     bound = np.inf if kth is None else base - 2 * math.sqrt(base / 2) / math.sqrt(float(q[i] @ q[i])) * kth
-                    out += [(qid, d, s) for s, d in search(q[i], pq[i], qid, x, px, ids, k, chi, base, bound)]
+                    out += [(qid, d, s) for s, d in search(q[i], far[i % 64], qid, x, ids, k, chi, base, bound)]
             cols = list(zip(*out, strict=True)) or [[], [], []]
             return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema_out, strict=True)], schema=schema_out)
 
