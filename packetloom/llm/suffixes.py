@@ -102,7 +102,7 @@ def windows(b: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[
             continue
         x = codes(part)
         n = len(part) - Q + 1
-        g = K.mix(K.mix(x[:n]) * np.uint64(0x9FB21C651E98DF25) + x[8 : 8 + n])
+        g = K.mix(x[:n] * np.uint64(0x9FB21C651E98DF25) + x[8 : 8 + n] * np.uint64(0xD6E8FEB86659FD93))
         a = (K.sliding_min((g & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64), length - Q + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         edge = np.flatnonzero(a[1:] != a[:-1]) + 1
         start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(a)]])
