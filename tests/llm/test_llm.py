@@ -345,6 +345,39 @@ def test_op4_fuzzy(spark):
     assert share[0.95] == 1 and share[0.9] >= 0.9 and share[0.85] >= 0.75, share
 
 
+def test_op4_all_holders(spark):
+    """Passages with changed words whose every seed stands in earlier documents, one part each: the holder of the whole is none's first."""
+    from packetloom.llm.chaining import substring_dedup
+
+    r, pick = np.random.default_rng(23), word_stream(24)
+    for copies in (1, 30):  # few holders of a seed, and many
+        texts, late = [], {}
+        for _ in range(8):
+            parts = [pick(22) for _ in range(4)]
+            texts += [pick(30) + part + pick(30) for part in parts for _ in range(copies)]
+            whole = len(texts)
+            texts.append(pick(40) + sum(parts, []) + pick(40))
+            late[len(texts)] = whole
+            texts.append(pick(30) + [w if r.random() < 0.87 else pick(1)[0] for w in sum(parts, [])] + pick(30))
+        made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+        got = {x["doc_id"]: x for x in substring_dedup(made).collect()}
+        truth = brute_share(texts) if copies == 1 else [i in late for i in range(len(texts))]
+        assert all(got[d]["source_id"] == whole and got[d]["n_removed"] > 0.7 * 88 * 8 for d, whole in late.items() if truth[d]), copies
+        assert not any(x["n_removed"] for d, x in got.items() if d not in late)
+
+
+def test_op4_alike():
+    from packetloom.llm.chaining import alike, around
+
+    r, pick = np.random.default_rng(25), word_stream(26)
+    hashes = lambda w: np.array([int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "little") for x in w], np.uint64)
+    line = pick(12)
+    other = [pick(60) + line + pick(60) for _ in range(20)]
+    near = [w if r.random() < 0.9 else pick(1)[0] for w in other[3][30:60]] + line + pick(40)
+    found = list(alike([around(hashes(near), 32, 4, 40)], [around(hashes(w), 62, 4, 40) for w in other], 4, 40, 0.8))
+    assert len(found) == 1 and found[0][0] == 0 and found[0][1].tolist() == [3]
+
+
 def test_op4_long_gap():
     from packetloom.llm.chaining import common
 
