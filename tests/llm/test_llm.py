@@ -366,6 +366,20 @@ def test_op4_all_holders(spark):
         assert not any(x["n_removed"] for d, x in got.items() if d not in late)
 
 
+def test_pipeline_all_holders(spark):
+    """The pipeline's stage cuts a changed passage whose parts' first holders are other documents."""
+    import corpus_pipeline as P
+
+    pick = word_stream(28)
+    parts = [pick(22) for _ in range(4)]
+    whole = sum(parts, [])
+    texts = [pick(30) + part + pick(30) for part in parts] + [pick(40) + whole + pick(40)]
+    texts.append(pick(30) + [pick(1)[0] if i % 9 == 4 else w for i, w in enumerate(whole)] + pick(30))
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: len(x["text"].split()) for x in P.passages_out(spark, made, SF).collect()}
+    assert all(got[i] == len(w) for i, w in enumerate(texts[:5])) and got[5] < 85, got
+
+
 def test_op4_alike():
     from packetloom.llm.chaining import alike, around
 
