@@ -380,6 +380,25 @@ def test_pipeline_all_holders(spark):
     assert all(got[i] == len(w) for i, w in enumerate(texts[:5])) and got[5] < 85, got
 
 
+def test_op4_every_seed(spark):
+    """Passages with one word in five changed, which keep few whole seeds, none of them sampled as often as not."""
+    import corpus_pipeline as P
+
+    r, pick = np.random.default_rng(31), word_stream(32)
+    for copies in (1, 40):  # few holders of a seed, and many
+        texts, late = [], {}
+        for t in range(30 if copies == 1 else 4):
+            passage = pick(int(r.integers(40, 60)))
+            texts += [pick(30) + passage + pick(30) for _ in range(copies)]
+            late[len(texts)] = len(passage)
+            texts.append(pick(30) + [pick(1)[0] if i % 5 == t % 5 else w for i, w in enumerate(passage)] + pick(30))
+        truth = brute_share(texts) if copies == 1 else [i in late for i in range(len(texts))]
+        made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+        left = {x["doc_id"]: len(x["text"].split()) for x in P.passages_out(spark, made, SF).collect()}
+        assert all(left[d] <= len(texts[d]) - 0.9 * n for d, n in late.items() if truth[d]), (copies, [(n, len(texts[d]) - left[d]) for d, n in late.items()])
+        assert sum(truth[d] for d in late) > len(late) / 2
+
+
 def test_op4_alike():
     from packetloom.llm.chaining import alike, around
 
