@@ -711,6 +711,62 @@ def test_op10_brute(spark):
     assert len(rows) == 24 and all(rows[i]["kept"] for i in range(12))
 
 
+def test_op10_words(spark):
+    """Word trigrams against a dictionary model; texts of known words in another order, which classes of bytes don't tell, go."""
+    from packetloom.llm.kneser_ney import classify, fold, word_perplexities
+
+    r = np.random.default_rng(33)
+    stock = ["ba" + "".join(chr(97 + c) for c in r.integers(0, 26, 3)) + "ab" for _ in range(60)]
+    after = r.integers(0, 60, (60, 2))
+
+    def walk(n):
+        at, out = int(r.integers(60)), []
+        for _ in range(n):
+            out.append(stock[at])
+            at = int(after[at, r.integers(2)])
+        return out
+
+    texts = [" ".join(walk(60)) + "." for _ in range(80)]
+    texts += [" ".join(r.permutation(walk(60)).tolist()) + "." for _ in range(20)] + ["", "Ünknown words, 12 of 34!", " \n"]
+    docs = spark.createDataFrame([(i if i != 70 else None, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(61, 1, 1), (62, 0, 0)], "doc_id long, quality int, toxic int")
+    split = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^\x20\x09-\x0D]", t.encode())
+    models = []
+    for model in (0, 1):
+        counts = {3: Counter(), 2: Counter(), 1: Counter()}
+        for i in range(60):
+            if fold(i) != model:
+                y = [b"", b"", *split(texts[i]), b""]
+                counts[3].update(zip(y, y[1:], y[2:], strict=False))
+        for k in (2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        cuts, sums = {}, {k: defaultdict(lambda: [0, 0.0]) for k in counts}
+        for k, c in counts.items():
+            n = [max(1, sum(v == x for v in c.values())) for x in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            cuts[k] = [min(float(x), max(0.05, x - (x + 1) * y * n[x] / n[x - 1])) for x in (1, 2, 3)]
+            for g, v in c.items():
+                sums[k][g[:-1]][0] += v
+                sums[k][g[:-1]][1] += cuts[k][min(v, 3) - 1]
+        models.append((counts, cuts, sums))
+
+    def p(model, g):
+        counts, cuts, sums = models[model]
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        lower, (total, left), v = p(model, g[1:]), sums[len(g)].get(g[:-1], (0, 0)), counts[len(g)][g]
+        return lower if not total else ((v - cuts[len(g)][min(v, 3) - 1] if v else 0) + left * lower) / total
+
+    got = {(x["doc_id"], x["n"]): x["perplexity"] for x in word_perplexities(docs, labels, block_bytes=3000).collect()}
+    for i, t in enumerate(texts):
+        d, y = i if i != 70 else None, [b"", b"", *split(t), b""]
+        want = math.exp(-np.mean([math.log(p(fold(d), tuple(y[j : j + 3]))) for j in range(len(y) - 2)]))
+        have = got[(d, len(t.encode()))]
+        assert have is None if not t else abs(have - want) < 1e-4 * want, (i, have, want)
+    rows = {x["doc_id"]: x["kept"] for x in classify(docs, labels).collect()}
+    assert len(rows) == len(texts) and all(rows[i] for i in range(60)) and not any(rows[i] for i in range(80, 100)), rows
+
+
 def test_pipeline_odd(spark, odd, tmp_path):
     """Every stage and the whole run on nulls, blanks, repeats, long texts, empty tables and columns of clashing names."""
     import corpus_pipeline as P
