@@ -20,26 +20,35 @@ import zlib
 from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_schema, partitions_for, text_map
+from .common import arrow_schema, partitions_for, slices, text_or_empty
 
 END = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokens(docs: DataFrame, path: str, carry: list[str] = ("doc_id",)) -> DataFrame:
-    """carry columns with ids, the token ids and END as unsigned 16-bit little-endian, compressed."""
+def tokens(docs: DataFrame, path: str, cuts: list[int]) -> DataFrame:
+    """(doc_id, range, ids): the range is the number of cuts at or below the id, of null ids one by a hash of the text; ids are the
+    token ids and END as unsigned 16-bit little-endian, compressed."""
+    ddl = "doc_id long, range int, ids binary"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(texts):
         from .fast_bpe import encoder
 
-        return [[zlib.compress(np.append(x, END).astype("<u2").tobytes(), 1) for x in encoder(path).encode(texts)]]
+        for batch in batches:
+            for at, n in slices(batch.column(2), 1 << 19):
+                doc_id, other, text = batch.slice(at, n).columns
+                own = np.searchsorted(np.array(cuts, np.int64), doc_id.fill_null(0).to_numpy(), "right")
+                part = np.where(doc_id.is_null().to_numpy(zero_copy_only=False), other.to_numpy() % (len(cuts) + 1), own)
+                ids = [zlib.compress(np.append(x, END).astype("<u2").tobytes(), 1) for x in encoder(path).encode(text.to_pylist())]
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(part.astype(np.int32)), pa.array(ids, pa.binary())], schema=schema)
 
-    return text_map(docs, run, [("ids", "binary")], carry, slice_bytes=1 << 19)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), text_or_empty().cast("binary")).mapInArrow(run, ddl)
 
 
 def boundaries(docs: DataFrame, ranges: int) -> list[int]:
@@ -54,7 +63,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: in
     """The pieces of all documents' token sequences: PIECES."""
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 16
     cuts = boundaries(docs, min(ranges, partitions_for(docs, size, range_bytes, 1)))
-    dealt = tokens(docs.select("doc_id", "text", range_of(cuts)("doc_id", F.xxhash64("text")).alias("range")), path, ["doc_id", "range"])
+    dealt = tokens(docs, path, cuts)
     ordered = dealt.repartition(max(1, len(cuts) + 1), "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
     ends, schema = sentence_ends(path), arrow_schema(PIECES)
 
@@ -70,17 +79,6 @@ def pack(docs: DataFrame, path: str, window: int = 4096, soft: int = 8, hard: in
     return ordered.mapInArrow(run, PIECES)
 
 
-def range_of(cuts: list[int]):
-    """A function of doc_id and a hash: the number of cuts at or below the id; for null ids a range by the hash."""
-
-    @F.pandas_udf(T.IntegerType())
-    def number(ids: pd.Series, other: pd.Series) -> pd.Series:
-        own = np.searchsorted(np.array(cuts, np.int64), ids.fillna(0).astype("int64"), "right")
-        return pd.Series(np.where(ids.isna(), other.astype("int64") % (len(cuts) + 1), own).astype("int32"))
-
-    return number
-
-
 def by_shard(batches, most: int):
     """([range, sequences so far], ids, arrays of token ids) of runs of one range with about `most` tokens; the caller counts the sequences."""
     held, ids, parts, n = None, [], [], 0

@@ -613,6 +613,16 @@ def test_op9(spark, rows, odd):
     assert sum(r["length"] for r in made) == sum(r["doc_tokens"] for r in made if r["start"] == 0) and len({(r["sequence_id"], r["offset"]) for r in made}) == len(made)
 
 
+def test_op9_workers(spark, odd):
+    """Ranges are told where texts are tokenised: a second kind of Python worker in each task would hold memory of its own."""
+    from packetloom.llm.packing import pack, tokens
+
+    path = tokenizer("word_bpe_49k.json")
+    assert "ArrowEvalPython" not in pack(odd, path)._jdf.queryExecution().executedPlan().toString()
+    made = [(x["doc_id"], x["range"]) for x in tokens(odd, path, [3, 6]).collect()]
+    assert len(made) == len(ODD) and all(r == (d >= 3) + (d >= 6) for d, r in made if d is not None) and all(0 <= r <= 2 for _, r in made)
+
+
 def test_op9_optimum():
     """The programme's cost against every way to cut, on random tokens."""
     from packetloom.llm.packing import candidates, pack_shard
