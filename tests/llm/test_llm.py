@@ -399,6 +399,25 @@ def test_op4_every_seed(spark):
         assert sum(truth[d] for d in late) > len(late) / 2
 
 
+def test_op4_batches(spark):
+    """What a range gives back comes in small batches, whatever it holds."""
+    import pyarrow as pa
+
+    from packetloom.llm import chaining as C
+    from packetloom.llm.suffixes import packed
+
+    class Given:
+        withColumn = repartition = drop = sortWithinPartitions = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    n = 100_000
+    h, d, none = np.repeat(np.arange(n // 2, dtype=np.uint64), 2), np.arange(n) % 2, np.zeros(n, np.int64)
+    for rows_of, cols, kinds in ((C.settled, [h, none, d, none, none], C.KINDS), (C.shared, [h, d, none, none + 1], "<u8 <i8 <i4 <u1")):
+        blob = packed(none, cols, kinds)[1]
+        out = list(rows_of(Given(), 1)([pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array(blob, pa.binary())], names=["part", "blob"])]))
+        assert max(b.num_rows for b in out) <= 1 << 14 and sum(b.num_rows for b in out) == (n if rows_of is C.settled else n // 2)
+
+
 def test_op4_alike():
     from packetloom.llm.chaining import alike, around
 
