@@ -418,6 +418,50 @@ def test_op4_batches(spark):
         assert max(b.num_rows for b in out) <= 1 << 14 and sum(b.num_rows for b in out) == (n if rows_of is C.settled else n // 2)
 
 
+def test_op4_bundled(spark):
+    """Links packed by pair of documents give the chains that single ones give, whatever the batches and groups."""
+    from packetloom.llm import chaining as C
+
+    r = np.random.default_rng(41)
+    n = 20_000
+    rdoc, pos, rpos = r.integers(0, 8, n), r.integers(0, 300, n).astype(np.int32), r.integers(0, 300, n).astype(np.int32)
+    doc = rdoc + 1 + r.integers(0, 8, n)
+    cols = [np.concatenate([c, c[:99]]) for c in (doc, rdoc, pos, rpos)]
+    links = spark.createDataFrame(list(zip(*(c.tolist() for c in cols), strict=True)), "doc long, rdoc long, pos int, rpos int")
+    blobs = [x for at in range(0, len(cols[0]), 5000) for x in zip(*(c.to_pylist() for c in C.bundled([c[at : at + 5000] for c in cols], 7)), strict=True)]
+    packs = spark.createDataFrame(blobs, "part int, blob binary")
+    normal_ = lambda df: sorted((x["doc"], x["rdoc"], bytes(x["anchors"])) for x in df.collect())
+    want = normal_(C.chains(links, 4, 0.1, 5, (5, 36)))
+    assert want and normal_(C.bundled_chains(packs, 4, 0.1, 5, 3, (5, 36))) == want
+
+
+def test_op4_seeds_kept_small(spark, monkeypatch):
+    """Seeds take under 7 bytes each on disk, links of single ones under 12, and tables and shuffles go as soon as they are read."""
+    import os
+
+    from packetloom.llm import chaining as C
+
+    pick, sizes, plain = word_stream(42), {}, C.materialize
+
+    def weighed(df, label, temp=None):
+        out, total = plain(df, label, temp), 0
+        for f in out.inputFiles():
+            total += os.path.getsize(f.removeprefix("file://").removeprefix("file:"))
+        links = sum(len(C.unpacked(x["blob"], C.LINKS)[0]) for x in out.where("blob is not null").select("blob").collect()) if label == "links" else 0
+        sizes.setdefault(label, []).append((total, links))
+        return out
+
+    monkeypatch.setattr(C, "materialize", weighed)
+    line = [pick(20) for _ in range(200)]
+    texts = [[w for j in range(12) for w in pick(20) + line[(7 * i + 31 * j) % 200][:8]] for i in range(600)]
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    C.substring_dedup(made).collect()
+    seeds = sum(len(w) - 3 for w in texts)
+    assert sum(x for x, _ in sizes["judged"]) < 7 * seeds
+    total, links = sizes["links"][0]
+    assert links and total < 12 * links
+
+
 def test_op4_alike():
     from packetloom.llm.chaining import alike, around
 
