@@ -312,21 +312,23 @@ def rtp_packets(packets: DataFrame) -> DataFrame:
     return rows.select("frame_number", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "r.pt", "r.seq", "r.stamp", F.concat(F.lit("0x"), F.lower(F.hex("r.ssrc"))).alias("ssrc"), F.substring("payload", (F.col("r.header") + 1).cast("int"), F.octet_length("payload")).alias("media"))
 
 
-def rtp_statistics(rows: DataFrame, clock: Column | None = None) -> DataFrame:
-    """(ssrc, pt, packets, lost, jitter, duration) by stream: lost from gaps in sequence, jitter in ms as RFC 3550 smooths it.
+def rtp_statistics(rows: DataFrame, clock: Column | None = None, digits: int = 3, wrap: int | None = 65536) -> DataFrame:
+    """(ssrc, pt, packets, lost, jitter, duration) by stream: lost from gaps in sequence, jitter in ms as RFC 3550 smooths it,
+    rounded once, to these digits. Sequence numbers start over at wrap; None where they never do.
 
     The smoothing is a fold over a stream's differences in order, so each stream's differences are gathered once."""
     rate = F.coalesce(clock, F.lit(8000)) if clock is not None else named({k: v[2] for k, v in RTP_TYPES.items()}, F.col("pt").cast("int"), F.lit(8000))
     w = Window.partitionBy("ssrc").orderBy("frame_number")
     at = F.unix_micros("ts") / 1e6
     d = F.abs((at - F.lag(at).over(w)) - (F.col("stamp") - F.lag("stamp").over(w)) / rate)
-    r = rows.withColumns({"d": d, "gap": F.pmod(F.col("seq") - F.lag("seq").over(w), F.lit(65536)) - 1})
+    step = F.col("seq") - F.lag("seq").over(w)
+    r = rows.withColumns({"d": d, "gap": (F.pmod(step, F.lit(wrap)) if wrap else step) - 1})
     fold = lambda a, x: F.struct((a["j"] + (x["d"] - a["j"]) / 16).alias("j"), F.greatest(a["top"], a["j"] + (x["d"] - a["j"]) / 16).alias("top"))
     diffs = F.array_sort(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("frame_number", "d"))))
     g = r.groupBy("ssrc").agg(F.min_by("pt", "frame_number").alias("pt"), F.count("*").alias("packets"), F.sum(F.when(F.col("gap").between(1, 32767), F.col("gap")).otherwise(0)).alias("lost"), diffs.alias("diffs"))
     medium = named({k: v[1] for k, v in RTP_TYPES.items()}, F.col("pt").cast("int"), F.lit("audio"))
     top = F.aggregate("diffs", F.struct(F.lit(0.0).alias("j"), F.lit(0.0).alias("top")), fold, lambda a: a["top"])
-    return g.select("ssrc", "pt", "packets", "lost", F.round(top * 1000, 3).alias("jitter"), F.round(F.when(medium == "video", F.col("packets") / 30).otherwise(F.col("packets") * 0.02), 1).alias("duration"))
+    return g.select("ssrc", "pt", "packets", "lost", X.rounded(top * 1000, digits).alias("jitter"), F.round(F.when(medium == "video", F.col("packets") / 30).otherwise(F.col("packets") * 0.02), 1).alias("duration"))
 
 
 def sdp_codecs(texts: DataFrame, text: str, order: str) -> DataFrame:
