@@ -24,7 +24,7 @@ TEXT = {
     "from_base64": "case when length(x) % 4 = 0 and x rlike '^[A-Za-z0-9+/]*={0,2}$' then cast(unbase64(x) as string) end",
     "from_hex": "case when length(x) % 2 = 0 and x rlike '^[0-9A-Fa-f]*$' then cast(unhex(x) as string) end",
     "url_decode": "try_url_decode(replace(regexp_replace(x, '%(?![0-9A-Fa-f]{2})', '%25'), '+', '%2B'))",
-    "levenshtein_first_last_line": "cast(levenshtein(substring_index(x, '\n', 1), substring_index(x, '\n', -1)) as string)",
+    "levenshtein_first_last_line": "cast(if(substring_index(x, '\n', 1) = substring_index(x, '\n', -1), 0, levenshtein(substring_index(x, '\n', 1), substring_index(x, '\n', -1))) as string)",
     "to_base64_url": "translate(rtrim('=', replace(base64(cast(x as binary)), '\r\n', '')), '+/', '-_')",
     "to_hex": "lower(hex(cast(x as binary)))",
     "url_encode": "url_encode(x)",
